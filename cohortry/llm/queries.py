@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from cohortry.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from cohortry.llm.line_dedup import OP1_SQL, op1_line_dedup
+from cohortry.llm.mixing import op9_temperature_mixing
 from cohortry.llm.packing import op4_best_fit_packing
 from cohortry.llm.simhash import op10_simhash_covering
 from cohortry.llm.token_counts import op5_viterbi_counts
 from cohortry.llm.token_files import op3_seekable_tokens
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_seekable_tokens": op3_seekable_tokens,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_viterbi_counts": op5_viterbi_counts,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_temperature_mixing": op9_temperature_mixing,
     "op10_simhash_covering": op10_simhash_covering,
 }
-ORACLES = {"op6_exact_dedup": OP6_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op6_exact_dedup": OP6_SQL}
