@@ -6,9 +6,11 @@ from cohortry.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from cohortry.llm.line_dedup import OP1_SQL, op1_line_dedup
 from cohortry.llm.mixing import op9_temperature_mixing
 from cohortry.llm.packing import op4_best_fit_packing
+from cohortry.llm.quality_rules import op8_quality_rules
 from cohortry.llm.simhash import op10_simhash_covering
 from cohortry.llm.token_counts import op5_viterbi_counts
 from cohortry.llm.token_files import op3_seekable_tokens
+from cohortry.llm.weighted_sampling import op7_weighted_sampling
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -16,6 +18,8 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_viterbi_counts": op5_viterbi_counts,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_weighted_sampling": op7_weighted_sampling,
+    "op8_quality_rules": op8_quality_rules,
     "op9_temperature_mixing": op9_temperature_mixing,
     "op10_simhash_covering": op10_simhash_covering,
 }
