@@ -6,6 +6,7 @@ from cohortry.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from cohortry.llm.line_dedup import OP1_SQL, op1_line_dedup
 from cohortry.llm.mixing import op9_temperature_mixing
 from cohortry.llm.packing import op4_best_fit_packing
+from cohortry.llm.pii import op2_pii_supervision
 from cohortry.llm.quality_rules import op8_quality_rules
 from cohortry.llm.simhash import op10_simhash_covering
 from cohortry.llm.token_counts import op5_viterbi_counts
@@ -14,6 +15,7 @@ from cohortry.llm.weighted_sampling import op7_weighted_sampling
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_pii_supervision": op2_pii_supervision,
     "op3_seekable_tokens": op3_seekable_tokens,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_viterbi_counts": op5_viterbi_counts,
