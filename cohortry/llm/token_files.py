@@ -201,7 +201,8 @@ def read_token_files(index: DataFrame, ids: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "part", "before", "n_tokens", "ids_crc32", "ids"][: len(arrays)])
 
     frames = index.groupBy("file", "frame").agg(F.collect_list("slot").alias("slots"))  # a frame's documents are bounded by its size
-    dealt = frames.repartition("file").sortWithinPartitions("file", "frame")
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, else few bytes of names would become one task
+    dealt = frames.repartition(parts, "file").sortWithinPartitions("file", "frame")
     return dealt.mapInArrow(run, "doc_id long, part long, before long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)
 
 
