@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import keyed, materialize
+from cohortry.llm.common import materialize
 from cohortry.llm.tokens import BYTE_BPE, encoder, tokenizer_path
 
 CAPACITY = 2048
@@ -37,7 +37,7 @@ PIECES_PER_PART, FAN_IN, BINS_GIVEN = 32_768, 16, 64
 def token_pieces(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """(_row, doc_id, piece, start, length, ids) of each piece; ids are little-endian u32.
 
-    ``docs`` carries ``_row``.  Longer documents are cut so that only the first piece is short.
+    ``docs`` carries ``_row``, a long that is unique.  Longer documents are cut so that only the first piece is short.
     """
     path = path or tokenizer_path(BYTE_BPE)
     names = ["_row", "doc_id", "piece", "start", "length", "ids"]
@@ -173,7 +173,8 @@ def assemble(pieces: DataFrame, placed: DataFrame) -> DataFrame:
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of ``docs`` with their place: doc_id, piece, start, length, ids, sequence_id, offset."""
-    pieces = materialize(token_pieces(keyed(docs), capacity=capacity), "pieces")
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())  # fixed once the pieces are written
+    pieces = materialize(token_pieces(rows, capacity=capacity), "pieces")
     placed, _ = pack(pieces, capacity)
     return pieces.join(placed.drop("length"), ["_row", "piece"]).drop("_row")
 

@@ -1,10 +1,23 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of documents;
+the last returns the places of token pieces in sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortry.llm import exact_dedup, simhash
+from cohortry.llm import exact_dedup, mixing, packing, quality_rules, simhash
+from cohortry.llm.common import materialize
+
+#: How often the mix repeats a source at most; the largest source comes once.
+MAX_REPEATS = 2.0
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble rejects go."""
+    return quality_rules.filter_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,15 +30,34 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.deduplicate(docs)
 
 
-STAGES = [("exact dedup", exact), ("simhash near-dedup", near)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources come at their target weights: every document once, those of small sources more often."""
+    return mixing.mix(docs, max_repeats=MAX_REPEATS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of each token piece in sequences of 2048 tokens."""
+    return packing.digest(packing.pack_documents(docs))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("exact dedup", exact),
+    ("simhash near-dedup", near),
+    ("mixing to target weights", mix),
+    ("best-fit packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``, each written to the shared folder before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, f"stage-{k}")
     return docs
 
 
+#: Tokenisation and the fitted classifier can't be expressed in SQL.
 ORACLE_SQL = None
