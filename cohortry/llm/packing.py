@@ -171,20 +171,20 @@ def assemble(pieces: DataFrame, placed: DataFrame) -> DataFrame:
     return rows.groupBy("sequence_id").agg(joined.alias("ids"))
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of ``docs`` with their place: doc_id, piece, start, length, ids, sequence_id, offset."""
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
+    """(pieces, places) of ``docs``: see ``token_pieces`` and ``pack``; ``assemble`` joins their ids."""
     rows = docs.withColumn("_row", F.monotonically_increasing_id())  # fixed once the pieces are written
     pieces = materialize(token_pieces(rows, capacity=capacity), "pieces")
-    placed, _ = pack(pieces, capacity)
-    return pieces.join(placed.drop("length"), ["_row", "piece"]).drop("_row")
+    return pieces, pack(pieces, capacity)[0]
 
 
-def digest(packed: DataFrame) -> DataFrame:
-    """What the query returns of packed pieces."""
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+def digest(pieces: DataFrame, placed: DataFrame) -> DataFrame:
+    """What the query returns; ids become checksums before the join, so they aren't shuffled."""
+    named = pieces.select("_row", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return named.join(placed.drop("length"), ["_row", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of each piece of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return digest(pack_documents(docs))
+    return digest(*pack_documents(docs))

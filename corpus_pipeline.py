@@ -37,7 +37,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of each token piece in sequences of 2048 tokens."""
-    return packing.digest(packing.pack_documents(docs))
+    return packing.digest(*packing.pack_documents(docs))
 
 
 STAGES = [
