@@ -16,7 +16,7 @@ import public_tokenizers
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Words that one worker remembers (twice that at most); about 200 bytes each.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Marks that often follow a word; neither letters, digits nor spaces.
 MARKS = ".,;:!?*%&$#|()"
 #: Python splits at these, or may, and the tokenizers' patterns don't.
