@@ -1,0 +1 @@
+"""Grouped-measurement analytics on Spark: DataFrame in, DataFrame out."""
