@@ -170,7 +170,8 @@ def limits(rows: DataFrame, p: FrontParams = P) -> DataFrame:
 
 
 def _below(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    """``cuts`` (g, cut, ...) with ``size``, the values of the group up to the cut."""
+    """``cuts`` (g, cut, ...) with ``size``, the values of the group up to the cut; a few cuts a group."""
+    cuts = cuts.persist()
     places = cuts.select("g", "cut").distinct()
     sizes = rows.join(places, "g").groupBy("g", "cut").agg(F.count_if(F.col("x") <= F.col("cut")).alias("size"))
     return cuts.join(sizes, ["g", "cut"])
@@ -227,7 +228,7 @@ def density_drop(rows: DataFrame, curve: DataFrame, lim: DataFrame, p: FrontPara
     way = F.when(in_time("drop"), "drop").when(in_time("relax"), "relax").when(F.col("shoulder").isNotNull(), "shoulder")
     found = found.withColumn("way", F.when(F.col("open"), way))
     place = F.when(F.col("way") == "drop", F.col("drop")).when(F.col("way") == "relax", F.col("relax")).when(F.col("way") == "shoulder", F.col("shoulder"))
-    found = found.withColumn("place", place).withColumn("cut", F.col("place.cut")).withColumn("depth", 1 - F.col("place.density") / F.col("pd"))
+    found = found.withColumn("place", place).withColumn("cut", F.col("place.cut")).withColumn("depth", 1 - F.col("place.density") / F.col("pd")).persist()
     sized = found.join(_below(rows, found.filter("cut IS NOT NULL").select("g", "cut", "pi")).select("g", "pi", "size"), ["g", "pi"], "left")
     too_late, small = F.col("cut") > F.col("drop_limit"), F.col("size") < F.col("cluster")
     accepted = F.coalesce(~too_late & ~small, F.lit(False))
@@ -339,10 +340,11 @@ def fronts(df: DataFrame, group: str, value: str, p: FrontParams = P, binned: bo
     run = enough & F.coalesce("curve", F.lit(False))
     t = t.withColumn("method", F.when(run & F.col("v").isNotNull(), "first_valley").when(run & F.col("d").isNotNull(), "density_drop").when(run & F.col("h").isNotNull(), "histogram_first_bin"))
     t = t.withColumn("f", F.when(F.col("method") == "first_valley", F.col("v")).when(F.col("method") == "density_drop", F.col("d")).when(F.col("method") == "histogram_first_bin", F.col("h")))
+    t = t.persist()  # a row a group, read again for what the front implies
     early = rows.join(t.select("g", F.col("f.cut").alias("cut")), "g").groupBy("g").agg(F.expr("percentile(x, 0.5) FILTER (WHERE x <= cut)").alias("early_median"))
     t = t.join(early, "g")
     pooled = F.col("f").isNotNull() & F.col("many_duplicates") & (F.col("f.size") >= p.min_cluster)
-    t = t.withColumn("t0", F.when(pooled, F.col("early_median")).otherwise(F.col("f.mode")))
+    t = t.withColumn("t0", F.when(pooled, F.col("early_median")).otherwise(F.col("f.mode"))).persist()
     shares = rows.join(t.select("g", F.col("f.cut").alias("cut"), "t0"), "g").groupBy("g").agg(
         F.avg((F.col("x") <= F.col("cut")).cast("double")).alias("cut_share"), F.avg((F.col("x") <= F.col("t0")).cast("double")).alias("t0_share"), F.max("x").alias("top")
     )

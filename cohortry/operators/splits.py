@@ -246,7 +246,8 @@ def _restart(pairs: pd.DataFrame, seed: int, least_rows: int, least_groups: int)
 
     Groups with much private mass and many rows come first, shuffled within windows.  Until val
     and test have their minimum they are served first; otherwise a group goes to one of the two
-    splits that score best by conflict across splits, rows it would keep there, and balance.
+    splits that score best by unmet minimums, conflict across splits, rows it would keep there,
+    and balance.
     """
     import numpy as np
 
@@ -278,9 +279,10 @@ def _restart(pairs: pd.DataFrame, seed: int, least_rows: int, least_groups: int)
             others = np.delete(held[:, cats], s, axis=0)
             clash = (np.minimum(others.sum(axis=0), rows) / np.maximum(sharing[cats], 1)).sum()
             keeps = rows[held[s, cats] + rows >= others.max(axis=0)].sum()
-            after = loads.copy()
-            after[s] += sizes[x]
-            scores.append((clash, -keeps, np.abs(after - targets).sum(), s))
+            one = np.eye(3)[s]
+            after = loads + sizes[x] * one
+            missing = (np.maximum(0, least_rows - after).sum(), np.maximum(0, least_groups - members - one).sum())
+            scores.append((*missing, clash, -keeps, np.abs(after - targets).sum(), s))
         ranked = [s[-1] for s in sorted(scores)][:2]
         place(int(x), int(ranked[0] if len(ranked) == 1 or rng.random() < 2 / 3 else ranked[1]))
     return out.tolist()

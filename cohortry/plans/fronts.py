@@ -19,11 +19,18 @@ def values(spark: SparkSession, d: str) -> DataFrame:
     return D.valid(table(spark, d, "events"), "user_id", "value")
 
 
+def two_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Events with a cluster of early values apart from the rest."""
+    return table(spark, d, "events").select("event_id", "user_id", F.expr(TWO_MODES).alias("value"))
+
+
+TWO_MODES = "CASE WHEN event_id % 5 = 0 THEN 1 + value / 200 ELSE 12 + value END"
+X2 = f"x AS (SELECT user_id AS g, {TWO_MODES} AS x FROM events)"
 X = "x AS (SELECT user_id AS g, value AS x FROM events WHERE value > 0)"
 GAPS = """
-gaps AS (SELECT g, lead(x) OVER w - x AS gap, row_number() OVER w AS at FROM x WINDOW w AS (PARTITION BY g ORDER BY x)),
-eo AS (SELECT g, count(*) >= 4 AND max(CASE WHEN at = 1 THEN gap END) > greatest(0.5::DOUBLE, 5 * CASE WHEN coalesce(quantile_cont(gap, 0.5) FILTER (WHERE at > 1 AND gap > 0), 0) = 0 THEN 1e-6::DOUBLE
-  ELSE quantile_cont(gap, 0.5) FILTER (WHERE at > 1 AND gap > 0) END) AS early_outlier FROM gaps GROUP BY g)
+gaps AS (SELECT g, lead(x) OVER w - x AS gap, row_number() OVER w AS pos FROM x WINDOW w AS (PARTITION BY g ORDER BY x)),
+eo AS (SELECT g, count(*) >= 4 AND max(CASE WHEN pos = 1 THEN gap END) > greatest(0.5::DOUBLE, 5 * CASE WHEN coalesce(quantile_cont(gap, 0.5) FILTER (WHERE pos > 1 AND gap > 0), 0) = 0 THEN 1e-6::DOUBLE
+  ELSE quantile_cont(gap, 0.5) FILTER (WHERE pos > 1 AND gap > 0) END) AS early_outlier FROM gaps GROUP BY g)
 """
 
 
@@ -92,14 +99,14 @@ lm AS (SELECT g, count(*) AS n, greatest(quantile_cont(ln(1 + x), 0.35), min(ln(
 
 
 @query(f"""
-WITH {X}, {curve_sql(POINTS)}, {EXTREMA}, {LIMITS}, a AS (SELECT * FROM ex JOIN kd USING (g, i)), tp AS (SELECT g, max(density) AS top FROM kd GROUP BY 1),
+WITH {X2}, {curve_sql(POINTS)}, {EXTREMA}, {LIMITS}, a AS (SELECT * FROM ex JOIN kd USING (g, i)), tp AS (SELECT g, max(density) AS top FROM kd GROUP BY 1),
 pk AS (SELECT a.g, a.i AS pi, exp(gx) - 1 AS mode, density AS pd, valley_limit, cluster FROM a JOIN tp USING (g) JOIN lm USING (g) WHERE kind = 'peak' AND gx <= zone AND density >= 0.02::DOUBLE * top AND gx > 0 AND exp(gx) - 1 <= max_t0),
 vl AS (SELECT g, i AS vi, exp(gx) - 1 AS cut, density AS vd FROM a WHERE kind = 'valley'),
 pr AS (SELECT *, 1 - vd / pd AS depth, (SELECT count(*) FROM x WHERE x.g = pk.g AND x.x <= cut) AS size FROM pk JOIN vl USING (g) WHERE vi > pi AND cut <= valley_limit AND 1 - vd / pd >= 0.25::DOUBLE)
 SELECT g, round(mode, 6) AS mode, round(cut, 6) AS cut, round(depth, 6) AS depth, size FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY pi, vi) AS k FROM pr WHERE size >= cluster) WHERE k = 1
 """)
 def mode_valley(spark: SparkSession, d: str) -> DataFrame:
-    rows = values(spark, d)
+    rows = D.valid(two_modes(spark, d), "user_id", "value")
     return rounded(D.mode_valley(rows, D.kde(rows, POINTS), D.limits(rows, PARAMS), PARAMS), "mode", "cut", "depth")
 
 
@@ -127,12 +134,12 @@ def histogram_front(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def front_resolved(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(D.fronts(table(spark, d, "events"), "user_id", "value", PARAMS), "t0", "cutoff")
+    return rounded(D.fronts(two_modes(spark, d), "user_id", "value", PARAMS), "t0", "cutoff")
 
 
 @query()
 def classify_full(spark: SparkSession, d: str) -> DataFrame:
-    events = table(spark, d, "events").select("event_id", "user_id", "value")
+    events = two_modes(spark, d)
     return rounded(D.classify(events, D.fronts(events, "user_id", "value", PARAMS), "user_id", "value"), "pseudo_k")
 
 

@@ -36,8 +36,8 @@ WITH RECURSIVE s AS (SELECT k, n, row_number() OVER (ORDER BY n DESC, k) AS i FR
 r AS (
   SELECT 0::BIGINT AS i, NULL::BIGINT AS k, 0::BIGINT AS n, -1 AS fold, list_transform(generate_series(1, 5), lambda x: 0::BIGINT) AS loads
   UNION ALL
-  SELECT i, k, n, at - 1, list_transform(generate_series(1, 5), lambda j: CASE WHEN j = at THEN loads[j] + n ELSE loads[j] END)
-  FROM (SELECT s.i, s.k, s.n, r.loads, list_position(r.loads, list_min(r.loads)) AS at FROM r JOIN s ON s.i = r.i + 1)
+  SELECT i, k, n, pos - 1, list_transform(generate_series(1, 5), lambda j: CASE WHEN j = pos THEN loads[j] + n ELSE loads[j] END)
+  FROM (SELECT s.i, s.k, s.n, r.loads, list_position(r.loads, list_min(r.loads)) AS pos FROM r JOIN s ON s.i = r.i + 1)
 )
 SELECT k AS user_id, n, fold::INTEGER AS fold FROM r WHERE i > 0
 """)
@@ -46,8 +46,8 @@ def kfold_group_greedy(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-SELECT event_id, user_id, CASE WHEN at <= test THEN 'test' WHEN at <= test + ceil((n - test) * 0.1111::DOUBLE) THEN 'val' ELSE 'train' END AS split
-FROM (SELECT *, ceil(n * 0.1::DOUBLE) AS test FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY {HASH}) AS at, count(*) OVER (PARTITION BY user_id) AS n FROM events))
+SELECT event_id, user_id, CASE WHEN pos <= test THEN 'test' WHEN pos <= test + ceil((n - test) * 0.1111::DOUBLE) THEN 'val' ELSE 'train' END AS split
+FROM (SELECT *, ceil(n * 0.1::DOUBLE) AS test FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY {HASH}) AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events))
 """)
 def split_stratified(spark: SparkSession, d: str) -> DataFrame:
     return K.split_stratified(events(spark, d), "user_id", "event_id").select("event_id", "user_id", "split")
@@ -87,8 +87,8 @@ def cv_roles(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-SELECT event_id, CASE WHEN at <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN at <= floor(n * 0.9::DOUBLE) THEN 'val' ELSE 'test' END AS split
-FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY {HASH}) AS at, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT event_id, CASE WHEN pos <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN pos <= floor(n * 0.9::DOUBLE) THEN 'val' ELSE 'test' END AS split
+FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY {HASH}) AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events)
 """)
 def split_in_group(spark: SparkSession, d: str) -> DataFrame:
     return K.split_in_group(events(spark, d), "user_id", "event_id").select("event_id", "split")
@@ -118,11 +118,11 @@ def pair_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT o_custkey AS g, o_totalprice::BIGINT // 1000 AS c, count(*) AS n FROM orders GROUP BY 1, 2), k AS (SELECT c, count(*) AS k FROM p GROUP BY 1)
+WITH p AS (SELECT o_custkey AS g, floor(o_totalprice)::BIGINT AS c, count(*) AS n FROM orders GROUP BY 1, 2), k AS (SELECT c, count(*) AS k FROM p GROUP BY 1)
 SELECT g, sum(n)::BIGINT AS private FROM p JOIN k USING (c) WHERE k = 1 GROUP BY 1
 """)
 def private_mass(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").select("o_custkey", F.floor(F.round("o_totalprice") / 1000).cast("string").alias("c"))
+    rows = table(spark, d, "orders").select("o_custkey", F.floor("o_totalprice").cast("string").alias("c"))
     return K.private_mass(K.pair_counts(rows, "o_custkey", "c"))
 
 
@@ -215,7 +215,6 @@ def category_pruning_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def two_key_split(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of each split that is disjoint on suppliers and on types at once."""
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey").join(part, "l_partkey")
-    return K.two_key_split(rows, "l_suppkey", "p_type", restarts=8)[0]
+    """Rows of each split that is disjoint on customers and on price levels at once."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.floor("o_totalprice").cast("string").alias("level"))
+    return K.two_key_split(rows, "o_custkey", "level", restarts=8)[0]
