@@ -18,6 +18,7 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,28 +98,52 @@ def tree_rules(text: str, names: list[str]) -> set[Rule]:
     return rules
 
 
+def lasso_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, penalty: float = LASSO, rounds: int = 3000) -> tuple[float, np.ndarray]:
+    """(intercept, weights) that minimise the mean logistic loss plus ``penalty`` times the weights' absolute sum.
+
+    ``n`` counts equal rows.  Accelerated proximal gradient steps; the intercept isn't penalised.
+    """
+    a, share = np.column_stack([np.ones(len(x)), x]), n / n.sum()
+    step = 4.0 / np.linalg.eigvalsh((a * share[:, None]).T @ a)[-1]
+    shrink = np.r_[0.0, np.full(x.shape[1], penalty * step)]
+    w = z = np.zeros(a.shape[1])
+    t = 1.0
+    for _ in range(rounds):
+        slope = a.T @ (share * (1 / (1 + np.exp(-np.clip(a @ z, -30, 30))) - y))
+        moved = z - step * slope
+        after, t_after = np.sign(moved) * np.maximum(0.0, np.abs(moved) - shrink), (1 + np.sqrt(1 + 4 * t * t)) / 2
+        z = after + (t - 1) / t_after * (after - w)
+        if np.abs(after - w).max() < 1e-7:
+            w = after
+            break
+        w, t = after, t_after
+    return float(w[0]), w[1:]
+
+
 def fit(rows: DataFrame, label: str = "label") -> RuleModel:
-    """Rules and weights from ``rows`` (NAMES and ``label``), MAX_LABELLED of them at most."""
-    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    """Rules and weights from ``rows`` (NAMES and ``label``), MAX_LABELLED of them at most.
+
+    Trees are grown by Spark ML.  The weights need only how often each pattern of fired rules
+    occurs with each label; those counts, at most a row per labelled row, go to the driver.
+    """
+    from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     n, ones = rows.agg(F.count("*"), F.sum(label)).first()
     ones = ones or 0
     prior = (ones + 1) / (n + 2)
     if ones in (0, n):
-        from math import log
-
-        return RuleModel(log(prior / (1 - prior)), ())
+        return RuleModel(float(np.log(prior / (1 - prior))), ())
     plain = VectorAssembler(inputCols=NAMES, outputCol="features").transform(rows.select(F.col(label).cast("double").alias("label"), *NAMES))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=64, seed=SEED, featureSubsetStrategy="onethird", minInstancesPerNode=5).fit(plain)
     rules = sorted({r for tree in forest.trees for r in tree_rules(tree.toDebugString, NAMES)}, key=lambda r: r.bounds)
-    made = rows.select(F.col(label).cast("double").alias("label"), F.array(*[r.column(F.col) for r in rules]).alias("rules"))
-    from pyspark.ml.functions import array_to_vector
-
-    fired = made.select("label", array_to_vector("rules").alias("features"))
-    lasso = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, maxIter=100, standardization=False).fit(fired)
-    weights = lasso.coefficients.toArray()
-    return RuleModel(float(lasso.intercept), tuple((r, float(w)) for r, w in zip(rules, weights, strict=True) if w))
+    if not rules:
+        return RuleModel(float(np.log(prior / (1 - prior))), ())
+    fired = F.array_join(F.array(*[r.column(F.col).cast("int") for r in rules]), "")
+    seen = rows.groupBy(fired.alias("fired"), F.col(label).alias("label")).agg(F.count("*").alias("n")).orderBy("fired", "label").toPandas()
+    x = np.array([list(map(float, s)) for s in seen["fired"]])
+    intercept, weights = lasso_logistic(x, seen["label"].to_numpy(float), seen["n"].to_numpy(float))
+    return RuleModel(intercept, tuple((r, float(w)) for r, w in zip(rules, weights, strict=True) if w))
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -126,12 +151,18 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def train(stats: DataFrame, labels: DataFrame) -> RuleModel:
-    """Fit to the labelled rows of ``stats`` (doc_id and NAMES) that aren't held out."""
+def learnable(ids: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, label): at most MAX_LABELLED labelled rows of ``ids`` that aren't held out, by a hash of the id."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter("label IN (0, 1)")
     own = own.filter(~is_held_out(F.col("doc_id")))
-    known = stats.join(own, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(MAX_LABELLED)
-    return fit(materialize(known.select("label", *NAMES), "labelled").repartition(8))
+    known = own.join(ids.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    return materialize(known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", "label").limit(MAX_LABELLED), "labelled")
+
+
+def train(stats: DataFrame, labels: DataFrame) -> RuleModel:
+    """Fit to labelled rows of ``stats`` (doc_id and NAMES)."""
+    rows = stats.join(F.broadcast(learnable(stats, labels)), "doc_id")  # MAX_LABELLED rows
+    return fit(materialize(rows.select("label", *NAMES).repartition(2), "learnt"))
 
 
 def with_statistics(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -142,7 +173,9 @@ def with_statistics(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def filter_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """``docs`` without the documents scored under ``least``; same columns, no shuffle of texts."""
-    model = train(with_statistics(docs), labels)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    some = ids.join(F.broadcast(learnable(ids, labels)), "doc_id").select("doc_id", "text")  # statistics of these alone are fitted
+    model = train(with_statistics(some), labels)
     name = "_stats"
     while name in docs.columns:
         name = "_" + name
