@@ -18,12 +18,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import attach
+from cohortry.llm.common import attach, materialize
 
 MAX_RATIO, MIN_PAGES = 0.3, 5
 #: What is no text, what ends a line, and other markup.  Fixed patterns.
-HIDDEN = r"<script[^>]*>[^<]*(<[^/][^<]*|</[^s][^<]*)*</script>|<style[^>]*>[^<]*</style>|<!--[^>]*-->"
-BREAKS = r"</?(p|div|h[1-6]|li|ul|ol|nav|article|section|header|footer|title|table|tr|td|br|head|body|html)([^A-Za-z0-9>][^>]*)?>"
+HIDDEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
+BREAKS = r"(?i)</?(p|div|h[1-6]|li|ul|ol|nav|article|section|header|footer|title|table|tr|td|br|head|body|html)([^A-Za-z0-9>][^>]*)?>"
 TAGS = r"<[^>]*>"
 
 
@@ -52,6 +52,7 @@ def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
 def drop_boilerplate(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(page_id, host, n_lines, n_dropped, text): the lines of each page that are its own."""
     rows = pages.select(F.col(key).alias("page_id"), host_of(F.col(url)).alias("host"), text_lines(F.col(html)).alias("lines"))
+    rows = materialize(rows, "lines")  # read again to count and to drop; markup is parsed once
     found = boilerplate(rows, max_ratio, min_pages)
     with_key = rows.withColumn("_host", F.coalesce("host", F.lit("")))
     joined = attach(with_key, found.withColumnRenamed("host", "_host"), ["_host"], "page_id", "left")
