@@ -65,6 +65,19 @@ def keyed(docs: DataFrame, key: str = "doc_id", row: str = "_row") -> DataFrame:
     return materialize(numbered, "keyed")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores in front where ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def columns_of(df: DataFrame) -> list:
+    """Columns of ``df`` by name, dots and all."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def salt(*columns: str, salts: int = SALTS):
     """A salt from columns that differ between the rows of one key."""
     return F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(salts)).cast("int")

@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import SPACES, attach, keyed, materialize, new_path
+from cohortry.llm.common import SPACES, attach, columns_of, free_name, keyed, materialize, new_path
 
 
 def text_sha256(text):
@@ -95,9 +95,10 @@ def decisions(docs: DataFrame, index: DigestIndex | None = None, increments: int
 
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """``docs`` without the rows whose text an earlier row or the index has; same columns."""
-    rows = keyed(docs)
-    stay = decisions(rows, index).filter("kept").select("_row")
-    return rows.join(stay, "_row", "left_semi").select(*docs.columns)
+    row = free_name(docs, "_row")
+    rows = keyed(docs, row=row)
+    stay = decisions(rows.select(F.col(row).alias("_row"), "doc_id", "text"), index).filter("kept").select(F.col("_row").alias(row))
+    return rows.join(stay, row, "left_semi").select(*columns_of(docs))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import attach, keyed, materialize, words_count
+from cohortry.llm.common import attach, columns_of, free_name, keyed, materialize, words_count
 
 TARGET_ENTROPY, MAX_REPEATS, SEED = 0.97, 4.0, 42
 #: Documents that one block holds on average, halvings of the exponent's interval, sources that
@@ -125,10 +125,11 @@ def mix_rows(rows: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeat
 
 def mix(docs: DataFrame, **limits) -> DataFrame:
     """``docs`` with each row as often as its source's weight has it; same columns."""
-    rows = keyed(docs)
-    taken, _ = mix_rows(rows.select("_row", F.col("source").cast("string").alias("source"), words_count(F.col("text")).alias("tokens")), **limits)
-    times = taken.groupBy("_row").agg(F.count("*").cast("int").alias("_times"))
-    return rows.join(times, "_row").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    row, times, time = (free_name(docs, n) for n in ("_row", "_times", "_time"))
+    rows = keyed(docs, row=row)
+    taken, _ = mix_rows(rows.select(F.col(row).alias("_row"), F.col("source").cast("string").alias("source"), words_count(F.col("text")).alias("tokens")), **limits)
+    counts = taken.groupBy(F.col("_row").alias(row)).agg(F.count("*").cast("int").alias(times))
+    return rows.join(counts, row).withColumn(time, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*columns_of(docs))
 
 
 def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

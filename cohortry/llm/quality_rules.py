@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import SPACES, materialize
+from cohortry.llm.common import SPACES, columns_of, free_name, materialize
 
 #: Labelled rows that are fitted at most.
 MAX_LABELLED = 20_000
@@ -176,12 +176,10 @@ def filter_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> Da
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     some = ids.join(F.broadcast(learnable(ids, labels)), "doc_id").select("doc_id", "text")  # statistics of these alone are fitted
     model = train(with_statistics(some), labels)
-    name = "_stats"
-    while name in docs.columns:
-        name = "_" + name
+    name = free_name(docs, "_stats")
     stats = statistics(F.col("text").cast("string"))
     rows = docs.withColumn(name, F.struct(*[stats[n].alias(n) for n in NAMES]))
-    return rows.filter(model.score(lambda n: F.col(name)[n]) >= least).select(*docs.columns)
+    return rows.filter(model.score(lambda n: F.col(name)[n]) >= least).select(*columns_of(docs))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import attach, keyed, materialize
+from cohortry.llm.common import attach, columns_of, free_name, keyed, materialize
 from cohortry.llm.graph import connected_components
 
 BITS, RADIUS, WIDTH, SEED = 64, 3, 3, 42
@@ -176,9 +176,11 @@ def near_classes(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with the first document of each class of near-duplicates; same columns."""
-    rows = keyed(docs)
-    stay = near_classes(rows).filter("_row = component_row").select("_row")
-    return rows.join(stay, "_row", "left_semi").select(*docs.columns)
+    row = free_name(docs, "_row")
+    rows = keyed(docs, row=row)
+    found = near_classes(rows.select(F.col(row).alias("_row"), "doc_id", "text"))
+    stay = found.filter("_row = component_row").select(F.col("_row").alias(row))
+    return rows.join(stay, row, "left_semi").select(*columns_of(docs))
 
 
 def op10_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:

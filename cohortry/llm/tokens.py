@@ -23,6 +23,10 @@ MARKS = ".,;:!?*%&$#|()"
 ODD_SPACES = "\x1c\x1d\x1e\x1f᠎"
 
 
+#: All that Python splits at, but for the space and the line break.
+OTHER_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+
+
 def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
@@ -106,8 +110,9 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _spaces_kept(self, text: str) -> bytes:
-        # Each space or line break must stand alone between words; then the pattern never takes two.
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        # Each space or line break must stand alone between words, without spaces of other kinds;
+        # then the pattern never takes two.
+        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or any(map(text.__contains__, OTHER_SPACES)):
             return self.whole(text)
         first, later, out = self.first, self.later.__getitem__, []
         for line in text.split("\n"):

@@ -33,7 +33,7 @@ ODD = [
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    return spark.createDataFrame(ODD, SCHEMA).withColumns({"_salt": F.lit(1), "digest": F.lit("x"), "_n": F.lit("y"), "file": F.lit(0), "kept": F.lit(2)})
+    return spark.createDataFrame(ODD, SCHEMA).withColumns({"_salt": F.lit(1), "digest": F.lit("x"), "_n": F.lit("y"), "file": F.lit(0), "kept": F.lit(2), "_row": F.lit("z"), "_stats": F.lit(3), "a.b": F.lit(4)})
 
 
 @pytest.fixture(scope="module")
