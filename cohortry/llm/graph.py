@@ -15,7 +15,9 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for each node that has an edge; component is its smallest node.
+    """(node, component) for each node with a path to a smaller one; component is the smallest.
+
+    A component's smallest node isn't listed, nor are nodes without edges: they are their own.
 
     ``edges`` has long columns src and dst.  Rounds of large-star and small-star: each links
     a node's neighbours to the smallest of them, until nothing changes.  A round's edges are
