@@ -178,7 +178,10 @@ def _below(rows: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def mode_valley(rows: DataFrame, curve: DataFrame, lim: DataFrame, p: FrontParams = P) -> DataFrame:
-    """(g, mode, cut, depth, size): the first early peak that has an acceptable valley after it, with the first such."""
+    """(g, mode, cut, depth, size): the first early peak that has an acceptable valley after it, with the first such.
+
+    ``curve`` and ``lim`` are read several times, so persist them; so with the other detectors.
+    """
     at = extrema(curve).join(curve.select("g", "i", "gx", "density"), ["g", "i"])
     top = curve.groupBy("g").agg(F.max("density").alias("top"))
     peaks = at.filter("kind = 'peak'").join(top, "g").join(lim, "g")

@@ -107,13 +107,14 @@ SELECT g, round(mode, 6) AS mode, round(cut, 6) AS cut, round(depth, 6) AS depth
 """)
 def mode_valley(spark: SparkSession, d: str) -> DataFrame:
     rows = D.valid(two_modes(spark, d), "user_id", "value")
-    return rounded(D.mode_valley(rows, D.kde(rows, POINTS), D.limits(rows, PARAMS), PARAMS), "mode", "cut", "depth")
+    curve, lim = D.kde(rows, POINTS).persist(), D.limits(rows, PARAMS).persist()  # read several times
+    return rounded(D.mode_valley(rows, curve, lim, PARAMS), "mode", "cut", "depth")
 
 
 @query()
 def density_drop(spark: SparkSession, d: str) -> DataFrame:
     rows = values(spark, d)
-    out = D.density_drop(rows, D.kde(rows, POINTS), D.limits(rows, PARAMS), PARAMS)
+    out = D.density_drop(rows, D.kde(rows, POINTS).persist(), D.limits(rows, PARAMS).persist(), PARAMS)
     return rounded(out.withColumn("flags", F.array_join("flags", "; ")), "mode", "cut", "depth")
 
 
