@@ -176,10 +176,13 @@ def filter_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> Da
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     some = ids.join(F.broadcast(learnable(ids, labels)), "doc_id").select("doc_id", "text")  # statistics of these alone are fitted
     model = train(with_statistics(some), labels)
-    name = free_name(docs, "_stats")
+    name, fence = free_name(docs, "_stats"), free_name(docs, "_fence")
     stats = statistics(F.col("text").cast("string"))
-    rows = docs.withColumn(name, F.struct(*[stats[n].alias(n) for n in NAMES]))
-    return rows.filter(model.score(lambda n: F.col(name)[n]) >= least).select(*columns_of(docs))
+    # A projection with a generated number stays below the filter that reads it.  Without it the
+    # optimiser would copy the statistics' expressions into each of the hundreds of bounds.
+    rows = docs.select(*columns_of(docs), F.struct(*[stats[n].alias(n) for n in NAMES]).alias(name), F.monotonically_increasing_id().alias(fence))
+    passes = (model.score(lambda n: F.col(name)[n]) >= least) & (F.col(fence) >= 0)
+    return rows.filter(passes).select(*columns_of(docs))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
