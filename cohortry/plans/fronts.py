@@ -126,7 +126,31 @@ def histogram_bins(spark: SparkSession, d: str) -> DataFrame:
     return D.histogram(values(spark, d))
 
 
-@query()
+HIST = """
+hs AS (SELECT g, count(*) AS n, min(x) AS low, max(x) AS high, least(60, greatest(10, floor(sqrt(count(*)))))::INTEGER AS bins FROM x GROUP BY 1 HAVING max(x) > min(x)),
+hb AS (SELECT g, least(bins - 1, floor((x - low) / (high - low) * bins))::INTEGER AS b, count(*) AS k FROM x JOIN hs USING (g) GROUP BY 1, 2),
+hc AS (SELECT e.g, list(coalesce(k, 0) ORDER BY e.b) AS c FROM (SELECT g, unnest(generate_series(0, bins - 1))::INTEGER AS b FROM hs) e LEFT JOIN hb ON hb.g = e.g AND hb.b = e.b GROUP BY 1),
+h1 AS (SELECT hs.*, c, c[1] AS f, c[2] AS s, list_avg(c[2:]) AS rest, list_avg(c[3:]) AS rest2, low + (high - low) * 1 / bins AS e1, low + (high - low) * 2 / bins AS e2, hist_limit, cluster, early_outlier
+  FROM hs JOIN hc USING (g) JOIN (SELECT g, hist_limit, cluster FROM lm) USING (g) JOIN eo USING (g)),
+h2 AS (SELECT *, f >= 2.5::DOUBLE * greatest(s, 1) AND f >= 3.0::DOUBLE * rest AS single, rest2 > 0 AND (f + s) / n >= 0.2::DOUBLE AND (f + s) / 2.0::DOUBLE >= 2.0::DOUBLE * rest2 AS strong FROM h1
+  WHERE n >= 10 AND rest > 0 AND (f / n >= 0.08::DOUBLE OR early_outlier)),
+h3 AS (SELECT *, strong AND f >= 1.5::DOUBLE * rest2 AND s >= 1.5::DOUBLE * rest2 AS two, early_outlier AND strong AND f / n <= 0.02::DOUBLE AND s >= 2.5::DOUBLE * rest2 AS lone FROM h2),
+h4 AS (SELECT *, single OR two OR lone AS hit, NOT single AND (two OR lone) AS pair, NOT single AND lone AS second,
+  list_filter(generate_series(1, least(bins - 1, 5) - 1), lambda i: c[i + 1] <= c[i] AND c[i + 1] <= c[i + 2] AND low + (high - low) * (i + 1) / bins <= hist_limit)[1] AS v,
+  list_filter(generate_series(1, least(bins - 1, 5) - 1), lambda i: c[i + 1] <= 0.2::DOUBLE * f AND low + (high - low) * (i + 1) / bins <= hist_limit)[1] AS d FROM h3),
+h5 AS (SELECT *, CASE WHEN hit AND pair THEN CASE WHEN e2 <= hist_limit THEN 'pair' END WHEN hit AND v IS NOT NULL THEN 'valley' WHEN hit AND d IS NOT NULL THEN 'fall' WHEN hit AND e1 <= hist_limit THEN 'edge' END AS way FROM h4),
+h6 AS (SELECT *, CASE way WHEN 'pair' THEN e2 WHEN 'edge' THEN e1 WHEN 'valley' THEN low + (high - low) * (v + 1) / bins WHEN 'fall' THEN low + (high - low) * (d + 1) / bins END AS cut,
+  1 - c[CASE way WHEN 'pair' THEN 3 WHEN 'valley' THEN v + 1 WHEN 'fall' THEN d + 1 WHEN 'edge' THEN 2 END] / greatest(CASE WHEN pair THEN (f + s) / 2.0::DOUBLE ELSE f END, 1) AS depth FROM h5),
+h7 AS (SELECT g, quantile_cont(x, 0.5) FILTER (WHERE x >= CASE WHEN second THEN e1 ELSE low END AND x <= CASE WHEN second THEN e2 ELSE e1 END) AS mode, count(*) FILTER (WHERE x <= cut) AS size FROM x JOIN h6 USING (g) GROUP BY 1),
+h8 AS (SELECT *, way IS NOT NULL AND size >= cluster AS ok FROM h6 JOIN h7 USING (g))
+SELECT g, CASE WHEN ok THEN round(mode, 6) END AS mode, CASE WHEN ok THEN round(cut, 6) END AS cut, CASE WHEN ok THEN round(depth, 6) END AS depth, CASE WHEN ok THEN size END AS size,
+  concat_ws('; ', CASE WHEN NOT hit THEN 'no_histogram_first_bin_enrichment' END, CASE way WHEN 'pair' THEN 'cutoff_estimated_from_first_two_histogram_bins' WHEN 'valley' THEN 'cutoff_estimated_from_histogram_valley'
+    WHEN 'fall' THEN 'cutoff_estimated_from_histogram_drop' WHEN 'edge' THEN 'cutoff_estimated_from_first_histogram_bin' END, CASE WHEN way IS NOT NULL AND size < cluster THEN 'histogram_early_cluster_too_small' END,
+    CASE WHEN ok AND second THEN 't0_estimated_as_median_of_second_histogram_bin' WHEN ok THEN 't0_estimated_as_median_of_first_histogram_bin' END) AS flags FROM h8
+"""
+
+
+@query(f"WITH {X}, {GAPS}, {LIMITS}, {HIST}")
 def histogram_front(spark: SparkSession, d: str) -> DataFrame:
     rows = values(spark, d)
     out = D.histogram_front(rows, D.value_profile(rows), D.limits(rows, PARAMS), PARAMS)

@@ -94,7 +94,17 @@ def split_in_group(spark: SparkSession, d: str) -> DataFrame:
     return K.split_in_group(events(spark, d), "user_id", "event_id").select("event_id", "split")
 
 
-@query()
+@query("""
+WITH RECURSIVE s AS (SELECT g, c, n, sum(n) OVER (PARTITION BY g) AS total, row_number() OVER (PARTITION BY g ORDER BY md5(c || '42'), c) AS i
+  FROM (SELECT l_suppkey AS g, p_type AS c, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type <> '' GROUP BY 1, 2)),
+r AS (
+  SELECT g, 0::BIGINT AS i, NULL::VARCHAR AS c, 0::BIGINT AS n, '' AS split, 0::BIGINT AS train, 0::BIGINT AS val FROM s WHERE i = 1
+  UNION ALL
+  SELECT g, i, c, n, split, train + CASE WHEN split = 'train' THEN n ELSE 0 END, val + CASE WHEN split = 'val' THEN n ELSE 0 END
+  FROM (SELECT s.*, r.train, r.val, CASE WHEN r.train + s.n < 0.8::DOUBLE * s.total THEN 'train' WHEN r.val + s.n < 0.1::DOUBLE * s.total THEN 'val' ELSE 'test' END AS split FROM r JOIN s ON s.g = r.g AND s.i = r.i + 1)
+)
+SELECT g AS l_suppkey, c AS p_type, n, split FROM r WHERE i > 0
+""")
 def split_in_group_disjoint(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
     return K.split_in_group_disjoint(table(spark, d, "lineitem").select("l_suppkey", "l_partkey").join(part, "l_partkey"), "l_suppkey", "p_type")
