@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortry.llm import minhash
 from cohortry.llm.common import attach, columns_of, free_name, keyed, materialize
 from cohortry.llm.graph import connected_components
 
@@ -174,12 +175,20 @@ def near_classes(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame
     return attach(rows, named, ["fp"], "_row")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with the first document of each class of near-duplicates; same columns."""
+def deduplicate(docs: DataFrame, similarity: float | None = None) -> DataFrame:
+    """``docs`` with the first document of each class of near-duplicates; same columns.
+
+    With ``similarity`` the first documents are compared by their five-word shingles too, and
+    those similar to an earlier one go as well; see ``minhash``.
+    """
     row = free_name(docs, "_row")
     rows = keyed(docs, row=row)
     found = near_classes(rows.select(F.col(row).alias("_row"), "doc_id", "text"))
     stay = found.filter("_row = component_row").select(F.col("_row").alias(row))
+    if similarity is not None:
+        stay = materialize(stay, "first-documents")
+        texts = rows.join(stay, row, "left_semi").select(F.col(row).alias("node"), "text")
+        stay = stay.join(minhash.copies(texts, similarity).withColumnRenamed("node", row), row, "left_anti")
     return rows.join(stay, row, "left_semi").select(*columns_of(docs))
 
 

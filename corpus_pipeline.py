@@ -13,6 +13,8 @@ from cohortry.llm.common import materialize
 
 #: How often the mix repeats a source at most; the largest source comes once.
 MAX_REPEATS = 2.0
+#: Jaccard similarity of five-word shingles from which two documents are near-duplicates.
+SIMILARITY = 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +28,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays."""
-    return simhash.deduplicate(docs)
+    """One document of each class of near-duplicates stays, by fingerprint or by five-word shingles."""
+    return simhash.deduplicate(docs, similarity=SIMILARITY)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

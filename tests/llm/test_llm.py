@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortry.llm import exact_dedup, graph, line_dedup, mixing, packing, pii, quality_rules, simhash, token_counts, token_files, weighted_sampling
+from cohortry.llm import exact_dedup, graph, line_dedup, minhash, mixing, packing, pii, quality_rules, simhash, token_counts, token_files, weighted_sampling
 from cohortry.llm.common import keyed
 from cohortry.llm.tokens import BYTE_BPE, WORD_BPE, Encoder, tokenizer_path
 
@@ -455,6 +455,54 @@ def test_components(spark):
     assert got == {i: find(i) for i in range(700) if find(i) != i}
 
 
+def slow_shingles(t):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or ({" ".join(words)} if words else set())
+
+
+def shingle_similarity(a, b):
+    return len(a & b) / max(1, len(a | b))
+
+
+def test_near_stage_by_shingles(spark, odd, empty):
+    import corpus_pipeline as cp
+
+    rng = random.Random(10)
+    texts = []
+    for _ in range(40):  # copies with words replaced: similarities from about 0.6 to 0.97
+        words = [f"w{rng.randrange(50_000)}" for _ in range(400)]
+        texts.append(" ".join(words))
+        for changed in (2, 6, 8, 20):
+            copy = list(words)
+            for k in rng.sample(range(0, 400, 5), changed):
+                copy[k] = f"x{rng.randrange(50_000)}"
+            texts.append(" ".join(copy))
+    same = [f"s{k}" for k in range(300)]
+    texts += [" ".join([*same, f"only{i}", *(f"t{i}x{j}" for j in range(20))]) for i in range(70)]  # one bucket, many hubs
+    sets = [slow_shingles(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = sorted(r.doc_id for r in cp.near(spark, docs, "").collect())
+    alike = lambda i, j: shingle_similarity(sets[i], sets[j]) >= 0.8
+    assert not any(alike(i, j) for n, j in enumerate(kept) for i in kept[:n])
+    gone = set(range(len(texts))) - set(kept)
+    fps = [slow_fingerprint(t) for t in texts]
+    assert all(any(alike(i, j) or (fps[i] ^ fps[j]).bit_count() <= 3 for i in range(j)) for j in gone)
+    assert any((fps[i] ^ fps[j]).bit_count() > 3 and alike(i, j) for j in gone for i in range(j))
+    assert cp.near(spark, odd, "").columns == odd.columns and cp.near(spark, empty, "").count() == 0
+
+
+def test_bands_and_sets():
+    a, b = "A b\tc d  e f g", "a b c d e f h"
+    x, y = (minhash.shingle_set(t.encode()) for t in (a, b))
+    assert len(x) == 3 and minhash.jaccard(x, y) == shingle_similarity(slow_shingles(a), slow_shingles(b)) == 0.5
+    assert len(minhash.shingle_set(b"a b")) == 1 and len(minhash.shingle_set(None)) == 0
+    rng = np.random.default_rng(11)
+    pool = rng.integers(0, 2**63, 20_000, np.uint64)
+    assert (minhash.bands(pool) == minhash.bands(pool, step=77)).all()
+    met = sum((minhash.bands(p[:900]) == minhash.bands(p[100:])).any() for p in (rng.permutation(pool)[:1000] for _ in range(200)))
+    assert met == 200  # similarity 0.8: at least one band in common
+
+
 # The pipeline
 
 
