@@ -2,8 +2,8 @@
 
 Rows are ordered by a hash of their id and a seed, so every assignment is a function of the
 data alone.  Whole-group assignments are sequential over groups by nature: group sizes are
-aggregated by Spark, one array of (size, key) is folded by a column expression, and the result
-is joined back.  ``MAX_GROUPS`` bounds that array; more groups are dealt in snake order.
+aggregated by Spark, the driver goes through distinct sizes or blocks of groups, and the
+groups are placed from that by columns, however many there are.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MAX_GROUPS = 100_000
 SPLITS = ["train", "val", "test"]
 RATIOS = [0.8, 0.1, 0.1]
 
@@ -35,46 +34,59 @@ def group_sizes(df: DataFrame, group: str) -> DataFrame:
     return df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"))
 
 
-def _fold_over(sizes: DataFrame, order: list[str], start: Column, step, group: str) -> DataFrame:
-    """(group, n, <choice>) from folding ``step`` over the groups in order.
-
-    ``step(state, item)`` gives (new loads, choice); the state is (loads, list of choices).
-    """
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(group).alias("g"), F.col("n").alias("size"))))
-    state = F.struct(start.alias("loads"), F.array().cast("array<int>").alias("choices"))
-
-    def merge(a: Column, x: Column) -> Column:
-        loads, choice = step(a["loads"], x)
-        return F.struct(loads.alias("loads"), F.concat(a["choices"], F.array(choice.cast("int"))).alias("choices"))
-
-    one = sizes.agg(items.alias("items"))
-    done = one.withColumn("choices", F.aggregate("items", state, merge)["choices"])
-    rows = done.select(F.explode(F.arrays_zip("items", "choices")).alias("x"))
-    return rows.select(F.col("x.items.g").alias(group), F.col("x.items.size").alias("n"), F.col("x.choices").alias("choice"))
-
-
 def _add(loads: Column, at: Column, n: Column) -> Column:
     return F.transform(loads, lambda x, i: F.when(i == at, x + n).otherwise(x))
 
 
-def kfold_groups(df: DataFrame, group: str, k: int, max_groups: int = MAX_GROUPS) -> DataFrame:
+def _turns(sizes: list[tuple[int, int]], k: int) -> list[tuple[int, int, list[int]]]:
+    """(size, after, folds) for (size, groups) by descending size: groups after the ``after``-th take turns over ``folds``.
+
+    Groups of one size go to the smallest of load + i * size over folds and i, so the folds that
+    were fullest join the turns one by one as the others reach them.
+    """
+    loads, out = [0] * k, []
+    for size, groups in sizes:
+        order, done = sorted(range(k), key=lambda j: (loads[j], j)), 0
+        for m in range(1, k + 1):
+            folds = order[:m]
+            low, high = loads[order[m - 1]], loads[order[m]] if m < k else None
+            reach = {j: -(-(low - loads[j]) // size) for j in folds}  # items until fold j is no lower
+            turn = sorted(folds, key=lambda j: (loads[j] + reach[j] * size, j))
+            n = groups - done
+            if high is not None:
+                n = min(n, sum(-(-(high - loads[j]) // size) - reach[j] for j in folds))
+            if n:
+                out.append((size, done, turn))
+                done += n
+        taken = [0] * k
+        for at, (_, after, turn) in enumerate(tail := [t for t in out[-k:] if t[0] == size]):
+            n = (tail[at + 1][1] if at + 1 < len(tail) else groups) - after
+            for i, j in enumerate(turn):
+                taken[j] += n // len(turn) + (i < n % len(turn))
+        loads = [x + t * size for x, t in zip(loads, taken, strict=True)]
+    return out
+
+
+def kfold_groups(df: DataFrame, group: str, k: int, max_groups: int | None = None) -> DataFrame:
     """(group, n, fold): whole groups, largest first, each to the least filled fold so far.
 
-    Ties go to the smaller key and the lower fold.
+    Ties go to the smaller key and the lower fold.  Only the distinct sizes, at most the root of
+    twice the rows, are folded on the driver.  Over ``max_groups``, if given, groups are dealt
+    in snake order instead.
     """
     sizes = group_sizes(df, group)
-    if sizes.limit(max_groups + 1).count() > max_groups:
+    if max_groups is not None and sizes.limit(max_groups + 1).count() > max_groups:
         at = F.row_number().over(Window.orderBy(F.desc("n"), group)) - 1
         lap, seat = F.floor(at / k), F.pmod(at, F.lit(k))
         return sizes.withColumn("fold", F.when(lap % 2 == 0, seat).otherwise(k - 1 - seat).cast("int"))
-
-    def step(loads: Column, x: Column):
-        at = F.array_position(loads, F.array_min(loads)) - 1
-        return _add(loads, at, x["size"]), at
-
-    start = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda _: F.lit(0).cast("long"))
-    order = [(-F.col("n")).alias("a"), F.col(group).alias("b")]
-    return _fold_over(sizes, order, start, step, group).withColumnRenamed("choice", "fold")
+    counts = [(r["n"], r["k"]) for r in sizes.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()]
+    turns = df.sparkSession.createDataFrame(_turns(counts, k), "n long, after long, folds array<int>")
+    last = F.lead("after").over(Window.partitionBy("n").orderBy("after"))
+    turns = turns.withColumn("last", F.coalesce(last, F.lit(2**62)))
+    placed = sizes.withColumn("at", F.row_number().over(Window.partitionBy("n").orderBy(group)).cast("long"))
+    met = placed.join(turns, "n").filter("at > after AND at <= last")
+    turn = F.pmod(F.col("at") - F.col("after") - 1, F.size("folds").cast("long")).cast("int")
+    return met.select(group, "n", F.get("folds", turn).alias("fold"))
 
 
 def split_stratified(df: DataFrame, group: str, row_id: str, seed: int = 42) -> DataFrame:
@@ -88,26 +100,59 @@ def split_stratified(df: DataFrame, group: str, row_id: str, seed: int = 42) ->
     return rows.withColumn("split", split).drop("_at", "_n")
 
 
-def split_groups(df: DataFrame, group: str, seed: int = 42, max_groups: int = MAX_GROUPS) -> DataFrame:
+def _first_fit(sizes: list[int], total: int, train: int, val: int) -> tuple[list[int], int, int]:
+    """(choices, train, val) of groups in order, from what train and val hold before them."""
+    out = []
+    for n in sizes:
+        at = 0 if train + n < 0.8 * total else 1 if val + n < 0.1 * total else 2
+        train, val = train + n * (at == 0), val + n * (at == 1)
+        out.append(at)
+    return out, train, val
+
+
+def split_groups(df: DataFrame, group: str, seed: int = 42, per_block: int = 10_000) -> DataFrame:
     """(group, n, split): groups in random order; train while under 80 %, else val while under 10 %, else test.
 
     Empty and null keys are left out.  A group that doesn't fit adds nothing, so later ones may.
+    The order is cut into blocks of at most about ``per_block`` groups by the first digits of
+    the hash; only blocks in which a limit is reached are gone through group by group.
     """
-    sizes = group_sizes(df.filter(F.col(group).cast("string") != ""), group)
-    total = sizes.agg(F.sum("n").alias("total"), F.count("*").alias("groups"))
-    checked = F.when(F.col("groups") <= max_groups, F.col("total")).otherwise(F.raise_error(F.lit("too many groups for one array")))
-    with_total = sizes.crossJoin(F.broadcast(total.select(checked.alias("total"))))
-
-    def step(loads: Column, x: Column):
-        # The first load is the total, so that limits are at hand.
-        fits = lambda at, share: F.get(loads, F.lit(at)) + x["size"] < F.lit(share) * x["all"]
-        at = F.when(fits(0, 0.8), 0).when(fits(1, 0.1), 1).otherwise(2)
-        return _add(loads, at, x["size"]), at
-
-    start = F.array(*[F.lit(0).cast("long")] * 3)
-    order = [order_key(group, seed).alias("a"), F.col(group).alias("b"), F.col("total").alias("all")]
-    out = _fold_over(with_total, order, start, step, group)
-    return out.select(group, "n", F.element_at(F.array(*map(F.lit, SPLITS)), F.col("choice") + 1).alias("split"))
+    sizes = group_sizes(df.filter(F.col(group).cast("string") != ""), group).withColumn("_order", order_key(group, seed))
+    groups, total = sizes.agg(F.count("*"), F.sum("n")).first()
+    digits = 0
+    while groups > per_block * 16**digits:
+        digits += 1
+    blocks = sizes.withColumn("_block", F.substring("_order", 1, digits) if digits else F.lit(""))
+    train = val = 0
+    states: list[tuple[str, int | None, int, int]] = []
+    for r in blocks.groupBy("_block").agg(F.sum("n").alias("n"), F.min("n").alias("least")).orderBy("_block").collect():
+        choice, before = None, (train, val)
+        if train + r["n"] < 0.8 * total:
+            choice, train = 0, train + r["n"]
+        elif train + r["least"] >= 0.8 * total:
+            if val + r["n"] < 0.1 * total:
+                choice, val = 1, val + r["n"]
+            elif val + r["least"] >= 0.1 * total:
+                choice = 2
+        if choice is None:
+            own = blocks.filter(F.col("_block") == r["_block"]).orderBy("_order", group).select("n").collect()
+            _, train, val = _first_fit([x["n"] for x in own], total, train, val)
+        states.append((r["_block"], choice, *before))
+    table = df.sparkSession.createDataFrame(states, "_block string, _choice int, _train long, _val long")
+    rows = blocks.join(table, "_block")
+    kind = sizes.schema[group].dataType.simpleString()
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_rank")
+        first = part.iloc[0]
+        choices, _, _ = _first_fit([int(n) for n in part["n"]], total, int(first["_train"]), int(first["_val"]))
+        return part[[group, "n"]].assign(choice=choices)
+
+    rank = F.row_number().over(Window.partitionBy("_block").orderBy("_order", group))
+    mixed = rows.filter("_choice IS NULL").select(group, "n", "_block", "_train", "_val", rank.alias("_rank"))
+    told = mixed.groupBy("_block").applyInPandas(run, f"`{group}` {kind}, n long, choice int")
+    whole = rows.filter("_choice IS NOT NULL").select(group, "n", F.col("_choice").alias("choice"))
+    return whole.unionAll(told).select(group, "n", F.element_at(F.array(*map(F.lit, SPLITS)), F.col("choice") + 1).alias("split"))
 
 
 def cv_roles(k: int, spark: SparkSession) -> DataFrame:

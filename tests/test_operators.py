@@ -148,6 +148,34 @@ def test_first_fit_skips_what_does_not_fit(spark):
     assert {r.g: r.split for r in K.split_groups(sized(spark, sizes), "g").collect()} == want
 
 
+def test_whole_groups_beyond_one_array(spark):
+    import hashlib
+    import random
+
+    rng = random.Random(3)
+    for k, n_groups, big in ((2, 300, 900), (5, 2000, 3000), (7, 400, 1)):
+        sizes = {f"{i:05}": rng.choice((1, 1, 1, 2, 3, 5, 8, rng.randint(1, 60))) for i in range(n_groups)} | {f"{n_groups:05}": big}
+        loads, want = [0] * k, {}
+        for g in sorted(sizes, key=lambda g: (-sizes[g], g)):
+            want[g] = loads.index(min(loads))
+            loads[want[g]] += sizes[g]
+        df = sized(spark, sizes)
+        assert {r.g: r.fold for r in K.kfold_groups(df, "g", k).collect()} == want
+        train = val = 0
+        fit, total = {}, sum(sizes.values())
+        for g in sorted(sizes, key=lambda g: hashlib.md5(f"{g}42".encode()).hexdigest()):
+            n = sizes[g]
+            fit[g] = "train" if train + n < 0.8 * total else "val" if val + n < 0.1 * total else "test"
+            train, val = train + n * (fit[g] == "train"), val + n * (fit[g] == "val")
+        assert {r.g: r.split for r in K.split_groups(df, "g", per_block=20).collect()} == fit
+    many = spark.range(130_001).selectExpr("id div 2 * 2 AS g")
+    many = many.union(spark.range(100_000).selectExpr("id * 2 + 1 AS g"))  # over 100,000 groups, sizes 1 and 2
+    folds = {r.fold: r.n for r in K.kfold_groups(many.union(spark.range(70_000).selectExpr("1L AS g")), "g", 3).groupBy("fold").agg(F.sum("n").alias("n")).collect()}
+    assert max(folds.values()) - min(folds.values()) <= 2 and sum(folds.values()) == 300_001
+    parts = {r.split: r.n for r in K.split_groups(many, "g").groupBy("split").agg(F.sum("n").alias("n")).collect()}
+    assert sum(parts.values()) == 230_001 and 0 <= 0.8 * 230_001 - parts["train"] <= 2 and 0 <= 0.1 * 230_001 - parts["val"] <= 2
+
+
 def test_kfold_sizes(spark):
     df = sized(spark, {"a": 23, "b": 3})
     folds = {(r.g, r.fold): r.n for r in K.kfold_stratified(df, "g", "i").groupBy("g", "fold").agg(F.count("*").alias("n")).collect()}
