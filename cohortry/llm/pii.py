@@ -40,11 +40,20 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 
-SPELT_MAIL = re.compile(
-    r"[A-Za-z0-9._%+-]{1,64}(?: ?[\[({] ?at ?[\])}] ?| at )[A-Za-z0-9-]{1,63}(?:(?: ?[\[({] ?dot ?[\])}] ?| dot |\.)[A-Za-z0-9-]{1,63}){1,4}", re.IGNORECASE
-)
-LONG_IP = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
+AT_FORM = re.compile(r" ?[\[({] ?at ?[\])}] ?| at ", re.IGNORECASE)
+SPELT_DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?: ?[\[({] ?dot ?[\])}] ?| dot |\.)[A-Za-z0-9-]{1,63}){1,4}", re.IGNORECASE)
+#: Runs of hexadecimal digits and colons; ``long_ip`` tells which are addresses.
+LONG_IP = re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f:]{2,39}(?![0-9A-Za-z:])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+])(?:00[1-9][0-9]{0,2}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
+#: National numbers in other groupings: a trunk zero or an area in brackets first, or pairs, or Spanish groups of three.
+NATIONAL_PHONE = re.compile(
+    r"(?<![0-9A-Za-z+.,/-])(?:"
+    r"0[1-9](?:[ .-][0-9]{2}){4}"  # 01 23 45 67 89
+    r"|\(?0[1-9][0-9]{1,4}\)?[ ./-]{1,3}[0-9]{3,8}(?:[ .-][0-9]{2,5}){0,3}"  # 030 1234567, (0171) 234 56 78
+    r"|[6-9][0-9]{2}(?:[ .-][0-9]{3}){2}|[6-9][0-9]{2}(?:[ .-][0-9]{2}){3}|[89][0-9][ .-][0-9]{3}(?:[ .-][0-9]{2}){2}"  # 612 345 678, 91 234 56 78
+    r"|\([0-9]{2,5}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}"  # (11) 4321-1234
+    r")(?![0-9A-Za-z])"
+)
 
 #: Gazetteers; fixed values.
 TOP_DOMAINS = frozenset("com org net edu gov info io de fr es it uk us eu ca au jp cn in br mx nl be ch at se no dk fi pl pt".split())
@@ -65,6 +74,14 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def long_ip(s: str) -> bool:
+    """Whether a run of hexadecimal digits and colons is an address of eight groups, or of fewer around one ``::``."""
+    left, gap, right = s.partition("::")
+    groups = [g for part in (left, right) if part for g in part.split(":")]
+    fits = 1 <= len(groups) <= 7 if gap else len(groups) == 8
+    return fits and all(1 <= len(g) <= 4 for g in groups)
+
+
 def _digits(s: str) -> str:
     return "".join(DIGIT.findall(s))
 
@@ -84,6 +101,21 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def spelt_emails(text: str) -> list[tuple[int, int]]:
+    """Addresses with a spelt-out @, found from each of them outwards as in ``emails``."""
+    out, floor, at = [], 0, AT_FORM.search(text)
+    while at:
+        start = at.start()
+        while start > max(floor, at.start() - 64) and text[start - 1] in LOCAL:
+            start -= 1
+        m = SPELT_DOMAIN.match(text, at.end()) if start < at.start() else None
+        if m:
+            out.append((start, m.end()))
+            floor = m.end()
+        at = AT_FORM.search(text, m.end() if m else at.start() + 1)
+    return out
+
+
 def base_spans(text: str) -> list[list[tuple[int, int]]]:
     """Spans of each kind by the strict patterns."""
     spans = [emails(text) if "@" in text else [], [], [], []]
@@ -102,14 +134,16 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
 def looser_spans(text: str, base: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
     """Candidates of each kind that touch no base span of any kind, nor each other."""
     found: list[list[tuple[int, int]]] = [[], [], [], []]
-    low = "dot" in text or "DOT" in text or "Dot" in text
-    if low and re.search(r"[\[({ ]at[\])} ]", text, re.IGNORECASE):
-        found[0] = [m.span() for m in SPELT_MAIL.finditer(text)]
+    found[0] = spelt_emails(text)
+    if "::" in text or text.count(":") >= 7:
+        found[1] = [m.span() for m in LONG_IP.finditer(text) if long_ip(m[0])]
     if DIGIT.search(text):
-        if text.count(":") >= 7:
-            found[1] = [m.span() for m in LONG_IP.finditer(text)]
         found[2] = [m.span() for m in CARD.finditer(text) if 13 <= m.end() - m.start() <= 30 and 13 <= len(d := _digits(m[0])) <= 15 and luhn(d)]
         found[3] = [m.span() for m in LOCAL_PHONE.finditer(text)]
+        for m in NATIONAL_PHONE.finditer(text):
+            if 8 <= len(_digits(m[0])) <= 13 and not any(s < m.end() and m.start() < e for s, e in found[3]):
+                found[3].append(m.span())
+        found[3].sort()
     taken = [s for spans in base for s in spans]
     for spans in found:
         if spans and taken:

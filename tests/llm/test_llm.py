@@ -96,6 +96,24 @@ def test_pii_adds_what_labelers_support(spark, odd, empty):
     assert pii.personal_data(odd).count() == len(ODD) and pii.personal_data(empty).count() == 0
 
 
+@pytest.mark.parametrize("kind, span", [
+    (0, "jane [at] example.com"), (0, "jane at example.com"), (0, "jane (AT) mail.example.org"), (0, "jane [ at ] mail [ dot ] com"),
+    (1, "2001:db8::1"), (1, "fe80::1ff:fe23:4567:890a"), (1, "::1"), (1, "2001:db8:0:0:0:0:2:1"),
+    (3, "415-555-1234"), (3, "01 23 45 67 89"), (3, "030 1234567"), (3, "(0171) 234 56 78"), (3, "612 345 678"), (3, "91 234 56 78"), (3, "(11) 4321-1234"), (3, "020 7946 0958"),
+])
+def test_looser_candidates_in_any_text(kind, span):
+    for before, after in (("reach ", " now"), ("an anecdote: ", " ok"), ("", "")):
+        text = before + span + after
+        got = [text[s:e] for s, e in pii.looser_spans(text, pii.base_spans(text))[kind]]
+        assert len(got) == 1 and span in got[0], (text, got)
+
+
+def test_looser_candidates_need_their_shape():
+    for text in ("std::vector<int> x1", "at 12:30:45 or 1::2::3", "a:b:c:d:e:f:1:2:3", "in 1999 2000 2001", "we met at noon. Then 5 left", "12345::1"):
+        assert not any(pii.looser_spans(text, pii.base_spans(text))), text
+    assert pii.looser_spans("0" * 200_000 + ":" * 100_000 + "1 at " * 20_000, [[], [], [], []])
+
+
 # 3, 4 and their tokenizer
 
 
