@@ -227,4 +227,4 @@ def category_pruning_report(spark: SparkSession, d: str) -> DataFrame:
 def two_key_split(spark: SparkSession, d: str) -> DataFrame:
     """Rows of each split that is disjoint on customers and on price levels at once."""
     rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.floor("o_totalprice").cast("string").alias("level"))
-    return K.two_key_split(rows, "o_custkey", "level", restarts=8)[0]
+    return K.two_key_split(rows, "o_custkey", "level", restarts=25)[0]

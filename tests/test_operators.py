@@ -364,3 +364,13 @@ def test_sinks(spark, tmp_path):
     for _ in range(2):
         assert T.build_if_missing(spark, f"{tmp_path}/b", build).count() == 2
     assert len(calls) == 1
+
+
+def test_two_key_query_runs_all_restarts(spark, monkeypatch):
+    from cohortry.plans import splitting
+
+    asked = []
+    whole = K.restart_assignments
+    monkeypatch.setattr(K, "restart_assignments", lambda pairs, problem, restarts=25, seed=42: asked.append(restarts) or whole(pairs, problem, restarts, seed))
+    assert splitting.two_key_split(spark, "/root/testdata/sf0.001").count() > 0
+    assert asked == [25]
