@@ -3,7 +3,8 @@
 ``Encoder.encode(text)`` gives exactly what ``tokenizers`` gives for the text.  Both kinds of
 pre-tokenisation used here never join characters across a single space or line break, so a
 text's ids are those of its words in a row, and most words of a corpus recur.  Texts for
-which that reasoning doesn't hold (runs of spaces, rare kinds of space) are encoded whole.
+which that reasoning doesn't hold (runs of spaces, rare kinds of space, strings of added
+tokens, which the library takes for those tokens) are encoded whole.
 """
 
 from __future__ import annotations
@@ -88,10 +89,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 2**16 else "<u4"
         with open(path, encoding="utf-8") as f:
-            pre = json.load(f)["pre_tokenizer"]
+            spec = json.load(f)
+        pre, self.added = spec["pre_tokenizer"], [t["content"] for t in spec["added_tokens"]]
         split = (pre.get("pretokenizers") or [{}])[0]
         if pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]:
             self.encode = self._spaces_kept
@@ -112,7 +113,7 @@ class Encoder:
     def _spaces_kept(self, text: str) -> bytes:
         # Each space or line break must stand alone between words, without spaces of other kinds;
         # then the pattern never takes two.
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or any(map(text.__contains__, OTHER_SPACES)):
+        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or any(map(text.__contains__, OTHER_SPACES)) or any(map(text.__contains__, self.added)):
             return self.whole(text)
         first, later, out = self.first, self.later.__getitem__, []
         for line in text.split("\n"):
@@ -121,7 +122,7 @@ class Encoder:
         return self.line_break.join(out)
 
     def _spaces_dropped(self, text: str) -> bytes:
-        if any(c in text for c in ODD_SPACES):
+        if any(map(text.__contains__, ODD_SPACES)) or any(map(text.__contains__, self.added)):
             return self.whole(text)
         return b"".join(map(self.first.__getitem__, text.split()))
 
