@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from cohortry.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from cohortry.llm.line_dedup import OP1_SQL, op1_line_dedup
-from cohortry.llm.mixing import op9_temperature_mixing
+from cohortry.llm.mixing import OP9_SQL, op9_temperature_mixing
 from cohortry.llm.packing import op4_best_fit_packing
 from cohortry.llm.pii import op2_pii_supervision
 from cohortry.llm.quality_rules import op8_quality_rules
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_temperature_mixing": op9_temperature_mixing,
     "op10_simhash_covering": op10_simhash_covering,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op6_exact_dedup": OP6_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op9_temperature_mixing": OP9_SQL}
