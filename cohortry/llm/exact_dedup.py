@@ -2,23 +2,35 @@
 
 The index is a table with one row per distinct text, bucketed and sorted by the text's
 digest.  New data are reduced to one candidate per digest, anti-joined with the index by
-sort-merge (the index side is read bucket by bucket and never shuffled), and what is left
-is appended.  DataFrame operations only.
+sort-merge (the index side is read bucket by bucket and never shuffled, nor sorted while each
+bucket is one file), and what is left is appended.  DataFrame operations only.
+
+An index lives in a folder.  Each generation of it is a subfolder with the files of all
+buckets, and the newest manifest names the generation and its bucket specification, so a later
+session opens the index by its folder alone.  Appending adds files to buckets; ``compact``
+writes a new generation with one sorted file a bucket and then the manifest that names it, so
+a failure at any time leaves a whole index.  One writer at a time.
 
 Defined results: a null text counts as empty; texts are equal if they are so after each run
 of spaces is replaced by one space; of equal texts the smallest ``doc_id`` stays (null ids
-come last); of rows that repeat the same id and text exactly one stays; an empty table gives
-an empty result; further columns are ignored by ``decisions`` and kept by ``deduplicate``.
+come last); of rows that repeat the same id and text exactly one stays; long texts count whole;
+an empty table gives an empty result; further columns, of any name, are ignored by ``decisions``
+and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import SPACES, attach, columns_of, free_name, keyed, materialize, new_path
+from cohortry.llm.common import SPACES, attach, columns_of, file_system, free_name, keyed, materialize, new_path
+
+#: Appends after which an index is compacted.
+COMPACT_AFTER = 8
 
 
 def text_sha256(text):
@@ -27,23 +39,73 @@ def text_sha256(text):
 
 
 class DigestIndex:
-    """A digest index kept as a bucketed table, so that it outlives the session's jobs.
+    """The digest index of a folder, opened if it is there and else created by the first append.
 
     Columns: digest binary, first_row long, first_id long, batch string (the row, document and
-    call that brought the text).  ``buckets`` should grow with the corpus, at 100 TB some tens of thousands.
+    call that brought the text).  ``buckets`` is fixed when the index is created; it should grow
+    with the corpus, at 100 TB some tens of thousands.  Without a folder the index is a new one
+    in the shared folder.
     """
 
-    def __init__(self, spark: SparkSession, table: str | None = None, buckets: int | None = None):
-        self.spark = spark
-        self.table = table or f"digest_index_{uuid.uuid4().hex}"
-        self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    COLUMNS = "digest binary, first_row bigint, first_id bigint, batch string"
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, compact_after: int = COMPACT_AFTER):
+        self.spark, self.path, self.compact_after = spark, path or new_path(spark, "digest-index"), compact_after
+        # Lets a scan of buckets of one sorted file each go without a sort.
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+        found = self._manifests()
+        if found:
+            fs, at = file_system(spark, f"{self.path}/{found[-1]}")
+            stream = fs.open(at)
+            self.manifest = json.loads(bytes(stream.readAllBytes()))
+            stream.close()
+            self._register()
+        else:
+            buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+            self.manifest = {"generation": 0, "appends": 0, "buckets": buckets, "bucketed_by": "digest", "sorted_by": "digest"}
+            self.table = None
+
+    def _manifests(self) -> list[str]:
+        fs, at = file_system(self.spark, self.path)
+        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(n for n in names if re.fullmatch(r"manifest-[0-9]{8}\.json", n))
+
+    def _publish(self, manifest: dict) -> None:
+        """Write the next manifest under another name first, so that readers see it whole or not at all."""
+        found = self._manifests()
+        number = int(found[-1][9:17]) + 1 if found else 0
+        fs, at = file_system(self.spark, f"{self.path}/.manifest-{uuid.uuid4().hex}")
+        stream = fs.create(at, True)
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
+        _, final = file_system(self.spark, f"{self.path}/manifest-{number:08d}.json")
+        if not fs.rename(at, final):
+            raise OSError(f"{final} exists: the index has another writer")
+        self.manifest = manifest
+
+    def _folder(self, generation: int) -> str:
+        return f"{self.path}/generation-{generation:06d}"
+
+    def _register(self) -> None:
+        """Name the current generation in this session's catalog; its files are the index."""
+        self.table = f"digest_index_{uuid.uuid4().hex}"
+        n = self.manifest["buckets"]
+        self.spark.sql(
+            f"CREATE TABLE {self.table} ({self.COLUMNS}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {n} BUCKETS LOCATION '{self._folder(self.manifest['generation'])}'"
+        )
 
     def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.table)
+        return self.table is not None
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def _write(self, rows: DataFrame, table: str, folder: str | None) -> None:
+        """Bucketed files of ``rows``; each task has one bucket, sorted."""
+        n = self.manifest["buckets"]
+        writer = rows.repartition(n, "digest").write.format("parquet").mode("append").bucketBy(n, "digest").sortBy("digest")
+        (writer.option("path", folder) if folder else writer).saveAsTable(table)
+
     def append_new(self, rows: DataFrame, batch: str) -> None:
         """Append the digests of ``rows`` (_row, doc_id, digest) that the index lacks.
 
@@ -51,10 +113,26 @@ class DigestIndex:
         """
         firsts = rows.groupBy("digest").agg(F.min("_row").alias("first_row"), F.min_by("doc_id", "_row").alias("first_id"))
         fresh = firsts.join(self.rows().hint("merge"), "digest", "left_anti") if self.exists() else firsts
-        writer = fresh.withColumn("batch", F.lit(batch)).repartition(self.buckets, "digest").write.format("parquet").mode("append")
-        if not self.exists():
-            writer = writer.option("path", new_path(self.spark, self.table))
-        writer.bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
+        fresh = fresh.select("digest", "first_row", "first_id", F.lit(batch).alias("batch"))
+        if self.exists():
+            self._write(fresh, self.table, None)
+        else:
+            self.table = f"digest_index_{uuid.uuid4().hex}"
+            self._write(fresh, self.table, self._folder(0))
+        self._publish(self.manifest | {"appends": self.manifest["appends"] + 1})
+        if self.manifest["appends"] >= self.compact_after:
+            self.compact()
+
+    def compact(self) -> None:
+        """A new generation with one sorted file for each bucket; the old one is deleted last."""
+        old, folder = self.manifest["generation"], self._folder(self.manifest["generation"] + 1)
+        fs, at = file_system(self.spark, folder)
+        fs.delete(at, True)  # what a failed compaction may have left
+        files = self.spark.read.schema(self.COLUMNS).parquet(self._folder(old))  # not by its buckets, whose scan would be split over tasks
+        self._write(files, f"digest_index_{uuid.uuid4().hex}", folder)
+        self._publish(self.manifest | {"generation": old + 1, "appends": 0})
+        self._register()
+        fs.delete(file_system(self.spark, self._folder(old))[1], True)
 
 
 def digested(docs: DataFrame, text: str = "text") -> DataFrame:
