@@ -1,16 +1,22 @@
 """Token counts under a unigram vocabulary, by Viterbi without segmentations.
 
+The tokenizer is that of the ``tokenizers`` library with a Unigram model and Metaspace
+pre-tokenisation: each space of the whole text becomes the word mark, one is put in front
+unless the text begins with it, and a word runs from one mark to the next.  Line breaks, tabs
+and other characters belong to words.
+
 For each word an Aho-Corasick automaton lists the vocabulary pieces that end at each
 position; dynamic programming carries, per position, the best score and the number of tokens
-on the best path, and no back pointers.  Ties are broken as ``tokenizers`` breaks them: at
+on the best path, and no back pointers.  Ties are broken as the library breaks them: at
 each end the candidate with the earliest start wins unless a later one scores strictly more.
 A character that no one-character piece covers may be unknown, at ten below the least score;
 neighbouring unknown characters are one token, or their bytes where the vocabulary has all
-byte pieces.  Words are separated by spaces and carry the word mark in front, so their counts
-add up and each distinct word is counted once per worker.
+byte pieces.  A word's count doesn't depend on its neighbours, so each distinct word is
+counted once per worker.
 
-Defined results: null, empty and blank texts have no tokens; whole texts are counted; repeated
-rows are rows of their own; an empty table gives an empty result; other columns are ignored.
+Defined results: null and empty texts have no tokens; a text of n spaces has the tokens of n
+marks; whole texts of any length are counted, in time linear in them; repeated rows are rows of
+their own; an empty table gives an empty result; other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +44,7 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
 
 
 class Counter(dict):
-    """Tokens of words; ``counter[word]`` computes and remembers what is new."""
+    """Tokens of words; ``counter[word]`` computes and remembers what is new.  A word is given without its mark."""
 
     def __init__(self, vocab: list[tuple[str, float]], unknown: str = "<unk>", byte_fallback: bool = True, limit: int = REMEMBERED):
         import ahocorasick
@@ -53,30 +59,49 @@ class Counter(dict):
         self.automaton.make_automaton()
         self.unknown_score = min(scores.values()) - 10
         self.bytes = byte_fallback and all(f"<0x{b:02X}>" in scores for b in range(256))
+        # Where no piece has a line break, every path stops before and after it.  With whole scores sums
+        # are exact, so what is between breaks can be counted, and remembered, on its own.
+        self.breaks = self.bytes and not any("\n" in p for p in scores) and all(float(x).is_integer() for x in scores.values())
+        self.tails: dict[str, int] = {}
 
     def viterbi(self, text: str) -> tuple[float, int]:
         """(score, tokens) of the best path over ``text``."""
-        n = len(text)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for last, (length, score) in self.automaton.iter(text):
-            ends[last + 1].append((last + 1 - length, score))  # longest first, so earliest start first
-        best, count, in_unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for end in range(1, n + 1):
-            top = None
-            for start, score in ends[end]:
-                total = best[start] + score
+        best, count, in_unknown = [0.0], [0], [False]
+        found = self.automaton.iter(text)  # by end, longest first, so earliest start first
+        last, match = next(found, (-1, None))
+        for start, char in enumerate(text):
+            top, tokens, unknown = None, 0, False
+            while last == start:
+                at = start + 1 - match[0]
+                total = best[at] + match[1]
                 if top is None or total > top:
-                    top, count[end] = total, count[start] + 1
-            char, start = text[end - 1], end - 1
+                    top, tokens = total, count[at] + 1
+                last, match = next(found, (-1, None))
             if char not in self.single:
                 total = best[start] + self.unknown_score
                 if top is None or total > top:
-                    top, in_unknown[end] = total, True
-                    count[end] = count[start] + (len(char.encode()) if self.bytes else 0 if in_unknown[start] else 1)
-            best[end] = top
-        return best[n], count[n]
+                    top, unknown = total, True
+                    tokens = count[start] + (len(char.encode()) if self.bytes else 0 if in_unknown[start] else 1)
+            best.append(top)
+            count.append(tokens)
+            in_unknown.append(unknown)
+        return best[-1], count[-1]
+
+    def _tail(self, part: str) -> int:
+        """Tokens of what follows a line break within a word."""
+        tokens = self.tails.get(part)
+        if tokens is None:
+            tokens = self.viterbi(part)[1]
+            if len(part) <= 64:
+                if len(self.tails) >= self.limit:
+                    self.tails.clear()
+                self.tails[part] = tokens
+        return tokens
 
     def __missing__(self, word: str) -> int:
+        if self.breaks and "\n" in word:
+            head, *rest = word.split("\n")
+            return self[head] + len(rest) + sum(map(self._tail, rest))
         tokens = self.viterbi(WORD_MARK + word)[1]
         if len(word) <= 64:
             if len(self) >= self.limit:
@@ -84,9 +109,17 @@ class Counter(dict):
             self[word] = tokens
         return tokens
 
+    @staticmethod
+    def words(text: str | None) -> list[str]:
+        """The words of a whole text, each without the mark in front of it."""
+        if not text:
+            return []
+        marked = text.replace(" ", WORD_MARK)
+        return (marked[1:] if marked[0] == WORD_MARK else marked).split(WORD_MARK)
+
     def count(self, text: str | None) -> int:
-        """Tokens of a whole text, whose words are separated by spaces and line breaks."""
-        return sum(map(self.__getitem__, (text or "").split()))
+        """Tokens of a whole text."""
+        return sum(map(self.__getitem__, self.words(text)))
 
 
 @lru_cache(maxsize=2)
@@ -102,7 +135,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = counter(path)
         for b in batches:
-            words = [(t.as_py() or "").split() for t in b.column(1)]
+            words = [tokens.words(t.as_py()) for t in b.column(1)]
             counts = [pa.array([len(w) for w in words], pa.int64()), pa.array([sum(map(tokens.__getitem__, w)) for w in words], pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(0), *counts], names=["doc_id", "n_words", "n_tokens"])
 
