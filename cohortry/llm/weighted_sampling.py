@@ -22,12 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import keyed, materialize
+from cohortry.llm.common import keyed, materialize, parts_for
 
 #: Samples of a fingerprint, those that one exploded row computes, bits of a sample.
 SAMPLES, AT_ONCE, SAMPLE_BITS = 64, 4, 25
-#: Code points of text that a task holds, on average.
-CHARS_PER_PART = 4_000_000
+#: Code points of text that a task holds, and row numbers that a range holds, on average.
+CHARS_PER_PART, ROWS_PER_RANGE = 4_000_000, 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -118,9 +118,9 @@ def fingerprints_with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFram
     """
     base = docs.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     lengths = materialize(base.select("_row", "doc_id", F.char_length("text").cast("long").alias("n_chars")), "lengths")
-    total = lengths.agg(F.sum("n_chars")).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // CHARS_PER_PART)
-    links = materialize(next_rows(lengths.select("_row", "n_chars"), min(parts, 1000)), "links")
+    total, n_rows = lengths.agg(F.coalesce(F.sum("n_chars"), F.lit(0)), F.count("*")).first()
+    parts = parts_for(docs, total, CHARS_PER_PART)
+    links = materialize(next_rows(lengths.select("_row", "n_chars"), parts_for(docs, n_rows, ROWS_PER_RANGE)), "links")
 
     texts = base.select("_row", "text").repartition(parts, "_row")
     asked = links.select(F.col("next_row").alias("_row"), F.col("_row").alias("asker"), F.floor(F.col("n_chars") / 4).cast("int").alias("m"))
