@@ -9,19 +9,21 @@ within the radius is missed.
 
 A bucket of up to ``bucket_limit`` fingerprints is resolved in one task, which gives a star
 (smallest member to member) for each component within it, never all pairs.  Larger buckets
-are resolved exactly and linearly without comparing members: two fingerprints are within 3
-bits just if some point is within 1 of one and within 2 of the other, so each emits its
-surrounding points and all that meet in a point with a member within 1 are linked.
+are resolved exactly and linearly without comparing members: two fingerprints are within r
+bits just if some point is within r/2, rounded down, of one and r/2, rounded up, of the other
+(1 and 2 for 3 bits), so each emits its surrounding points and all that meet in a point with a
+member within the smaller distance are linked.
 
 Defined results: null and blank texts have fingerprint zero, linked like any other; texts of
-fewer than three words are one shingle; repeated rows and ids are rows of their own; an empty
-table gives an empty result; further columns are kept by ``deduplicate``.
+fewer than three words are one shingle; long texts are hashed whole, in steps of bounded size; a
+bit set in exactly half the shingles is 0; repeated rows and ids are rows of their own; an empty
+table gives an empty result; further columns, of any name, are kept by ``deduplicate``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -129,20 +131,20 @@ def _bucket_edges(active: DataFrame, radius: int) -> DataFrame:
     return dealt.mapInArrow(run, "src long, dst long")
 
 
-def _ball_edges(hot: DataFrame, masks: list[int]) -> DataFrame:
-    """Links within buckets of any size, for radius 3, by points in common; see the module."""
+def _ball_edges(hot: DataFrame, masks: list[int], radius: int) -> DataFrame:
+    """Links within buckets of any size by points in common; see the module."""
     free = [[b for b in range(BITS) if not m >> b & 1] for m in masks]  # members agree in the others
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
 
     def flips(bits: list[int]) -> list[tuple[int, int]]:
-        signed = lambda x: x - 2**64 if x >= 2**63 else x
-        ones = [(1, signed(1 << b)) for b in bits]
-        return [(0, 0), *ones, *((2, signed(1 << a | 1 << b)) for k, a in enumerate(bits) for b in bits[:k])]
+        return [(d, signed(sum(1 << b for b in some))) for d in range((radius + 1) // 2 + 1) for some in combinations(bits, d)]
 
     spark = hot.sparkSession
     table = spark.createDataFrame([(t, d, x) for t, bits in enumerate(free) for d, x in flips(bits)], "t int, d int, flip long")
     balls = hot.join(F.broadcast(table), "t").select("t", "node", "d", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
     hubs = balls.groupBy("t", "point").agg(F.min("node").alias("hub"), F.min("d").alias("d0"), F.count("*").alias("n"))
-    return balls.join(hubs.filter("d0 <= 1 AND n > 1"), ["t", "point"]).filter("node <> hub").select(F.col("hub").alias("src"), F.col("node").alias("dst")).distinct()
+    shared = hubs.filter((F.col("d0") <= radius // 2) & (F.col("n") > 1))
+    return balls.join(shared, ["t", "point"]).filter("node <> hub").select(F.col("hub").alias("src"), F.col("node").alias("dst")).distinct()
 
 
 def near_edges(reps: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
@@ -158,9 +160,7 @@ def near_edges(reps: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET
     found = _bucket_edges(active.filter(F.col("m") <= bucket_limit), radius)
     hot = active.filter(F.col("m") > bucket_limit)
     if not hot.isEmpty():
-        if radius != RADIUS:
-            raise ValueError("larger buckets are resolved for radius 3 only")
-        found = found.unionAll(_ball_edges(hot, masks))
+        found = found.unionAll(_ball_edges(hot, masks, radius))
     return found
 
 
