@@ -65,6 +65,14 @@ class Scratch:
             outer[-1].paths.append(df._written)
         return df
 
+    def drop_all_but(self, df: DataFrame) -> None:
+        """Delete now what the block has so far, but for one table."""
+        for path in self.paths:
+            if path != df._written:
+                fs, at = file_system(self.spark, path)
+                fs.delete(at, True)
+        self.paths = [p for p in self.paths if p == df._written]
+
     def __exit__(self, kind, *_) -> None:
         Scratch.blocks.remove(self)
         for path in [] if kind else self.paths:

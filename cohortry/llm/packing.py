@@ -6,11 +6,15 @@ functions give a lower bound of the bins that any packing needs, for each partit
 all pieces together.  A partition whose bins meet its bound (before rounding up) is certified
 and done.  While the bins in use exceed the overall bound, partitions with a gap give their
 least-filled bins back, a group of partitions at a time exchanges what these held, and
-best-fit decreasing packs it anew; a group keeps the new bins only if they are fewer.
-
-Defined results: a null text is empty and has the end id alone; repeated rows and ids are
-documents of their own; equal lengths are placed in order of row and piece; an empty table
-gives an empty result; further columns are ignored.
+best-fit decreasing packs it anew; a group keeps the new bins only if they are fewer.  After
+the groups have met in one, all bins that aren't full are dealt out anew at random, two groups
+at least, and packed again, until the bound is met or a round saves no bin, or under a quarter
+of those over the bound.  The certificate, bins used and bins needed at least, comes with the
+result.
+
+Defined results: a null text is empty and has the end id alone; long texts are encoded whole;
+repeated rows and ids are documents of their own; equal lengths are placed in order of row and
+piece; an empty table gives an empty result; further columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import math
 import struct
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -144,22 +149,28 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_part: int = PIECES_PER
     bound = math.ceil(lower_bound(sizes["length"].to_numpy(), sizes["n"].to_numpy(), capacity))
     parts = max(1, -(-total // per_part))
     open_rows = pieces.select("_row", "piece", "length", F.pmod(F.xxhash64("_row", "piece"), F.lit(parts)).cast("long").alias("part"))
-    level, done, in_use = 0, [], []
+    level, closed, in_use = 0, [], []
     while True:
         placed = materialize(open_rows.groupBy("part").applyInPandas(_pack(capacity, level, given_bins), PLACED), f"packed-{level}")
-        done.append(placed.filter("NOT given"))
-        closed = done[0]
-        for d in done[1:]:
-            closed = closed.unionAll(d)
-        bins = closed.unionAll(placed.filter("given")).select("level", "part", "bin").distinct().count()
-        in_use.append(bins)
-        if bins <= bound or parts == 1:
+        result = reduce(DataFrame.unionAll, [*closed, placed])
+        in_use.append(result.select("level", "part", "bin").distinct().count())
+        if in_use[-1] <= bound or (parts == 0 and in_use[-2] - in_use[-1] < max(1, (in_use[-2] - bound) // 4)):
             break
-        # What was given is packed anew by groups of partitions; the name of its bin goes along.
-        open_rows = placed.filter("given").select("_row", "piece", "length", F.expr(f"part div {fan_in}").alias("part"), F.xxhash64("part", "bin").alias("was"))
-        parts, level = -(-parts // fan_in), level + 1
-    result = closed.unionAll(placed.filter("given"))
-    sequence = F.shiftleft(F.col("level").cast("long"), 58) + F.shiftleft(F.col("part"), 24) + F.col("bin")
+        # What is given is packed anew by groups of partitions; the name of its bin goes along.
+        was = F.xxhash64("level", "part", "bin")
+        if parts > 1:
+            closed.append(placed.filter("NOT given"))
+            open_rows = placed.filter("given").select("_row", "piece", "length", F.expr(f"part div {fan_in}").alias("part"), was.alias("was"))
+            parts = -(-parts // fan_in)
+        else:
+            parts = 0  # all groups have met: bins with room anywhere change partners at random
+            room = result.groupBy("level", "part", "bin").agg(F.sum("length").alias("fill")).withColumn("room", F.col("fill") < capacity).drop("fill")
+            filled = materialize(result.join(room, ["level", "part", "bin"]), f"filled-{level}")
+            groups = max(2, -(-total // per_part))
+            closed = [filled.filter("NOT room").select(*placed.columns)]
+            open_rows = filled.filter("room").select("_row", "piece", "length", F.pmod(F.xxhash64(was, F.lit(level)), F.lit(groups)).alias("part"), was.alias("was"))
+        level += 1
+    sequence = F.shiftleft(F.col("level").cast("long"), 56) + F.shiftleft(F.col("part"), 24) + F.col("bin")
     return result.select("_row", "piece", "length", sequence.alias("sequence_id"), F.col("place").alias("offset")), {"bound": bound, "bins": in_use}
 
 
@@ -171,17 +182,21 @@ def assemble(pieces: DataFrame, placed: DataFrame) -> DataFrame:
     return rows.groupBy("sequence_id").agg(joined.alias("ids"))
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
-    """(pieces, places) of ``docs``: see ``token_pieces`` and ``pack``; ``assemble`` joins their ids."""
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame, dict]:
+    """(pieces, places, certificate) of ``docs``: see ``token_pieces`` and ``pack``; ``assemble`` joins their ids."""
     rows = docs.withColumn("_row", F.monotonically_increasing_id())  # fixed once the pieces are written
     pieces = materialize(token_pieces(rows, capacity=capacity), "pieces")
-    return pieces, pack(pieces, capacity)[0]
+    return pieces, *pack(pieces, capacity)
 
 
-def digest(pieces: DataFrame, placed: DataFrame) -> DataFrame:
-    """What the query returns; ids become checksums before the join, so they aren't shuffled."""
+def digest(pieces: DataFrame, placed: DataFrame, certificate: dict) -> DataFrame:
+    """What the query returns; ids become checksums before the join, so they aren't shuffled.
+
+    ``sequences`` and ``least_sequences`` are those used in all and those needed at least.
+    """
     named = pieces.select("_row", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return named.join(placed.drop("length"), ["_row", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    met = named.join(placed.drop("length"), ["_row", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return met.withColumns({"sequences": F.lit(certificate["bins"][-1]).cast("long"), "least_sequences": F.lit(certificate["bound"]).cast("long")})
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
