@@ -5,7 +5,7 @@ five; a pair of similarity s shares a band with probability 1 - (1 - s^5)^24, wh
 at 0.8.  Pairs that share a band are only candidates: what links them is the exact similarity
 of their sets.
 
-Candidates are compared in rounds.  Each bucket's smallest rows, twice as many in each round,
+Candidates are compared in rounds.  Each bucket's smallest rows, four times as many in each round,
 are compared with all later ones; a row that is similar to an earlier one goes, and leaves all
 its buckets.  So a bucket of many copies costs one comparison a row and hub, not one a pair,
 and at the end no two rows that stay and share a bucket are similar.
@@ -17,30 +17,45 @@ fewer than five words are one shingle; null and blank texts have none and are si
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import materialize
+from cohortry.llm.common import materialize, salt
 
 WIDTH, BANDS, DEPTH, SEED = 5, 24, 5, 42
 SIMILARITY = 0.8
 #: Rows of a bucket that the first round compares with the others.
-HUBS = 4
+HUBS = 8
 
 
-def shingle_set(text: bytes | None, width: int = WIDTH) -> np.ndarray:
-    """The distinct hashes of a text's shingles, ascending."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit numbers whose high bits depend on all bits."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(33))
+
+
+#: Odd multipliers of the words of a shingle, by place.
+_PLACES = np.random.default_rng(SEED + 1).integers(0, 2**63, WIDTH, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: bytes | None) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending; a shingle's is a sum over its words' hashes, each by its place, mixed."""
     from xxhash import xxh64_intdigest
 
     words = (text or b"").lower().split()
-    if not words:
+    n = len(words)
+    if not n:
         return np.empty(0, np.uint64)
-    shingles = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
-    return np.unique(np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64))
+    hashes = _mix(np.fromiter(map(xxh64_intdigest, words), np.uint64, n))
+    width = min(WIDTH, n)
+    sums = np.full(n - width + 1, width, np.uint64)
+    for k in range(width):
+        sums += hashes[k : n - width + 1 + k] * _PLACES[k]
+    found = np.sort(_mix(sums * np.uint64(0x9E3779B97F4A7C15)))
+    return found[np.r_[True, found[1:] != found[:-1]]]
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -49,23 +64,18 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A permutation of 64-bit numbers whose high bits depend on all bits."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return x ^ (x >> np.uint64(33))
+_SALTS = np.random.default_rng(SEED).integers(0, 2**32, (BANDS * DEPTH, 2), np.uint32)
 
 
-_SALTS = np.random.default_rng(SEED).integers(0, 2**63, (BANDS * DEPTH, 2), np.uint64)
-
-
-def bands(hashes: np.ndarray, step: int = 4096) -> np.ndarray:
+def bands(hashes: np.ndarray, step: int = 512) -> np.ndarray:
     """One number for each band of a set that isn't empty."""
-    low = np.full(BANDS * DEPTH, 2**64 - 1, np.uint64)
-    factor, shift = _SALTS[:, :1] | np.uint64(1), _SALTS[:, 1:]
-    for at in range(0, len(hashes), step):
-        low = np.minimum(low, _mix(hashes[None, at : at + step] * factor + shift).min(axis=1))
+    low = np.full(BANDS * DEPTH, 2**32 - 1, np.uint32)
+    factor, shift = _SALTS[:, :1] | np.uint32(1), _SALTS[:, 1:]
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), step):
+        low = np.minimum(low, (short[None, at : at + step] * factor + shift).min(axis=1))
     out = np.zeros(BANDS, np.uint64)
-    for column in low.reshape(BANDS, DEPTH).T:
+    for column in low.reshape(BANDS, DEPTH).T.astype(np.uint64):
         out = _mix((out ^ column) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
     return out
 
@@ -108,6 +118,14 @@ def _similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return met.select("hub", "hub_text", "node", "node_text").sortWithinPartitions("hub").mapInArrow(run, "node long").distinct()
 
 
+def _first(active: DataFrame, n: int) -> DataFrame:
+    """(t, key, hub): the ``n`` smallest rows of each bucket; those of each part of a bucket come first, so that no task sorts a hot one."""
+    salted = active.withColumn("s", salt("node"))
+    for by in (["t", "key", "s"], ["t", "key"]):
+        salted = salted.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("node"))).filter(F.col("k") <= n)
+    return salted.select("t", "key", F.col("node").alias("hub"))
+
+
 def copies(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(node): the rows of ``texts`` (node, text) that go, each similar to an earlier one."""
     spark = texts.sparkSession
@@ -118,14 +136,13 @@ def copies(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     held = materialize(texts.select("node", "text").join(active.select("node").distinct(), "node", "left_semi"), "band-texts")
     gone, hubs = spark.createDataFrame([], "node long"), HUBS
     while not active.isEmpty():
-        placed = active.withColumn("k", F.row_number().over(Window.partitionBy("t", "key").orderBy("node")))
-        heads = placed.filter(F.col("k") <= hubs).select("t", "key", F.col("node").alias("hub"))
+        heads = materialize(_first(active, hubs), "hubs")
         pairs = active.join(heads, ["t", "key"]).filter("hub < node").select("hub", "node").distinct()
         new = materialize(_similar(pairs, held, least), "copies")
         gone = gone.unionAll(new)
         # Pairs of this round's hubs are settled, and a row that goes needs no more comparison.
-        left = placed.filter(F.col("k") > hubs).drop("k").join(new, "node", "left_anti")
+        left = active.join(heads.withColumnRenamed("hub", "node"), ["t", "key", "node"], "left_anti").join(new, "node", "left_anti")
         many = left.groupBy("t", "key").agg(F.count("*").alias("m")).filter("m > 1").drop("m")
         active = materialize(left.join(many, ["t", "key"]).select("node", "t", "key"), "band-buckets")
-        hubs *= 2
+        hubs *= 4
     return gone.distinct()
