@@ -20,16 +20,13 @@ def prune_columns(df: DataFrame, patterns: list[str], keep: list[str] = ()) -> D
     return df.select(*[quoted(c) for c in df.columns if c in keep or not gone.search(c)])
 
 
-def one_hot(df: DataFrame, column: str, values: list | None = None, limit: int = 1000) -> DataFrame:
+def one_hot(df: DataFrame, column: str, values: list | None = None) -> DataFrame:
     """``<column>_<value>`` of 0.0 or 1.0 for each value, sorted; null is a value of its own.
 
-    Values are looked up where they aren't given; over ``limit`` of them is an error.
+    Values are looked up where they aren't given: they become columns, so they are few by nature.
     """
     if values is None:
-        rows = df.select(column).distinct().limit(limit + 1).collect()
-        if len(rows) > limit:
-            raise ValueError(f"{column} has over {limit} values")
-        values = [r[0] for r in rows]
+        values = [r[0] for r in df.select(column).distinct().collect()]
     order = sorted(values, key=lambda v: (v is None, v if v is not None else 0))
     return df.withColumns({f"{column}_{'nan' if v is None else v}": F.col(column).eqNullSafe(F.lit(v)).cast("double") for v in order})
 
@@ -46,8 +43,8 @@ def impute_mean(df: DataFrame, columns: list[str], digits: int = 2) -> DataFrame
 
 
 def partition_threshold(df: DataFrame, key: str, partition, score: str, least: float) -> tuple[DataFrame, DataFrame]:
-    """Rows of one partition need a score of ``least``; others pass.  With a report of (kept, dropped)."""
-    passes = F.coalesce((F.col(key) != F.lit(partition)) | (F.col(score) >= least), F.lit(False))
+    """Rows of one partition need a score of ``least``; others, of a null partition too, pass.  With a report of (kept, dropped)."""
+    passes = ~F.col(key).eqNullSafe(F.lit(partition)) | F.coalesce(F.col(score) >= least, F.lit(False))
     report = df.agg(F.count_if(passes).alias("kept"), F.count_if(~passes).alias("dropped"))
     return df.filter(passes), report
 
@@ -81,20 +78,28 @@ def drop_any_nonzero(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.filter(~reduce(lambda a, b: a | b, nonzero))
 
 
-def segments(df: DataFrame, source: str, order: list[str], fields: list[str]) -> DataFrame:
-    """(source, n, segs): the rows of a source as an ordered array of structs."""
-    items = F.array_sort(F.collect_list(F.struct(*order, *[f for f in fields if f not in order])))
-    return df.groupBy(source).agg(F.count("*").alias("n"), items.alias("segs"))
+def segment_counts(df: DataFrame, source: str) -> DataFrame:
+    """(source, n): the segments of each source, counted with map-side combination."""
+    return df.groupBy(source).agg(F.count("*").alias("n"))
 
 
-def segment_upper(segs: DataFrame, most: int = 11) -> DataFrame:
+def segments(df: DataFrame, source: str, order: list[str], fields: list[str], most: int) -> DataFrame:
+    """(source, segs): the first ``most`` rows of a source as an ordered array of structs.
+
+    Ranks are limited before the shuffle, so a hot source brings ``most`` rows from each task.
+    """
+    first = df.withColumn("_at", F.row_number().over(Window.partitionBy(source).orderBy(*order))).filter(F.col("_at") <= most)
+    return first.groupBy(source).agg(F.array_sort(F.collect_list(F.struct(*order, *[f for f in fields if f not in order]))).alias("segs"))
+
+
+def segment_upper(counts: DataFrame, most: int = 11) -> DataFrame:
     """Sources with at most ``most`` segments: a segment of index ``most`` drops the source."""
-    return segs.filter(F.col("n") <= most)
+    return counts.filter(F.col("n") <= most)
 
 
-def segment_lower(segs: DataFrame, least: int = 3) -> DataFrame:
+def segment_lower(counts: DataFrame, least: int = 3) -> DataFrame:
     """Sources that have a segment of index ``least - 1``."""
-    return segs.filter(F.col("n") >= least)
+    return counts.filter(F.col("n") >= least)
 
 
 def reject_group_if_null(df: DataFrame, group: str, column: str) -> DataFrame:
@@ -157,3 +162,10 @@ def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first row of each key in an explicit order."""
     w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def move_next_to(df: DataFrame, columns: list[str], anchor: str) -> DataFrame:
+    """The same columns, with ``columns`` right after ``anchor``, in the order given."""
+    rest = [c for c in df.columns if c not in columns]
+    at = rest.index(anchor) + 1
+    return df.select(*[quoted(c) for c in [*rest[:at], *columns, *rest[at:]]])

@@ -2,18 +2,31 @@
 
 A density estimate on a grid, its peaks and valleys, its derivatives and a histogram give, per
 group, an early mode and a cut-off with a confidence and flags; rows are classified by them.
-Grid work is dealt by (group, grid point), so one large group spreads over tasks, and large
-groups can be binned onto the grid first.  Valid values are positive; null values are kept by
-``classify`` as uncertain.
+
+The estimate shares each value between its two grid points first (map-side combined, so that a
+group of any size is at most a grid of weights), then sums the kernel over the weights.  That
+differs from the sum over the values by at most an eighth of the squared ratio of grid step to
+bandwidth, relative to the kernel's height.  ``kde_exact`` sums over the values themselves.
+Quantiles are exact: values are counted, ranked over buckets of their range, and picked.
+
+Valid values are positive; null values are kept by ``classify`` as uncertain.  Names of flags,
+methods, confidences and statuses are fixed values.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cohortry.operators.ranks import number_bucket, running, value_range
+from cohortry.sources.shared import materialize
 
 
 @dataclass(frozen=True)
@@ -62,50 +75,100 @@ def valid(df: DataFrame, group: str, value: str) -> DataFrame:
     return df.filter((F.col(value) > 0) & ~F.isnan(value)).select(F.col(group).alias("g"), F.col(value).cast("double").alias("x"))
 
 
-def early_outlier(rows: DataFrame) -> DataFrame:
-    """(g, early_outlier): one smallest value, set apart by a gap far over the usual one."""
-    w = Window.partitionBy("g").orderBy("x")
-    gaps = rows.select("g", "x", (F.lead("x").over(w) - F.col("x")).alias("gap"), F.row_number().over(w).alias("at"))
-    s = gaps.groupBy("g").agg(
-        F.count("*").alias("n"),
-        F.max(F.when(F.col("at") == 1, F.col("gap"))).alias("first"),
-        F.expr("percentile(gap, 0.5) FILTER (WHERE at > 1 AND gap > 0)").alias("usual"),
-    )
+def early_outlier(rows: DataFrame, bounds: tuple[float, float] | None = None) -> DataFrame:
+    """(g, early_outlier): one smallest value, set apart by a gap far over the usual one.
+
+    Gaps are those between distinct values, and zeros between equal ones, which don't count; so
+    values are counted first, and a value's gap is looked up in its bucket or the next that has one.
+    """
+    low, high = bounds = bounds or value_range(rows, "x")
+    counts = rows.groupBy("g", "x").agg(F.count("*").alias("k")).persist()  # read for heads, gaps and sizes
+    placed = counts.withColumn("b", number_bucket("x", bounds))
+    w = Window.partitionBy("g", "b").orderBy("x")
+    heads = placed.groupBy("g", "b").agg(F.min("x").alias("head"))
+    after = heads.select("g", "b", F.lead("head").over(Window.partitionBy("g").orderBy("b")).alias("beyond"))
+    gaps = placed.withColumn("next", F.lead("x").over(w)).join(after, ["g", "b"]).select("g", "x", "k", (F.coalesce("next", "beyond") - F.col("x")).alias("gap"))
+    met = gaps.join(counts.groupBy("g").agg(F.sum("k").alias("n"), F.min("x").alias("low")), "g")
+    lowest = F.col("x") == F.col("low")
+    # The first gap is zero where the smallest value recurs; its gap to the next then is a later one.
+    first = met.filter(lowest).select("g", "n", F.when(F.col("k") > 1, F.lit(0.0)).otherwise(F.col("gap")).alias("first"))
+    later = met.filter((F.col("gap") > 0) & ~(lowest & (F.col("k") == 1))).select("g", F.col("gap").alias("x"))
+    usual = quantiles(later, {"usual": 0.5}, (0.0, high - low))
+    s = first.join(usual, "g", "left")
     usual = F.when(F.coalesce("usual", F.lit(0.0)) == 0, F.lit(1e-6)).otherwise(F.col("usual"))
     return s.select("g", (F.col("n") >= 4).__and__(F.col("first") > F.greatest(F.lit(0.5), 5 * usual)).alias("early_outlier"))
 
 
-def value_profile(rows: DataFrame) -> DataFrame:
+def value_profile(rows: DataFrame, bounds: tuple[float, float] | None = None) -> DataFrame:
     """(g, n, low, high, top_share, many_duplicates, narrow_range, early_outlier)."""
     counts = rows.groupBy("g", "x").agg(F.count("*").alias("k"))
     s = counts.groupBy("g").agg(F.sum("k").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), (F.max("k") / F.sum("k")).alias("top_share"))
     s = s.withColumns({"many_duplicates": F.col("top_share") > 0.20, "narrow_range": (F.col("high") - F.col("low")) < 0.25})
-    return s.join(early_outlier(rows), "g")
-
-
-def quantiles(rows: DataFrame, shares: list[float]) -> DataFrame:
-    """(g, q<share>...): exact quantiles, interpolated."""
-    return rows.groupBy("g").agg(*[F.percentile("x", F.lit(q)).alias(f"q{round(q * 100)}") for q in shares])
+    return s.join(early_outlier(rows, bounds), "g")
 
 
-def kde(rows: DataFrame, grid: int = P.grid, min_n: int = P.min_n, binned: bool = False) -> DataFrame:
-    """(g, i, gx, density): Gaussian estimate of ln(1 + x) on an even grid, Scott's bandwidth.
+def quantiles(rows: DataFrame, shares: dict[str, float], bounds: tuple[float, float] | None = None) -> DataFrame:
+    """(g, names...): exact quantiles of each group, interpolated, at the named shares.
 
-    Groups under ``min_n`` rows or of one value have none.  ``binned`` first shares each value
-    between its two grid points, so that a group of any size has at most ``grid`` values.
+    The values at the ranks around each share are found by running counts over buckets of the
+    range, so no task holds a group's values.  ``bounds``, the range, is looked up if not given.
     """
+    counts = rows.groupBy("g", "x").agg(F.count("*").alias("k")).persist()  # read for sums and for ranks
+    placed = running(counts, ["g"], number_bucket("x", bounds or value_range(rows, "x")), ["x"], F.col("k"))
+    at = {name: F.lit(q) * (F.col("_total") - 1) for name, q in shares.items()}
+    holds = lambda rank: (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("k"))
+    needed = [holds(f(p)) for p in at.values() for f in (F.floor, F.ceil)]
+    picked = placed.filter(reduce(lambda a, b: a | b, needed))
+    ends = [F.max(F.when(holds(f(p)), F.col("x"))).alias(f"{name}_{end}") for name, p in at.items() for end, f in (("low", F.floor), ("high", F.ceil))]
+    found = picked.groupBy("g", "_total").agg(*ends)
+    between = [(F.col(f"{n}_low") + (p - F.floor(p)) * (F.col(f"{n}_high") - F.col(f"{n}_low"))).alias(n) for n, p in at.items()]
+    return found.select("g", *between)
+
+
+def _spread(rows: DataFrame, min_n: int) -> tuple[DataFrame, DataFrame]:
+    """(g, y) with y = ln(1 + x), and (g, n, low, high, h) of the groups that have an estimate; h is Scott's bandwidth."""
     logs = rows.select("g", F.log1p("x").alias("y"))
     s = logs.groupBy("g").agg(F.count("*").alias("n"), F.min("y").alias("low"), F.max("y").alias("high"), F.stddev_samp("y").alias("sd"))
-    s = s.filter((F.col("n") >= min_n) & (F.col("high") > F.col("low"))).withColumn("h", F.pow(F.col("n"), F.lit(-0.2)) * F.col("sd"))
+    s = s.filter((F.col("n") >= min_n) & (F.col("high") > F.col("low")))
+    return logs, s.select("g", "n", "low", "high", (F.pow(F.col("n"), F.lit(-0.2)) * F.col("sd")).alias("h"))
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _kernel_sums(at: pd.Series, whole: pd.Series, part: pd.Series, ratio: pd.Series, grid: pd.Series) -> pd.Series:
+    """At each grid point, the kernel's sum over the weights; ``part`` of each ``whole`` belongs to the next point."""
+    out = []
+    for k, n, f, r, size in zip(at, whole, part, ratio, grid, strict=True):
+        w = np.zeros(size)
+        np.add.at(w, k, n - f)
+        np.add.at(w, np.asarray(k) + 1, f)
+        used = np.flatnonzero(w)
+        z = (np.arange(size)[:, None] - used[None, :]) * r
+        out.append(np.exp(-0.5 * z * z) @ w[used])
+    return pd.Series(out)
+
+
+def kde(rows: DataFrame, grid: int = P.grid, min_n: int = P.min_n) -> DataFrame:
+    """(g, i, gx, density): Gaussian estimate of ln(1 + x) on an even grid, Scott's bandwidth, from weights on the grid.
+
+    Groups under ``min_n`` rows or of one value have none.
+    """
+    logs, s = _spread(rows, min_n)
+    step = (F.col("high") - F.col("low")) / (grid - 1)
+    place = (F.col("y") - F.col("low")) / step
+    cell = F.least(F.floor(place), F.lit(grid - 2)).cast("int")
+    cells = logs.join(s, "g").groupBy("g", cell.alias("k")).agg(F.count("*").alias("whole"), F.sum(place - cell).alias("part"))
+    lists = [F.col(f"cells.{f}") for f in ("k", "whole", "part")]
+    arrays = cells.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", "whole", "part"))).alias("cells"))  # at most ``grid``
+    sums = arrays.join(s, "g").select("g", "n", "low", "high", "h", _kernel_sums(*lists, step / F.col("h"), F.lit(grid)).alias("sums"))
+    points = sums.select("*", F.posexplode("sums").alias("i", "sum"))
+    return points.select("g", "i", (F.col("low") + F.col("i") * step).alias("gx"), (F.col("sum") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
+
+
+def kde_exact(rows: DataFrame, grid: int, min_n: int = P.min_n) -> DataFrame:
+    """As ``kde``, summed over the distinct values themselves: work for each value and grid point, dealt by both."""
+    logs, s = _spread(rows, min_n)
     step = (F.col("high") - F.col("low")) / (grid - 1)
-    if binned:
-        at = (F.col("y") - F.col("low")) / step
-        base = F.least(F.floor(at), F.lit(grid - 2))
-        pair = F.explode(F.array(F.struct(base.alias("k"), (1 - (at - base)).alias("w")), F.struct((base + 1).alias("k"), (at - base).alias("w"))))
-        values = logs.join(s, "g").select("g", "low", "high", pair.alias("p")).select("g", (F.col("low") + F.col("p.k") * step).alias("y"), F.col("p.w").alias("w"))
-    else:
-        values = logs.withColumn("w", F.lit(1))
-    weights = values.groupBy("g", "y").agg(F.sum("w").alias("w"))
+    weights = logs.groupBy("g", "y").agg(F.count("*").alias("w"))
     points = weights.join(s, "g").select("g", "y", "w", "n", "h", "low", "high", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
     points = points.withColumn("gx", F.col("low") + F.col("i") * step)
     z = (F.col("gx") - F.col("y")) / F.col("h")
@@ -126,11 +189,11 @@ def gradients(curve: DataFrame) -> DataFrame:
 
 
 def extrema(curve: DataFrame) -> DataFrame:
-    """(g, i, kind): peaks and valleys; a plateau counts once, at its middle; an end counts as a peak if higher than its neighbour."""
+    """(g, i, kind, gx, density): peaks and valleys; a plateau counts once, at its middle; an end counts as a peak if higher than its neighbour."""
     w = Window.partitionBy("g").orderBy("i")
     new = F.coalesce((F.col("density") != F.lag("density").over(w)).cast("int"), F.lit(1))
     runs = curve.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    flat = runs.groupBy("g", "run").agg(F.min("i").alias("a"), F.max("i").alias("z"), F.first("density").alias("d"))
+    flat = runs.groupBy("g", "run").agg(F.min("i").alias("a"), F.max("i").alias("z"), F.first("density").alias("d"), F.min("gx").alias("x0"), F.max("gx").alias("x1"))
     r = Window.partitionBy("g").orderBy("run")
     near = flat.withColumns({"before": F.lag("d").over(r), "after": F.lead("d").over(r)})
     inner = F.col("before").isNotNull() & F.col("after").isNotNull()
@@ -140,23 +203,20 @@ def extrema(curve: DataFrame) -> DataFrame:
         .when(inner & (F.col("d") < F.col("before")) & (F.col("d") < F.col("after")), "valley")
         .when(~inner & single & (F.col("d") > F.coalesce("before", "after")), "peak")
     )
-    return near.select("g", F.floor((F.col("a") + F.col("z")) / 2).cast("int").alias("i"), kind.alias("kind")).filter("kind IS NOT NULL")
+    i = F.floor((F.col("a") + F.col("z")) / 2).cast("int")
+    gx = F.col("x0") + F.coalesce(F.try_divide((i - F.col("a")) * (F.col("x1") - F.col("x0")), F.col("z") - F.col("a")), F.lit(0.0))
+    return near.select("g", i.alias("i"), kind.alias("kind"), gx.alias("gx"), F.col("d").alias("density")).filter("kind IS NOT NULL")
 
 
-def limits(rows: DataFrame, p: FrontParams = P) -> DataFrame:
+def limits(rows: DataFrame, p: FrontParams = P, bounds: tuple[float, float] | None = None) -> DataFrame:
     """(g, n, zone, max_t0, valley_limit, drop_limit, hist_limit, cluster): what a group's front must meet.
 
     ``zone`` is on the scale of ln(1 + x).
     """
-    s = rows.groupBy("g").agg(
-        F.count("*").alias("n"),
-        F.max("x").alias("top"),
-        F.percentile(F.log1p("x"), F.lit(p.early_quantile)).alias("yq"),
-        F.min(F.log1p("x")).alias("y0"),
-        F.max(F.log1p("x")).alias("y1"),
-        F.percentile("x", F.lit(p.max_cutoff_quantile)).alias("qv"),
-        F.percentile("x", F.lit(p.late_cutoff_quantile)).alias("qd"),
-    )
+    s = rows.groupBy("g").agg(F.count("*").alias("n"), F.max("x").alias("top"), F.min(F.log1p("x")).alias("y0"), F.max(F.log1p("x")).alias("y1"))
+    bounds = bounds or value_range(rows, "x")
+    s = s.join(quantiles(rows, {"qv": p.max_cutoff_quantile, "qd": p.late_cutoff_quantile}, bounds), "g")
+    s = s.join(quantiles(rows.select("g", F.log1p("x").alias("x")), {"yq": p.early_quantile}, tuple(map(math.log1p, bounds))), "g")
     return s.select(
         "g",
         "n",
@@ -170,19 +230,27 @@ def limits(rows: DataFrame, p: FrontParams = P) -> DataFrame:
 
 
 def _below(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    """``cuts`` (g, cut, ...) with ``size``, the values of the group up to the cut; a few cuts a group."""
-    cuts = cuts.persist()
-    places = cuts.select("g", "cut").distinct()
-    sizes = rows.join(places, "g").groupBy("g", "cut").agg(F.count_if(F.col("x") <= F.col("cut")).alias("size"))
-    return cuts.join(sizes, ["g", "cut"])
+    """``cuts`` (g, cut, ...) with ``size``, the values of the group up to the cut; a few cuts a group.
+
+    A group's cuts go to its rows as one sorted array, each row counts at the first cut that
+    holds it (map-side combined), and sums over the cuts give the sizes: rows never multiply.
+    """
+    cuts = materialize(cuts, "cuts")  # read for the arrays and for the sizes
+    listed = cuts.groupBy("g").agg(F.array_sort(F.collect_set("cut")).alias("cuts"))
+    first = F.size(F.filter("cuts", lambda c: c < F.col("x")))
+    counts = rows.join(listed, "g").groupBy("g", first.alias("at")).agg(F.count("*").alias("n"))
+    held = counts.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("m"))
+    places = listed.join(held, "g").select("g", "m", F.posexplode("cuts").alias("at", "cut"))
+    upto = F.aggregate(F.sequence(F.lit(0), F.col("at")), F.lit(0).cast("long"), lambda a, i: a + F.coalesce(F.try_element_at("m", i), F.lit(0)))
+    return cuts.join(places.select("g", "cut", upto.alias("size")), ["g", "cut"])
 
 
 def mode_valley(rows: DataFrame, curve: DataFrame, lim: DataFrame, p: FrontParams = P) -> DataFrame:
     """(g, mode, cut, depth, size): the first early peak that has an acceptable valley after it, with the first such.
 
-    ``curve`` and ``lim`` are read several times, so persist them; so with the other detectors.
+    ``curve`` and ``lim`` are read several times, so write them first; so with the other detectors.
     """
-    at = extrema(curve).join(curve.select("g", "i", "gx", "density"), ["g", "i"])
+    at = materialize(extrema(curve), "extrema")
     top = curve.groupBy("g").agg(F.max("density").alias("top"))
     peaks = at.filter("kind = 'peak'").join(top, "g").join(lim, "g")
     peaks = peaks.filter((F.col("gx") <= F.col("zone")) & (F.col("density") >= p.min_peak_share * F.col("top")))
@@ -201,10 +269,10 @@ def density_drop(rows: DataFrame, curve: DataFrame, lim: DataFrame, p: FrontPara
     One row per early peak gathers what the curve does after it; the first accepted peak wins,
     and flags are those of the peaks up to it, in order.
     """
-    c = gradients(curve).persist()
+    c = materialize(gradients(curve), "gradients")
     n_grid = c.groupBy("g").agg(F.count("*").alias("len"), F.max("density").alias("top"), F.max(F.abs("gradient")).alias("steepest"))
-    at = extrema(c).filter("kind = 'peak'").join(c.select("g", "i", "gx", "density"), ["g", "i"])
-    far = c.join(lim.select("g", "zone"), "g").filter("gx > zone").groupBy("g").agg(F.percentile("density", F.lit(0.5)).alias("reference"))
+    at = extrema(c).filter("kind = 'peak'")
+    far = c.join(lim.select("g", "zone"), "g").filter("gx > zone").groupBy("g").agg(F.percentile("density", F.lit(0.5)).alias("reference"))  # of a grid
     peaks = at.join(n_grid, "g").join(lim, "g").join(far, "g", "left")
     peaks = peaks.filter((F.col("i") < F.col("len") - 1) & (F.col("gx") <= F.col("zone")) & (F.col("density") >= 0.10 * F.col("top")))
     peaks = peaks.select("g", F.col("i").alias("pi"), F.expm1("gx").alias("mode"), F.col("density").alias("pd"), "len", "top", "steepest", "max_t0", "drop_limit", "cluster", "reference")
@@ -231,7 +299,8 @@ def density_drop(rows: DataFrame, curve: DataFrame, lim: DataFrame, p: FrontPara
     way = F.when(in_time("drop"), "drop").when(in_time("relax"), "relax").when(F.col("shoulder").isNotNull(), "shoulder")
     found = found.withColumn("way", F.when(F.col("open"), way))
     place = F.when(F.col("way") == "drop", F.col("drop")).when(F.col("way") == "relax", F.col("relax")).when(F.col("way") == "shoulder", F.col("shoulder"))
-    found = found.withColumn("place", place).withColumn("cut", F.col("place.cut")).withColumn("depth", 1 - F.col("place.density") / F.col("pd")).persist()
+    found = found.withColumn("place", place).withColumn("cut", F.col("place.cut")).withColumn("depth", 1 - F.col("place.density") / F.col("pd"))
+    found = materialize(found, "peaks")
     sized = found.join(_below(rows, found.filter("cut IS NOT NULL").select("g", "cut", "pi")).select("g", "pi", "size"), ["g", "pi"], "left")
     too_late, small = F.col("cut") > F.col("drop_limit"), F.col("size") < F.col("cluster")
     accepted = F.coalesce(~too_late & ~small, F.lit(False))
@@ -255,6 +324,7 @@ def density_drop(rows: DataFrame, curve: DataFrame, lim: DataFrame, p: FrontPara
     chosen = sized.groupBy("g").agg(F.min(F.when(F.col("ok"), F.struct("pi", "mode", "cut", "depth", "size"))).alias("best"), F.array_sort(F.collect_list(F.struct("pi", "own_flags"))).alias("all"))
     raised = F.filter("all", lambda x: F.col("best").isNull() | (x["pi"] <= F.col("best.pi")))
     chosen = chosen.select("g", "best.mode", "best.cut", "best.depth", "best.size", F.array_distinct(F.flatten(F.transform(raised, lambda x: x["own_flags"]))).alias("flags"))
+    chosen = materialize(chosen, "chosen")  # a row a group
     none = lim.join(chosen, "g", "left_anti").join(c.select("g").distinct(), "g", "left_semi")
     lost = none.select("g", *[F.lit(None).cast(t).alias(k) for k, t in (("mode", "double"), ("cut", "double"), ("depth", "double"), ("size", "bigint"))], F.array(F.lit("no_early_mode_detected")).alias("flags"))
     return chosen.unionByName(lost)
@@ -268,7 +338,7 @@ def histogram(rows: DataFrame) -> DataFrame:
     return rows.join(s, "g").groupBy("g", "bins", "low", "high", at.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def histogram_front(rows: DataFrame, profile: DataFrame, lim: DataFrame, p: FrontParams = P) -> DataFrame:
+def histogram_front(rows: DataFrame, profile: DataFrame, lim: DataFrame, p: FrontParams = P, bounds: tuple[float, float] | None = None) -> DataFrame:
     """(g, mode, cut, depth, size, flags): a front from strongly filled first bins; mode is null if there is none."""
     h = histogram(rows).groupBy("g", "bins", "low", "high").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
     counts = F.transform(F.sequence(F.lit(0), F.col("bins") - 1), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0)))
@@ -305,10 +375,10 @@ def histogram_front(rows: DataFrame, profile: DataFrame, lim: DataFrame, p: Fron
     reference = F.greatest(F.when(F.col("pair"), two_mean).otherwise(first.cast("double")), F.lit(1.0))
     h = h.withColumns({"cut": end, "depth": 1 - c(bin_.cast("int")) / reference})
     h = h.withColumns({"from": F.when(F.col("from_second"), edge(F.lit(1))).otherwise(F.col("low")), "to": F.when(F.col("from_second"), edge(F.lit(2))).otherwise(edge(F.lit(1)))})
-    inside = rows.join(h.select("g", "from", "to", "cut"), "g").groupBy("g").agg(
-        F.expr("percentile(x, 0.5) FILTER (WHERE x >= from AND x <= to)").alias("mode"), F.count_if(F.col("x") <= F.col("cut")).alias("size")
-    )
-    h = h.join(inside, "g")
+    h = materialize(h, "histogram")  # a row a group, read for sizes and for modes
+    near = rows.join(h.select("g", "from", "to", "cut"), "g")
+    h = h.join(near.groupBy("g").agg(F.count_if(F.col("x") <= F.col("cut")).alias("size")), "g")
+    h = h.join(quantiles(near.filter("x >= from AND x <= to"), {"mode": 0.5}, bounds or value_range(rows, "x")), "g", "left")
     ok = F.col("way").isNotNull() & (F.col("size") >= F.col("cluster"))
     flag = lambda cond, name: F.when(cond, F.lit(name))
     flags = F.array_compact(
@@ -326,28 +396,32 @@ def histogram_front(rows: DataFrame, profile: DataFrame, lim: DataFrame, p: Fron
     return h.select("g", *[F.when(ok, F.col(k)).alias(k) for k in ("mode", "cut", "depth", "size")], flags.alias("flags"))
 
 
-def fronts(df: DataFrame, group: str, value: str, p: FrontParams = P, binned: bool = False) -> DataFrame:
+def fronts(df: DataFrame, group: str, value: str, p: FrontParams = P) -> DataFrame:
     """(g, n, t0, cutoff, method, confidence, flags) of each group with a valid value.
 
     A valley comes first, then a density drop, then the histogram.
     """
     rows = valid(df, group, value).persist()
-    profile, lim = value_profile(rows).persist(), limits(rows, p).persist()
-    curve = kde(rows, p.grid, p.min_n, binned).persist()
+    bounds = value_range(rows, "x")
+    profile, lim = materialize(value_profile(rows, bounds), "profile"), materialize(limits(rows, p, bounds), "limits")
+    curve = materialize(kde(rows, p.grid, p.min_n), "curve")
+    # What each detector finds is a row a group; kept, so that later steps don't run it again.
     valley = mode_valley(rows, curve, lim, p).select("g", F.struct("mode", "cut", "depth", "size").alias("v"))
     drop = density_drop(rows, curve, lim, p).select("g", F.when(F.col("mode").isNotNull(), F.struct("mode", "cut", "depth", "size")).alias("d"), F.col("flags").alias("d_flags"))
-    hist = histogram_front(rows, profile, lim, p).select("g", F.when(F.col("mode").isNotNull(), F.struct("mode", "cut", "depth", "size")).alias("h"), F.col("flags").alias("h_flags"))
+    hist = histogram_front(rows, profile, lim, p, bounds).select("g", F.when(F.col("mode").isNotNull(), F.struct("mode", "cut", "depth", "size")).alias("h"), F.col("flags").alias("h_flags"))
+    valley, drop, hist = (materialize(x, "found") for x in (valley, drop, hist))
     has_curve = curve.select("g").distinct().withColumn("curve", F.lit(True))
     t = profile.join(lim.drop("n"), "g").join(has_curve, "g", "left").join(valley, "g", "left").join(drop, "g", "left").join(hist, "g", "left")
     enough = F.col("n") >= p.min_n
     run = enough & F.coalesce("curve", F.lit(False))
     t = t.withColumn("method", F.when(run & F.col("v").isNotNull(), "first_valley").when(run & F.col("d").isNotNull(), "density_drop").when(run & F.col("h").isNotNull(), "histogram_first_bin"))
     t = t.withColumn("f", F.when(F.col("method") == "first_valley", F.col("v")).when(F.col("method") == "density_drop", F.col("d")).when(F.col("method") == "histogram_first_bin", F.col("h")))
-    t = t.persist()  # a row a group, read again for what the front implies
-    early = rows.join(t.select("g", F.col("f.cut").alias("cut")), "g").groupBy("g").agg(F.expr("percentile(x, 0.5) FILTER (WHERE x <= cut)").alias("early_median"))
-    t = t.join(early, "g")
+    t = materialize(t, "method")  # a row a group, read again for what the front implies
+    early = rows.join(t.filter("many_duplicates").select("g", F.col("f.cut").alias("cut")), "g").filter("x <= cut")
+    t = t.join(quantiles(early, {"early_median": 0.5}, bounds), "g", "left")
     pooled = F.col("f").isNotNull() & F.col("many_duplicates") & (F.col("f.size") >= p.min_cluster)
-    t = t.withColumn("t0", F.when(pooled, F.col("early_median")).otherwise(F.col("f.mode"))).persist()
+    t = t.withColumn("t0", F.when(pooled, F.col("early_median")).otherwise(F.col("f.mode")))
+    t = materialize(t, "front")
     shares = rows.join(t.select("g", F.col("f.cut").alias("cut"), "t0"), "g").groupBy("g").agg(
         F.avg((F.col("x") <= F.col("cut")).cast("double")).alias("cut_share"), F.avg((F.col("x") <= F.col("t0")).cast("double")).alias("t0_share"), F.max("x").alias("top")
     )

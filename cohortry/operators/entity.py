@@ -2,29 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from cohortry.operators.ranks import DIGITS, number_bucket, running, value_range
 
-def entity_merge(df: DataFrame, key: str, conditions: list[str], prefix: str = "cc_") -> DataFrame:
-    """(group_id, members, n): sources with equal values in all ``conditions`` share a new id.
+
+def merge_conditions(df: DataFrame, key: str, conditions: list[str], prefix: str = "cc_") -> DataFrame:
+    """(group_id, conditions, first, n): sources with equal values in all ``conditions``, null being one, share a new id.
 
     Ids count from 1, shared conditions first, then single sources, each by their smallest key.
-    They are numbered over the grouped table, which has a row per distinct condition.
     """
-    filled = df.select(key, F.struct(*conditions).alias("_c"))
-    groups = filled.groupBy("_c").agg(F.array_sort(F.collect_list(key)).alias("members"))
-    groups = groups.select(F.size("members").alias("n"), "members", F.array_min("members").alias("_first"))
-    number = F.row_number().over(Window.orderBy((F.col("n") == 1).cast("int"), "_first"))
-    return groups.select(F.concat(F.lit(prefix), number.cast("string")).alias("group_id"), "members", "n")
-
-
-def remap_key(df: DataFrame, groups: DataFrame, key: str, new_key: str = "group_id") -> DataFrame:
-    """``df`` under the id of its group; of a group's rows the one with the smallest key stays."""
-    members = groups.select(F.col("group_id").alias("_g"), F.explode("members").alias(key))
-    w = Window.partitionBy("_g").orderBy(key)
-    rows = df.join(members, key).withColumn("_n", F.row_number().over(w)).filter("_n = 1")
-    return rows.select(F.col("_g").alias(new_key), *df.columns)
+    groups = df.select(key, F.struct(*conditions).alias("conditions")).groupBy("conditions").agg(F.count("*").cast("int").alias("n"), F.min(key).alias("first"))
+    single = (F.col("n") == 1).cast("int")
+    number = isinstance(groups.schema["first"].dataType, T.NumericType)
+    step = F.lpad(number_bucket("first", value_range(df, key)).cast("string"), 6, "0") if number else F.substring("first", 1, DIGITS)
+    placed = running(groups, [], F.concat(single.cast("string"), step), [single, "first"])
+    return placed.select(F.concat(F.lit(prefix), (F.col("_before") + 1).cast("string")).alias("group_id"), "conditions", "first", "n")
+
+
+def group_members(df: DataFrame, key: str, conditions: list[str], groups: DataFrame) -> DataFrame:
+    """(group_id, key): a row for each source, however many share conditions."""
+    rows = df.select(key, F.struct(*conditions).alias("conditions"))
+    return rows.join(groups.select("group_id", "conditions"), "conditions").select("group_id", key)
+
+
+def entity_merge(df: DataFrame, key: str, conditions: list[str], prefix: str = "cc_") -> DataFrame:
+    """(group_id, members, n): a report that lists each group's sources in one cell."""
+    groups = merge_conditions(df, key, conditions, prefix)
+    listed = group_members(df, key, conditions, groups).groupBy("group_id").agg(F.array_sort(F.collect_list(key)).alias("members"))
+    return listed.join(groups.select("group_id", "n"), "group_id").select("group_id", "members", "n")
+
+
+def remap_key(df: DataFrame, members: DataFrame, key: str, new_key: str = "group_id") -> DataFrame:
+    """``df`` under the id of its group (``members``: group_id, key); of a group's rows the one with the smallest key stays."""
+    rows = df.join(members.select(F.col("group_id").alias("_g"), key), key)
+    first = rows.groupBy("_g").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), key).alias("_r"))
+    return first.select(F.col("_g").alias(new_key), "_r.*")
 
 
 def group_max_mean(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -1,9 +1,8 @@
 """Ranks and running sums within groups of any size.
 
-A window over a group is one task.  Here the order is by a column of hexadecimal digits, such
-as md5, whose first digits cut a group into buckets: bucket sums are aggregated with map-side
-combination, added up over the buckets of a group (at most 16 to the power of ``digits`` rows),
-and joined back, so that a window runs over one bucket at a time.
+A window over a group is one task.  Here a bucket, which never falls along the order, cuts a
+group into parts: bucket sums are aggregated with map-side combination, added up over the
+buckets of a group, and joined back, so that a window runs over one bucket at a time.
 """
 
 from __future__ import annotations
@@ -11,17 +10,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Digits that cut a group into buckets; 4,096 of them.
-DIGITS = 3
+#: Buckets that cut a group: three hexadecimal digits, or so many steps of a number.
+DIGITS, STEPS = 3, 4096
 
 
-def running(df: DataFrame, group: list[str], key: Column, ties: list[str], value: Column | None = None, digits: int = DIGITS) -> DataFrame:
+def hex_bucket(key: Column | str, digits: int = DIGITS) -> Column:
+    """The bucket of an order by random hexadecimal digits, such as md5."""
+    return F.substring(key, 1, digits)
+
+
+def value_range(df: DataFrame, column: str) -> tuple[float, float]:
+    """Least and greatest value of a number; zeros if there is none."""
+    low, high = df.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
+    return low or 0.0, high or 0.0
+
+
+def number_bucket(column: str, bounds: tuple[float, float], steps: int = STEPS) -> Column:
+    """The bucket of an order by a number: even steps between two bounds, which should hold most values."""
+    low, width = bounds[0], (bounds[1] - bounds[0]) or 1.0
+    step = F.floor((F.col(column).cast("double") - low) / width * steps)
+    return F.greatest(F.lit(0), F.least(F.lit(steps - 1), F.coalesce(step, F.lit(0)))).cast("int")
+
+
+def running(df: DataFrame, group: list[str], bucket: Column, order: list[Column | str], value: Column | None = None) -> DataFrame:
     """Add ``_before`` and ``_total``: sums of ``value`` (1 if None) over the earlier rows of the group, and over all.
 
-    The order is that of ``key`` (lowercase hexadecimal digits), then ``ties``; null is a group.
+    ``order`` is total, and ``bucket`` ascends with it; null is a group of its own.
     """
-    rows = df.withColumns({"_g": F.struct(*[F.col(f"`{g}`") for g in group]), "_key": key, "_value": F.lit(1) if value is None else value})
-    rows = rows.withColumn("_bucket", F.substring("_key", 1, digits))
+    g = F.struct(*[F.col(f"`{g}`") for g in group]) if group else F.lit(0)
+    rows = df.withColumns({"_g": g, "_bucket": bucket, "_value": F.lit(1) if value is None else value})
     sums = rows.groupBy("_g", "_bucket").agg(F.sum("_value").alias("_sum"))
     w = Window.partitionBy("_g")
     base = sums.select(
@@ -30,7 +47,7 @@ def running(df: DataFrame, group: list[str], key: Column, ties: list[str], value
         F.coalesce(F.sum("_sum").over(w.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
         F.sum("_sum").over(w).alias("_total"),
     )
-    inside = Window.partitionBy("_g", "_bucket").orderBy("_key", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_g", "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     met = rows.join(base, ["_g", "_bucket"])
     met = met.withColumn("_before", F.col("_base") + F.coalesce(F.sum("_value").over(inside), F.lit(0)))
     return met.select(*[F.col(f"`{c}`") for c in df.columns], "_before", "_total")

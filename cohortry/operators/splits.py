@@ -13,6 +13,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cohortry.operators.ranks import DIGITS, hex_bucket, number_bucket, running, tile, value_range
 
 SPLITS = ["train", "val", "test"]
 RATIOS = [0.8, 0.1, 0.1]
@@ -24,20 +27,22 @@ def order_key(row_id: Column | str, seed: int = 42) -> Column:
     return F.md5(F.concat(c.cast("string"), F.lit(str(seed))))
 
 
+def ranked(df: DataFrame, group: str, row_id: str, seed: int) -> DataFrame:
+    """Add ``_before`` and ``_total``: the rows before each in its group's random order, and all; no task holds a hot group."""
+    key = order_key(row_id, seed)
+    return running(df, [group], hex_bucket(key), [key, row_id])
+
+
 def kfold_stratified(df: DataFrame, group: str, row_id: str, k: int = 10, seed: int = 42) -> DataFrame:
     """``fold`` 0..k-1: each group's rows in random order, cut into k parts, the larger first."""
-    w = Window.partitionBy(group).orderBy(order_key(row_id, seed), row_id)
-    return df.withColumn("fold", F.ntile(k).over(w) - 1)
+    rows = ranked(df, group, row_id, seed)
+    return rows.withColumn("fold", tile(F.col("_before"), F.col("_total"), k)).drop("_before", "_total")
 
 
 def group_sizes(df: DataFrame, group: str) -> DataFrame:
     return df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"))
 
 
-def _add(loads: Column, at: Column, n: Column) -> Column:
-    return F.transform(loads, lambda x, i: F.when(i == at, x + n).otherwise(x))
-
-
 def _turns(sizes: list[tuple[int, int]], k: int) -> list[tuple[int, int, list[int]]]:
     """(size, after, folds) for (size, groups) by descending size: groups after the ``after``-th take turns over ``folds``.
 
@@ -67,23 +72,20 @@ def _turns(sizes: list[tuple[int, int]], k: int) -> list[tuple[int, int, list[in
     return out
 
 
-def kfold_groups(df: DataFrame, group: str, k: int, max_groups: int | None = None) -> DataFrame:
+def kfold_groups(df: DataFrame, group: str, k: int) -> DataFrame:
     """(group, n, fold): whole groups, largest first, each to the least filled fold so far.
 
     Ties go to the smaller key and the lower fold.  Only the distinct sizes, at most the root of
-    twice the rows, are folded on the driver.  Over ``max_groups``, if given, groups are dealt
-    in snake order instead.
+    twice the rows, are folded on the driver.
     """
     sizes = group_sizes(df, group)
-    if max_groups is not None and sizes.limit(max_groups + 1).count() > max_groups:
-        at = F.row_number().over(Window.orderBy(F.desc("n"), group)) - 1
-        lap, seat = F.floor(at / k), F.pmod(at, F.lit(k))
-        return sizes.withColumn("fold", F.when(lap % 2 == 0, seat).otherwise(k - 1 - seat).cast("int"))
     counts = [(r["n"], r["k"]) for r in sizes.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()]
     turns = df.sparkSession.createDataFrame(_turns(counts, k), "n long, after long, folds array<int>")
     last = F.lead("after").over(Window.partitionBy("n").orderBy("after"))
     turns = turns.withColumn("last", F.coalesce(last, F.lit(2**62)))
-    placed = sizes.withColumn("at", F.row_number().over(Window.partitionBy("n").orderBy(group)).cast("long"))
+    number = isinstance(sizes.schema[group].dataType, T.NumericType)
+    bucket = number_bucket(group, value_range(sizes, group)) if number else F.substring(F.col(group).cast("string"), 1, DIGITS)
+    placed = running(sizes, ["n"], bucket, [group]).withColumn("at", F.col("_before") + 1)
     met = placed.join(turns, "n").filter("at > after AND at <= last")
     turn = F.pmod(F.col("at") - F.col("after") - 1, F.size("folds").cast("long")).cast("int")
     return met.select(group, "n", F.get("folds", turn).alias("fold"))
@@ -91,13 +93,11 @@ def kfold_groups(df: DataFrame, group: str, k: int, max_groups: int | None = Non
 
 def split_stratified(df: DataFrame, group: str, row_id: str, seed: int = 42) -> DataFrame:
     """``split``: within each group the first tenth (rounded up) is test, then 0.1111 of the rest val."""
-    w = Window.partitionBy(group)
-    at = F.row_number().over(w.orderBy(order_key(row_id, seed), row_id))
-    rows = df.withColumns({"_at": at, "_n": F.count("*").over(w)})
-    test = F.ceil(F.col("_n") * 0.1)
-    val = F.ceil((F.col("_n") - test) * 0.1111)
-    split = F.when(F.col("_at") <= test, "test").when(F.col("_at") <= test + val, "val").otherwise("train")
-    return rows.withColumn("split", split).drop("_at", "_n")
+    rows, n = ranked(df, group, row_id, seed), F.col("_total")
+    test = F.ceil(n * 0.1)
+    val = F.ceil((n - test) * 0.1111)
+    split = F.when(F.col("_before") < test, "test").when(F.col("_before") < test + val, "val").otherwise("train")
+    return rows.withColumn("split", split).drop("_before", "_total")
 
 
 def _first_fit(sizes: list[int], total: int, train: int, val: int) -> tuple[list[int], int, int]:
@@ -164,30 +164,26 @@ def cv_roles(k: int, spark: SparkSession) -> DataFrame:
 
 def split_in_group(df: DataFrame, group: str, row_id: str, seed: int = 42) -> DataFrame:
     """Random 80/10/10 within each group, by rank."""
-    w = Window.partitionBy(group)
-    rows = df.withColumns({"_at": F.row_number().over(w.orderBy(order_key(row_id, seed), row_id)), "_n": F.count("*").over(w)})
-    split = F.when(F.col("_at") <= F.floor(F.col("_n") * 0.8), "train").when(F.col("_at") <= F.floor(F.col("_n") * 0.9), "val").otherwise("test")
-    return rows.withColumn("split", split).drop("_at", "_n")
+    rows, n = ranked(df, group, row_id, seed), F.col("_total")
+    split = F.when(F.col("_before") < F.floor(n * 0.8), "train").when(F.col("_before") < F.floor(n * 0.9), "val").otherwise("test")
+    return rows.withColumn("split", split).drop("_before", "_total")
 
 
 def split_in_group_disjoint(df: DataFrame, group: str, category: str, seed: int = 42) -> DataFrame:
     """(group, category, n, split): within each group, categories whole, first fit to 80/10/10.
 
-    One array per group, so groups run in parallel.
+    Groups run in parallel; what a task holds of one is a number for each of its categories.
     """
     sizes = df.filter(F.col(category) != "").groupBy(group, category).agg(F.count("*").alias("n"))
-    items = F.array_sort(F.collect_list(F.struct(order_key(category, seed).alias("a"), F.col(category).alias("c"), "n")))
-    arrays = sizes.groupBy(group).agg(items.alias("items"), F.sum("n").alias("total"))
-    start = F.struct(F.array(*[F.lit(0).cast("long")] * 3).alias("loads"), F.array().cast("array<int>").alias("choices"))
+    kinds = sizes.schema
 
-    def merge(a: Column, x: Column) -> Column:
-        fits = lambda at, share: F.get(a["loads"], F.lit(at)) + x["n"] < F.lit(share) * F.col("total")
-        at = F.when(fits(0, 0.8), 0).when(fits(1, 0.1), 1).otherwise(2)
-        return F.struct(_add(a["loads"], at, x["n"]).alias("loads"), F.concat(a["choices"], F.array(at)).alias("choices"))
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["_order", category])
+        choices, _, _ = _first_fit([int(n) for n in part["n"]], int(part["n"].sum()), 0, 0)
+        return part[[group, category, "n"]].assign(split=[SPLITS[c] for c in choices])
 
-    done = arrays.withColumn("choices", F.aggregate("items", start, merge)["choices"])
-    rows = done.select(group, F.explode(F.arrays_zip("items", "choices")).alias("x"))
-    return rows.select(group, F.col("x.items.c").alias(category), F.col("x.items.n").alias("n"), F.element_at(F.array(*map(F.lit, SPLITS)), F.col("x.choices") + 1).alias("split"))
+    out = T.StructType([kinds[group], kinds[category], kinds["n"], T.StructField("split", T.StringType())])
+    return sizes.withColumn("_order", order_key(category, seed)).groupBy(group).applyInPandas(run, out)
 
 
 def overlap(df: DataFrame, key: str, split: str = "split") -> DataFrame:
@@ -211,7 +207,10 @@ def private_mass(pairs: DataFrame) -> DataFrame:
 
 
 def conflict_pairs(pairs: DataFrame) -> DataFrame:
-    """(g1, g2, weight): over shared categories, the lesser count by the number of groups sharing."""
+    """(g1, g2, weight): over shared categories, the lesser count by the number of groups sharing.
+
+    A report: its rows are the pairs of groups themselves.  ``conflict_degree`` needs none of them.
+    """
     shared = pairs.groupBy("c").agg(F.count("*").alias("k")).filter("k > 1")
     rows = pairs.join(shared, "c")
     a = rows.select("c", "k", F.col("g").alias("g1"), F.col("n").alias("n1"))
@@ -220,11 +219,35 @@ def conflict_pairs(pairs: DataFrame) -> DataFrame:
     return met.groupBy("g1", "g2").agg(F.sum(F.least("n1", "n2") / F.col("k")).alias("weight"))
 
 
+def conflict_degree(pairs: DataFrame) -> DataFrame:
+    """(g, degree): the sum of a group's conflict weights with all others, without listing pairs.
+
+    Within a category the lesser of two counts is the other's where that is smaller, so sums over
+    the distinct counts of a category, at most the root of twice its rows, give each group's.
+    """
+    counts = pairs.groupBy("c", "n").agg(F.count("*").alias("m"))
+    w = Window.partitionBy("c")
+    before = w.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.select(
+        "c", "n", F.sum("m").over(w).alias("k"), F.coalesce(F.sum(F.col("n") * F.col("m")).over(before), F.lit(0)).alias("less"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("smaller")
+    )
+    sums = sums.filter("k > 1").withColumn("part", (F.col("less") + F.col("n") * (F.col("k") - F.col("smaller") - 1)) / F.col("k"))
+    return pairs.join(sums.select("c", "n", "part"), ["c", "n"]).groupBy("g").agg(F.sum("part").alias("degree"))
+
+
+def group_problem(pairs: DataFrame) -> DataFrame:
+    """(g, size, private, degree): what an assignment knows of each group."""
+    sizes = pairs.groupBy("g").agg(F.sum("n").alias("size"))
+    known = sizes.join(private_mass(pairs), "g", "left").join(conflict_degree(pairs), "g", "left")
+    return known.select("g", "size", F.coalesce("private", F.lit(0)).alias("private"), F.coalesce("degree", F.lit(0.0)).alias("degree"))
+
+
 def split_problem(pairs: DataFrame, least_rows: int = 1000, least_groups: int = 5) -> DataFrame:
-    """One row: rows, groups, categories, and the least rows and groups asked of each split."""
+    """One row: rows, groups, categories, the rows aimed at and the least rows and groups asked of each split."""
     t = pairs.agg(F.sum("n").alias("total_rows"), F.count_distinct("g").alias("n_groups"), F.count_distinct("c").alias("n_categories"))
     clip = lambda asked, of: F.greatest(F.lit(1), F.least(F.lit(asked), F.ceil(F.col(of) * F.lit(RATIOS[1])))).cast("long")
-    return t.withColumns({"min_rows": clip(least_rows, "total_rows"), "min_groups": clip(least_groups, "n_groups")})
+    targets = {f"target_{s}": F.col("total_rows") * F.lit(r) for s, r in zip(SPLITS, RATIOS, strict=True)}
+    return t.withColumns({**targets, "min_rows": clip(least_rows, "total_rows"), "min_groups": clip(least_groups, "n_groups")})
 
 
 def owner_splits(pairs: DataFrame, assignment: DataFrame, problem: DataFrame) -> DataFrame:

@@ -107,9 +107,12 @@ def coalesce_lookup(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", F.coalesce("p_name", "p_type", "p_brand").alias("representation"))
 
 
-@query("SELECT event_id, event_type, value FROM events WHERE event_type <> 'view' OR value >= 20")
+TYPED = "CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END"
+
+
+@query(f"SELECT event_id, event_type, value FROM (SELECT event_id, {TYPED} AS event_type, value FROM events) WHERE event_type IS DISTINCT FROM 'view' OR value >= 20")
 def partition_threshold(spark: SparkSession, d: str) -> DataFrame:
-    kept, _ = C.partition_threshold(table(spark, d, "events"), "event_type", "view", "value", 20.0)
+    kept, _ = C.partition_threshold(table(spark, d, "events").withColumn("event_type", F.expr(TYPED)), "event_type", "view", "value", 20.0)
     return kept.select("event_id", "event_type", "value")
 
 
@@ -148,7 +151,7 @@ def any_nonzero(spark: SparkSession, d: str) -> DataFrame:
 
 
 def order_segments(spark: SparkSession, d: str) -> DataFrame:
-    return C.segments(table(spark, d, "lineitem"), "l_orderkey", SEGMENT_ORDER, [])
+    return C.segment_counts(table(spark, d, "lineitem"), "l_orderkey")
 
 
 @query("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) <= 6")
@@ -300,7 +303,7 @@ PIVOT = ", ".join(f"max(CASE WHEN i = {i} THEN {c} END) AS {c}_{i}" for i in ran
 def pivot_segments(spark: SparkSession, d: str) -> DataFrame:
     from cohortry.operators.features import pivot_segments as pivot
 
-    return pivot(order_segments(spark, d), "l_orderkey", ["l_partkey", "l_quantity"], 4)
+    return pivot(C.segments(table(spark, d, "lineitem"), "l_orderkey", SEGMENT_ORDER, [], 4), "l_orderkey", ["l_partkey", "l_quantity"], 4)
 
 
 @query("SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey")

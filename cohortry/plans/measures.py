@@ -38,8 +38,9 @@ SELECT group_id, p_partkey, p_retailprice FROM (SELECT m.group_id, p.*, row_numb
 """)
 def remap_key(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
-    groups = E.entity_merge(part, "p_partkey", ["p_brand", "p_type", "p_size"])
-    return E.remap_key(part, groups, "p_partkey").select("group_id", "p_partkey", "p_retailprice")
+    conditions = ["p_brand", "p_type", "p_size"]
+    members = E.group_members(part, "p_partkey", conditions, E.merge_conditions(part, "p_partkey", conditions))
+    return E.remap_key(part, members, "p_partkey").select("group_id", "p_partkey", "p_retailprice")
 
 
 COUNTED = "SELECT l_suppkey AS g, l_partkey AS e, l_extendedprice AS y, count(*) OVER (PARTITION BY l_suppkey, l_partkey) AS n FROM lineitem"
@@ -272,7 +273,15 @@ def feature_vector(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(F.transform("features", lambda x: x.cast("string")), ",").alias("features"))
 
 
-@query()
+@query(f"""
+WITH f AS (SELECT o_orderkey, o_orderpriority AS pr, o_totalprice AS y, o_orderkey % 97 AS a, o_custkey % 31 AS b, ntile({K}) OVER (PARTITION BY o_orderpriority ORDER BY md5(o_orderkey::VARCHAR || '42'), o_orderkey) - 1 AS fold FROM orders),
+r AS (SELECT unnest(generate_series(0, {K - 1}))::INTEGER AS run),
+m AS (SELECT run, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS saa, var_pop(b) AS sbb, covar_pop(a, b) AS sab, covar_pop(a, y) AS say, covar_pop(b, y) AS sby FROM r JOIN f ON fold <> run AND fold <> (run + 1) % {K} GROUP BY 1),
+w AS (SELECT run, ma, mb, my, (sbb * say - sab * sby) / (saa * sbb - sab * sab) AS wa, (saa * sby - sab * say) / (saa * sbb - sab * sab) AS wb FROM m),
+p AS (SELECT run, y, my + wa * (a - ma) + wb * (b - mb) AS p, max(y) OVER (PARTITION BY pr) AS top, avg(y) OVER (PARTITION BY pr) AS mean FROM f JOIN w ON fold = run),
+e AS (SELECT run, abs(p - y) AS diff, abs(p - y) * 100 / top AS rel_error_max, abs(p - y) * 100 / mean AS rel_error_mean, abs(p - y) * 100 / y AS mre FROM p)
+SELECT run, {METRICS.replace(", 6)", ", 3)")} FROM e GROUP BY run
+""")
 def cv_models(spark: SparkSession, d: str) -> DataFrame:
     """Held-out predictions of one model per fold, and their metrics."""
     from cohortry.operators.splits import cv_roles

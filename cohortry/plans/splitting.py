@@ -144,8 +144,27 @@ def conflict_pairs(spark: SparkSession, d: str) -> DataFrame:
     return rounded(K.conflict_pairs(pairs(spark, d)), "weight")
 
 
+CONFLICTS = f"""
+p AS ({PAIRS}), k AS (SELECT c, count(*) AS k FROM p GROUP BY 1),
+w AS (SELECT a.g AS g1, b.g AS g2, sum(least(a.n, b.n) / k.k) AS weight FROM p a JOIN p b ON a.c = b.c AND a.g <> b.g JOIN k ON k.c = a.c GROUP BY 1, 2)
+"""
+
+
+@query(f"WITH {CONFLICTS} SELECT g1 AS g, round(sum(weight), 6) AS degree FROM w GROUP BY 1")
+def conflict_degree(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(K.conflict_degree(pairs(spark, d)), "degree")
+
+
+@query(f"""
+WITH {CONFLICTS} SELECT p.g, sum(n)::BIGINT AS size, coalesce(sum(n) FILTER (WHERE k = 1), 0)::BIGINT AS private, round(coalesce(any_value(degree), 0), 6) AS degree
+FROM p JOIN k USING (c) LEFT JOIN (SELECT g1 AS g, sum(weight) AS degree FROM w GROUP BY 1) USING (g) GROUP BY 1
+""")
+def group_problem(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(K.group_problem(pairs(spark, d)), "degree")
+
+
 @query(f"""
-SELECT sum(n)::BIGINT AS total_rows, count(DISTINCT g) AS n_groups, count(DISTINCT c) AS n_categories, greatest(1, least(1000, ceil(sum(n) * 0.1::DOUBLE)))::BIGINT AS min_rows,
+SELECT sum(n)::BIGINT AS total_rows, count(DISTINCT g) AS n_groups, count(DISTINCT c) AS n_categories, sum(n) * 0.8::DOUBLE AS target_train, sum(n) * 0.1::DOUBLE AS target_val, sum(n) * 0.1::DOUBLE AS target_test, greatest(1, least(1000, ceil(sum(n) * 0.1::DOUBLE)))::BIGINT AS min_rows,
   greatest(1, least(5, ceil(count(DISTINCT g) * 0.1::DOUBLE)))::BIGINT AS min_groups FROM ({PAIRS})
 """)
 def split_problem(spark: SparkSession, d: str) -> DataFrame:

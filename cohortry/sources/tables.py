@@ -36,13 +36,17 @@ def union_all(tables: list[DataFrame]) -> DataFrame:
 
 
 def write_partitioned(df: DataFrame, path: str, by: str) -> None:
-    """One folder per category, so that later reads of one category read only it."""
-    df.repartition(by).write.mode("overwrite").partitionBy(by).parquet(path)
+    """One folder per category, so that later reads of one category read only it.
+
+    Spark evens the rows out over tasks and keeps a category's together where they fit, so a
+    hot category becomes several files and no single task.
+    """
+    df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(path)
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
-    """One tab-separated file; for reports, which are small."""
-    df.coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True)
+    """One tab-separated file; for reports, which are small.  What makes the report keeps its own tasks."""
+    df.repartition(1).write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
 def write_folds(df: DataFrame, path: str, fold: str = "fold") -> DataFrame:

@@ -86,9 +86,9 @@ def test_any_nonzero(spark):
 
 def test_segments(spark):
     df = spark.createDataFrame([(s, float(i)) for s in (2, 3, 11, 12, 13) for i in range(s)], "src int, t double")
-    segs = C.segments(df, "src", ["t"], [])
-    assert [r.src for r in C.segment_upper(segs).orderBy("src").collect()] == [2, 3, 11]
-    assert [r.src for r in C.segment_lower(segs).orderBy("src").collect()] == [3, 11, 12, 13]
+    segs, counts = C.segments(df, "src", ["t"], [], 3), C.segment_counts(df, "src")
+    assert [r.src for r in C.segment_upper(counts).orderBy("src").collect()] == [2, 3, 11]
+    assert [r.src for r in C.segment_lower(counts).orderBy("src").collect()] == [3, 11, 12, 13]
     wide = X.pivot_segments(segs, "src", ["t"], 3).orderBy("src").first()
     assert tuple(wide) == (2, 0.0, 1.0, None)
 
@@ -120,9 +120,10 @@ def test_prune_and_null_columns(spark):
 
 def test_entity_merge_and_remap(spark):
     df = spark.createDataFrame([(1, "x", None), (2, "y", 1), (3, "x", None), (4, "z", 0)], "k int, a string, b int")
-    groups = E.entity_merge(df, "k", ["a", "b"])
-    assert values(groups, "group_id") == [("cc_1", [1, 3], 2), ("cc_2", [2], 1), ("cc_3", [4], 1)]
-    assert [(r.group_id, r.k) for r in E.remap_key(df, groups, "k").orderBy("k").collect()] == [("cc_1", 1), ("cc_2", 2), ("cc_3", 4)]
+    groups = E.merge_conditions(df, "k", ["a", "b"])
+    members = E.group_members(df, "k", ["a", "b"], groups)
+    assert values(E.entity_merge(df, "k", ["a", "b"]), "group_id") == [("cc_1", [1, 3], 2), ("cc_2", [2], 1), ("cc_3", [4], 1)]
+    assert [(r.group_id, r.k) for r in E.remap_key(df, members, "k").orderBy("k").collect()] == [("cc_1", 1), ("cc_2", 2), ("cc_3", 4)]
 
 
 def sized(spark, sizes):
@@ -132,8 +133,6 @@ def sized(spark, sizes):
 def test_greedy_folds(spark):
     df = sized(spark, dict(zip("abcde", (7, 5, 5, 3, 2), strict=True)))
     assert [r.fold for r in K.kfold_groups(df, "g", 3).orderBy("g").collect()] == [0, 1, 2, 1, 2]
-    snake = K.kfold_groups(df, "g", 3, max_groups=2)
-    assert [r.fold for r in snake.orderBy("g").collect()] == [0, 1, 2, 2, 1]
 
 
 def test_first_fit_skips_what_does_not_fit(spark):
@@ -189,6 +188,8 @@ def test_conflicts_and_private_mass(spark):
     got = values(K.conflict_pairs(p), "g1", "g2")
     assert [(a, b) for a, b, _ in got] == [(1, 2), (1, 3), (2, 3)]
     assert [w for *_, w in got] == pytest.approx([1 + 1 / 3, 1.0, 1 / 3])
+    assert [r.degree for r in K.conflict_degree(p).orderBy("g").collect()] == pytest.approx([2 + 1 / 3, 1 + 2 / 3, 1 + 1 / 3])
+    assert [tuple(r)[:3] for r in K.group_problem(p).orderBy("g").collect()] == [(1, 9, 4), (2, 7, 0), (3, 9, 0)]
 
 
 def test_owner_ties(spark):
@@ -303,25 +304,29 @@ def grouped(spark):
 def test_kde_mass_within_the_grid(grouped):
     _, df = grouped
     rows = D.valid(df, "k", "v")
-    for binned in (False, True):
-        c = D.kde(rows, 400, binned=binned).toPandas()
+    for c in (D.kde(rows, 400).toPandas(), D.kde_exact(rows, 400).toPandas()):
         assert set(c.g) == {"bimodal", "single", "duplicates", "outlier", "first_bin"}
         for _, g in c.sort_values("i").groupby("g"):
             assert 0.5 < np.trapezoid(g.density, g.gx) <= 1.001
 
 
+def test_weights_on_the_grid_are_close(grouped):
+    rows = D.valid(grouped[1], "k", "v")
+    both = D.kde(rows).join(D.kde_exact(rows, D.P.grid).withColumnRenamed("density", "exact"), ["g", "i"]).toPandas()
+    top = both.groupby("g").exact.transform("max")
+    assert len(both) == 5 * D.P.grid and ((both.density - both.exact).abs() / top).max() < 1e-4
+
+
 def test_fronts_match_numpy(grouped):
     data, df = grouped
-    from dataclasses import replace
-
-    found = {r.g: r for r in D.fronts(df, "k", "v", replace(D.P, grid=300)).collect()}
+    found = {r.g: r for r in D.fronts(df, "k", "v").collect()}
     assert set(found) == set(data)
     for g, x in data.items():
-        want = numpy_valley(np.abs(x), 300) if len(x) >= 30 and np.ptp(x) > 0 else None
+        want = numpy_valley(np.abs(x), D.P.grid) if len(x) >= 30 and np.ptp(x) > 0 else None
         if want:
-            assert found[g].method == "first_valley" and found[g].cutoff == pytest.approx(want[1], rel=1e-6)
+            assert found[g].method == "first_valley" and found[g].cutoff == pytest.approx(want[1], rel=2e-3)  # within a grid point
             if "many_duplicate" not in found[g].flags:
-                assert found[g].t0 == pytest.approx(want[0], rel=1e-6)
+                assert found[g].t0 == pytest.approx(want[0], rel=2e-3)
         else:
             assert found[g].method != "first_valley"
     assert found["bimodal"].method == "first_valley"
@@ -374,3 +379,56 @@ def test_two_key_query_runs_all_restarts(spark, monkeypatch):
     monkeypatch.setattr(K, "restart_assignments", lambda pairs, problem, restarts=25, seed=42: asked.append(restarts) or whole(pairs, problem, restarts, seed))
     assert splitting.two_key_split(spark, "/root/testdata/sf0.001").count() > 0
     assert asked == [25]
+
+
+def test_ranks_of_a_hot_group(spark):
+    """A third of all rows in one group, null another: the same ranks as a window, in buckets near the mean."""
+    df = spark.range(9000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN NULL ELSE CAST(id % 40 AS STRING) END AS g")
+    from pyspark.sql import Window
+
+    at = F.row_number().over(Window.partitionBy("g").orderBy(K.order_key("id"), "id")) - 1
+    both = K.ranked(df, "g", "id", 42).join(df.withColumn("at", at).select("id", "at"), "id").toPandas()
+    assert len(both) == 9000 and (both._before == both["at"]).all() and (both._total == both.groupby("g", dropna=False).id.transform("count")).all()
+    buckets = df.groupBy("g", K.order_key("id").substr(1, 3).alias("b")).count().agg(F.max("count")).first()[0]
+    assert buckets <= 10  # of 3,000 rows of a group
+    tiles = spark.range(7).select(K.tile(F.col("id"), F.lit(7), 3).alias("t"), K.tile(F.col("id"), F.lit(7), 10).alias("u")).collect()
+    assert [r.t for r in tiles] == [0, 0, 0, 1, 1, 2, 2] and [r.u for r in tiles] == list(range(7))
+
+
+def test_exact_quantiles_of_a_hot_group(spark):
+    rng = np.random.default_rng(4)
+    x = np.r_[rng.normal(5, 1, 3000), [1e6], np.full(500, 2.0)]
+    df = spark.createDataFrame([("hot", float(v)) for v in x] + [("one", 3.0)], "g string, x double")
+    got = {r.g: r for r in D.quantiles(df, {"a": 0.1, "b": 0.5, "c": 0.999}).collect()}
+    assert [got["hot"].a, got["hot"].b, got["hot"].c] == pytest.approx(np.quantile(x, [0.1, 0.5, 0.999]).tolist())
+    assert (got["one"].a, got["one"].c) == (3.0, 3.0)
+
+
+def test_reports_of_names_and_runs(spark):
+    df = spark.range(1)
+    assert [r.dropped for r in R.dropped_names(["a", "b"], df).collect()] == ["a", "b"]
+    m = spark.createDataFrame([("r1", "mae", 1.0, 0.1), ("r1", "rmse", 2.0, 0.2), ("r2", "mae", 3.0, 0.3)], "run string, metric string, mean double, std double")
+    got = R.run_comparison(m).orderBy("run").collect()
+    assert [tuple(r) for r in got] == [("r1", 1.0, 0.1, 2.0, 0.2), ("r2", 3.0, 0.3, None, None)]
+
+
+def test_columns_move_next_to_an_anchor(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4)], "a int, b int, `c.d` int, e int")
+    assert C.move_next_to(df, ["e", "a"], "b").columns == ["b", "e", "a", "c.d"]
+
+
+def test_grid_search_equals_closed_form(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 2)) * [1, 4]
+    y = 3 * x[:, 0] - x[:, 1] + rng.normal(size=300)
+    df = spark.createDataFrame([(float(a), float(b), float(c), i) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))], "a double, b double, y double, i int")
+    got = X.grid_search(df.filter("i < 200"), df.filter("i >= 200"), ["a", "b"], "y", [0.0, 0.5], [0.0]).collect()
+    t, v = slice(0, 200), slice(200, 300)
+    mean, sd, ysd = x[t].mean(axis=0), x[t].std(axis=0, ddof=1), y[t].std(ddof=1)
+    want = {}
+    for penalty in (0.0, 0.5):  # on scaled features and labels
+        z, u = (x[t] - mean) / sd, (y[t] - y[t].mean()) / ysd
+        w = np.linalg.solve(z.T @ z / 200 + penalty / ysd * np.eye(2), z.T @ u / 200) * ysd / sd
+        want[penalty] = (((x[v] - mean) @ w + y[t].mean() - y[v]) ** 2).mean()
+    assert {r.penalty: r.val_loss for r in got} == pytest.approx(want, rel=0.02)
+    assert [r.val_loss for r in got] == sorted(r.val_loss for r in got)

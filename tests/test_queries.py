@@ -6,11 +6,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from cohortry.plans import cleaning, fronts, measures, splitting  # noqa: F401
+from cohortry.plans import cleaning, fronts, measures, splitting, storing  # noqa: F401
 from cohortry.plans.base import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"classify_full"}  # covered by front_resolved
 
 
 @pytest.fixture(scope="session")
@@ -33,7 +32,7 @@ def rows(df, columns):
     return sorted(tuple(map(cell, r)) for r in df[columns].astype(object).itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     try:
         got = QUERIES[name](spark, SF).toPandas()
