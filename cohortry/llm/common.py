@@ -1,100 +1,18 @@
-"""What the corpus operators share: shared folders, row keys, salted joins."""
+"""What the corpus operators share: row keys, salted joins, and the shared folder."""
 
 from __future__ import annotations
 
-import re
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortry.sources.shared import Scratch, file_system, materialize, new_path, shared_dir  # noqa: F401  for the operators
+
 #: Runs of these characters count as one space wherever texts are split into words.
 SPACES = r"[\x20\x09-\x0D]+"
 #: Hot keys are dealt over so many salts before a join or a grouping.
 SALTS = 64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where that is unset, a folder of the warehouse is used if driver and executors are one
-    process (tests, a laptop); on a cluster it is an error, since tasks would write to their own disks.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoint"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def file_system(spark: SparkSession, path: str):
-    """(file system, path) of Hadoop, for the few files that the driver handles."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
-class Scratch:
-    """Tables written within a ``with`` block are deleted when it ends well, but for what ``keep`` names.
-
-    For callers that are done with an operator's result, such as a pipeline whose stage has
-    been written.  A lazy result reads the tables of its own block, so it can't leave it.
-    """
-
-    blocks: list[Scratch] = []
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
-
-    def __enter__(self) -> Scratch:
-        Scratch.blocks.append(self)
-        return self
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        """A table that ``materialize`` returned is left to the block around this one, if any."""
-        self.paths.remove(df._written)
-        outer = Scratch.blocks[: Scratch.blocks.index(self)]
-        if outer:
-            outer[-1].paths.append(df._written)
-        return df
-
-    def drop_all_but(self, df: DataFrame) -> None:
-        """Delete now what the block has so far, but for one table."""
-        for path in self.paths:
-            if path != df._written:
-                fs, at = file_system(self.spark, path)
-                fs.delete(at, True)
-        self.paths = [p for p in self.paths if p == df._written]
-
-    def __exit__(self, kind, *_) -> None:
-        Scratch.blocks.remove(self)
-        for path in [] if kind else self.paths:
-            fs, at = file_system(self.spark, path)
-            fs.delete(at, True)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
-
-    What is read back survives the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    if Scratch.blocks:
-        Scratch.blocks[-1].paths.append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written = path
-    return out
-
-
 def parts_for(df: DataFrame, rows: int, per_part: int) -> int:
     """Partitions so that each holds about ``per_part`` rows; the session's number at least."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_part))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortry.llm.common import attach, columns_of, free_name, keyed, materialize, words_count
-from cohortry.operators.ranks import running
+from cohortry.operators.ranks import hex_bucket, running
 
 #: Without a target: the entropy lies this share of the way from the natural to the even mix.
 FLATTEN, MAX_REPEATS, SEED = 0.5, 4.0, 42
@@ -146,7 +146,7 @@ def realise(rows: DataFrame, weights: DataFrame, seed: int = SEED, block: int =
     in_block = _digest("_source.name", "block", "pass", seed)
     part = dealt.filter("passes > full").withColumn("pass", F.col("full"))
     sums = part.groupBy("_source", "block", "pass").agg(F.sum("tokens").alias("n"), F.max((F.col("passes") - F.col("full")) * F.col("all_tokens")).alias("left"))
-    sums = running(sums, ["_source"], in_block, ["block"], F.col("n")).withColumnRenamed("_before", "before")
+    sums = running(sums, ["_source"], hex_bucket(in_block), [in_block, "block"], F.col("n")).withColumnRenamed("_before", "before")
     taken = sums.filter("before < left").withColumn("fits", F.col("before") + F.col("n") <= F.col("left")).select("_source", "block", "before", "left", "fits")
     some = part.join(taken, ["_source", "block"])
     in_row = _digest("_row", "pass", seed)
