@@ -5,8 +5,8 @@ five; a pair of similarity s shares a band with probability 1 - (1 - s^5)^24, wh
 at 0.8.  Pairs that share a band are only candidates: what links them is the exact similarity
 of their sets.
 
-Candidates are compared in rounds.  Each bucket's smallest rows, four times as many in each round,
-are compared with all later ones; a row that is similar to an earlier one goes, and leaves all
+Candidates are compared in rounds.  Each bucket's smallest rows, one and then four times as many
+in each round, are compared with all later ones; a row that is similar to an earlier one goes, and leaves all
 its buckets.  So a bucket of many copies costs one comparison a row and hub, not one a pair,
 and at the end no two rows that stay and share a bucket are similar.
 
@@ -28,7 +28,7 @@ from cohortry.llm.common import materialize, salt
 WIDTH, BANDS, DEPTH, SEED = 5, 24, 5, 42
 SIMILARITY = 0.8
 #: Rows of a bucket that the first round compares with the others.
-HUBS = 8
+HUBS = 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -120,6 +120,8 @@ def _similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 def _first(active: DataFrame, n: int) -> DataFrame:
     """(t, key, hub): the ``n`` smallest rows of each bucket; those of each part of a bucket come first, so that no task sorts a hot one."""
+    if n == 1:
+        return active.groupBy("t", "key").agg(F.min("node").alias("hub"))
     salted = active.withColumn("s", salt("node"))
     for by in (["t", "key", "s"], ["t", "key"]):
         salted = salted.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("node"))).filter(F.col("k") <= n)
