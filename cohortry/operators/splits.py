@@ -8,7 +8,7 @@ groups are placed from that by columns, however many there are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortry.operators.ranks import DIGITS, hex_bucket, number_bucket, running, tile, value_range
+from cohortry.sources.shared import materialize
 
 SPLITS = ["train", "val", "test"]
 RATIOS = [0.8, 0.1, 0.1]
@@ -309,77 +310,168 @@ def best_restart(scores: DataFrame) -> DataFrame:
     return scores.orderBy(*rank).limit(1)
 
 
-def _restart(pairs: pd.DataFrame, seed: int, least_rows: int, least_groups: int) -> list[int]:
-    """One randomised greedy assignment of groups (numbered) to three splits.
+#: Candidates for a seed, groups that change places in the queue, splits that a group may go to.  Fixed values.
+SEED_POOL, QUEUE_WINDOW, SPLIT_POOL = 5, 8, 2
 
-    Groups with much private mass and many rows come first, shuffled within windows.  Until val
-    and test have their minimum they are served first; otherwise a group goes to one of the two
-    splits that score best by unmet minimums, conflict across splits, rows it would keep there,
-    and balance.
+
+def _digest(*parts: Column | str | int) -> Column:
+    columns = [F.lit(p) if isinstance(p, int) else F.col(p) if isinstance(p, str) else p for p in parts]
+    return F.md5(F.concat_ws("|", *[c.cast("string") for c in columns]))
+
+
+def pick(n: int, pool: int, digest: str) -> int:
+    """A place among the first ``pool`` of ``n``, the first likeliest, by linear weights; the digest is the chance."""
+    k = min(pool, n)
+    left = int(digest[:13], 16) / 2**52 * k * (k + 1) / 2
+    for i in range(k):
+        left -= k - i
+        if left < 0:
+            return i
+    return k - 1
+
+
+def _seeds(pairs: DataFrame, info: DataFrame, restarts: int, seed: int) -> list[tuple]:
+    """(restart, split, g, size): a large group for train, then groups with the least conflict with those chosen.
+
+    ``pairs`` has the number of groups, k, that share each category.  Five candidates a restart reach the driver.
+    """
+    from hashlib import md5
+
+    spark, kind = pairs.sparkSession, pairs.schema["g"].dataType.simpleString()
+    chance = lambda r, s: md5(f"{r}|{s}|{seed}".encode()).hexdigest()
+    degree = F.round("degree", 3)
+    large = info.orderBy(F.desc("size"), degree, F.desc("private"), "g").limit(SEED_POOL).collect()
+    chosen = [(r, 0, x["g"], x["size"]) for r in range(restarts) for x in [large[pick(len(large), SEED_POOL, chance(r, 0))]]]
+    for split in (1, 2):
+        held = spark.createDataFrame([(r, g) for r, _, g, _ in chosen], f"restart int, g {kind}")
+        theirs = held.join(pairs, "g").groupBy("restart", "c", "n").agg(F.count("*").alias("m")).withColumnRenamed("n", "held")
+        clash = pairs.join(theirs, "c").groupBy("restart", "g").agg(F.round(F.sum(F.least("n", "held") * F.col("m") / F.col("k")), 9).alias("clash"))
+        free = info.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1)))).join(held, ["restart", "g"], "left_anti").join(clash, ["restart", "g"], "left")
+        w = Window.partitionBy("restart").orderBy(F.coalesce("clash", F.lit(0.0)), F.desc("private"), F.desc("size"), degree, "g")
+        best: dict[int, list] = {r: [] for r in range(restarts)}
+        for x in free.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= SEED_POOL).orderBy("restart", "at").collect():
+            best[x["restart"]].append(x)
+        chosen += [(r, split, x["g"], x["size"]) for r, xs in best.items() for x in [xs[pick(len(xs), SEED_POOL, chance(r, split))]]]
+    return chosen
+
+
+def _scores(batch: DataFrame, pairs: DataFrame, held: DataFrame, needs: DataFrame, restarts: int) -> DataFrame:
+    """Per restart and group of ``batch``: conflict with the groups of other splits, and rows it would keep, for each split.
+
+    ``held`` counts, by restart, category and split, the groups placed there by their rows in
+    the category; a category's distinct counts are few.
+    """
+    own = batch.select("g").join(pairs.filter("k > 1"), "g")
+    of = lambda s: F.collect_list(F.when(F.col("split") == s, F.struct("n", "m"))).alias(f"a{s}")
+    there = held.join(own.select("c").distinct(), "c", "left_semi").groupBy("restart", "c").agg(*[of(s) for s in range(3)])
+    met = own.join(there, "c").join(F.broadcast(needs), "restart")  # a row a restart
+    zero = F.lit(0).cast("long")
+    for s in range(3):
+        met = met.withColumn(f"h{s}", F.aggregate(f"a{s}", zero, lambda a, x: a + x["n"] * x["m"]))
+        met = met.withColumn(f"x{s}", F.aggregate(f"a{s}", zero, lambda a, x: a + F.least(x["n"], F.col("n")) * x["m"]))
+    sums = []
+    for s in range(3):
+        p, q = (o for o in range(3) if o != s)
+        total, most = F.col(f"h{s}") + F.col("n"), F.greatest(f"h{p}", f"h{q}")
+        rival = F.greatest(*[F.when(F.col(f"h{o}") >= total, F.col(f"need{o}")) for o in (p, q)])
+        tied = F.when(F.col(f"need{s}") >= rival, F.col("n")).otherwise(F.col("n") * 0.5)
+        keeps = F.when((most == 0) | (total > most), F.col("n")).when(total == most, tied).otherwise(F.lit(0.0))
+        sums += [F.sum((F.col(f"x{p}") + F.col(f"x{q}")) / F.col("k")).alias(f"clash{s}"), F.sum(keeps - F.col("n")).alias(f"lost{s}")]
+    found = met.groupBy("restart", "g").agg(*sums)
+    every = batch.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1)))).join(found, ["restart", "g"], "left")
+    # Rows in categories that no placed group of the restart has are all kept.
+    scored = {f"clash{s}": F.round(F.coalesce(f"clash{s}", F.lit(0.0)), 9) for s in range(3)} | {f"keeps{s}": F.col("size") + F.coalesce(f"lost{s}", F.lit(0.0)) for s in range(3)}
+    return every.withColumns(scored)
+
+
+def place_in_order(rows: pd.DataFrame, loads: list[int], members: list[int], targets: list[float], least_rows: int, least_groups: int) -> list[int]:
+    """The split of each of ``rows`` (size, clash0.., keeps0.., digest), one after the other.
+
+    Until val and test have their least rows and groups only those that lack most are open.  The
+    open splits are ranked by unmet minimums, conflict, rows kept, balance and need.
     """
-    import numpy as np
-
-    rng = np.random.default_rng(seed)
-    g, c, n = (pairs[k].to_numpy() for k in ("g", "c", "n"))
-    n_groups, n_cats = int(g.max()) + 1, int(c.max()) + 1
-    sizes = np.bincount(g, n, n_groups)
-    sharing = np.bincount(c, minlength=n_cats)
-    private = np.bincount(g, n * (sharing[c] == 1), n_groups)
-    starts = np.r_[np.searchsorted(g, np.arange(n_groups)), len(g)]
-    order = np.lexsort((rng.random(n_groups), -sizes, -private))
-    order = np.concatenate([rng.permutation(order[i : i + 8]) for i in range(0, n_groups, 8)])
-    targets, loads, members = np.array(RATIOS) * sizes.sum(), np.zeros(3), np.zeros(3)
-    held, out = np.zeros((3, n_cats)), np.full(n_groups, -1)
-
-    def place(x: int, s: int) -> None:
-        own = slice(starts[x], starts[x + 1])
-        out[x], loads[s], members[s] = s, loads[s] + sizes[x], members[s] + 1
-        np.add.at(held[s], c[own], n[own])
-
-    place(int(order[np.argmax(sizes[order])]), 0)
-    for x in order:
-        if out[x] >= 0:
-            continue
-        cats, rows = c[starts[x] : starts[x + 1]], n[starts[x] : starts[x + 1]]
-        short = [s for s in (1, 2) if loads[s] < least_rows or members[s] < least_groups]
-        scores = []
-        for s in short or (0, 1, 2):
-            others = np.delete(held[:, cats], s, axis=0)
-            clash = (np.minimum(others.sum(axis=0), rows) / np.maximum(sharing[cats], 1)).sum()
-            keeps = rows[held[s, cats] + rows >= others.max(axis=0)].sum()
-            one = np.eye(3)[s]
-            after = loads + sizes[x] * one
-            missing = (np.maximum(0, least_rows - after).sum(), np.maximum(0, least_groups - members - one).sum())
-            scores.append((*missing, clash, -keeps, np.abs(after - targets).sum(), s))
-        ranked = [s[-1] for s in sorted(scores)][:2]
-        place(int(x), int(ranked[0] if len(ranked) == 1 or rng.random() < 2 / 3 else ranked[1]))
-    return out.tolist()
-
-
-def restart_assignments(pairs: DataFrame, problem: DataFrame, restarts: int = 25, seed: int = 42, max_pairs: int = 2_000_000) -> DataFrame:
-    """(restart, g, split): randomised assignments, each restart in a task of its own.
-
-    The compact problem, one row per group and category, goes to every task; over
-    ``max_pairs`` rows is an error.
+    loads, members, out = list(loads), list(members), []
+    short = lambda s, x, m: (max(0, least_rows - x[s]), max(0, least_groups - m[s]))
+    for row in rows.itertuples(index=False):
+        lacking = sorted(((*(-v for v in short(s, loads, members)), s) for s in (1, 2) if any(short(s, loads, members))))
+        open_, over = ([x[-1] for x in lacking], (1, 2)) if lacking else ((0, 1, 2), (0, 1, 2))
+        scored = []
+        for order, s in enumerate(open_):
+            after, then = list(loads), list(members)
+            after[s] += row.size
+            then[s] += 1
+            unmet = [short(o, after, then) for o in over]
+            balance = sum(abs(a - t) for a, t in zip(after, targets, strict=True))
+            scored.append((sum(u[0] for u in unmet), sum(u[1] for u in unmet), getattr(row, f"clash{s}"), -getattr(row, f"keeps{s}"), balance, loads[s] - targets[s], order, s))
+        s = sorted(scored)[pick(len(scored), SPLIT_POOL, row.digest)][-1]
+        loads[s] += int(row.size)
+        members[s] += 1
+        out.append(s)
+    return out
+
+
+def _placer(loads: list[list[int]], members: list[list[int]], targets: list[float], least_rows: int, least_groups: int):
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part, r = part.sort_values(["window", "digest"]), int(part["restart"].iloc[0])
+        return part[["restart", "g", "size"]].assign(split=place_in_order(part, loads[r], members[r], targets, least_rows, least_groups))
+
+    return run
+
+
+def batches(n: int, least: int) -> list[tuple[int, int]]:
+    """Ranges of the queue that are scored at once: ``least`` groups, or a quarter of those before."""
+    out, start = [], 0
+    while start < n:
+        size = max(least, -(-start // 4))
+        out.append((start, start + -(-size // QUEUE_WINDOW) * QUEUE_WINDOW))
+        start = out[-1][1]
+    return out
+
+
+def restart_assignments(pairs: DataFrame, problem: DataFrame, restarts: int = 25, seed: int = 42, batch: int = 16) -> DataFrame:
+    """(restart, g, split): randomised assignments of whole groups, all restarts at once.
+
+    Each restart starts from a group for each split and goes through the others in a queue, those
+    with much private mass and many rows first, shuffled within windows of eight.  The queue is
+    taken in batches: conflicts and kept rows of a batch's groups are joins and sums over what
+    was placed before it, for all restarts together; within a batch a restart's groups are placed
+    one by one by those and by the sizes so far.  What is placed is written after each batch; the
+    driver holds three sums a restart.
     """
-    spark = pairs.sparkSession
-    local = pairs.orderBy("g", "c").limit(max_pairs + 1).toPandas()
-    if len(local) > max_pairs:
-        raise ValueError(f"over {max_pairs} pairs of group and category")
-    least = problem.first()
-    keys = pd.Index(local["g"].unique())
-    local["g"], local["c"] = keys.get_indexer(local["g"]), pd.factorize(local["c"])[0]
-    held = spark.sparkContext.broadcast((local, keys.tolist()))
-    kind = dict(pairs.dtypes)["g"]
-    rows, groups = least["min_rows"], least["min_groups"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, names = held.value
-        for b in batches:
-            for r in b["id"]:
-                yield pd.DataFrame({"restart": int(r), "g": names, "split": _restart(table, seed + int(r), rows, groups)})
-
-    return spark.range(restarts).repartition(restarts).mapInPandas(run, f"restart int, g {kind}, split int")
+    spark, kind = pairs.sparkSession, pairs.schema["g"].dataType.simpleString()
+    sharing = pairs.groupBy("c").agg(F.count("*").alias("k"))
+    pairs = materialize(pairs.join(sharing, "c").select("g", "c", "n", "k"), "pairs")
+    info = materialize(group_problem(pairs.select("g", "c", "n")), "groups")
+    need = problem.first()
+    targets = [need[f"target_{s}"] for s in SPLITS]
+    if info.limit(3).count() < 3:
+        raise ValueError("three groups at least are needed for three splits")
+    seeds = _seeds(pairs, info, restarts, seed)
+    loads, members = [[0] * 3 for _ in range(restarts)], [[0] * 3 for _ in range(restarts)]
+    for r, s, _, size in seeds:
+        loads[r][s], members[r][s] = loads[r][s] + size, members[r][s] + 1
+    placed = [spark.createDataFrame([(r, g, s) for r, s, g, _ in seeds], f"restart int, g {kind}, split int")]
+
+    order = [F.desc("private"), F.desc("size"), F.round("degree", 3), _digest("g", seed), "g"]
+    spread = value_range(info.select((-F.col("private")).alias("p")), "p")
+    queue = running(info.withColumn("p", -F.col("private")), [], number_bucket("p", spread), order)
+    queue = materialize(queue.withColumn("window", F.floor(F.col("_before") / QUEUE_WINDOW)).drop("_total", "degree", "private", "p"), "queue")
+    held = None
+    for start, end in batches(queue.count(), batch):
+        new = placed[-1].join(pairs.filter("k > 1"), "g").groupBy("restart", "c", "split", "n").agg(F.count("*").alias("m"))
+        held = materialize(new if held is None else held.unionAll(new).groupBy("restart", "c", "split", "n").agg(F.sum("m").alias("m")), "held")
+        needs = spark.createDataFrame([(r, *(t - x for t, x in zip(targets, loads[r], strict=True))) for r in range(restarts)], "restart int, need0 double, need1 double, need2 double")
+        rows = _scores(queue.filter((F.col("_before") >= start) & (F.col("_before") < end)), pairs, held, needs, restarts)
+        rows = rows.join(placed[0].drop("split"), ["restart", "g"], "left_anti").withColumn("digest", _digest("restart", "g", seed))
+
+        run = _placer(loads, members, targets, need["min_rows"], need["min_groups"])
+        done = materialize(rows.groupBy("restart").applyInPandas(run, f"restart int, g {kind}, size long, split int"), "placed")
+        loads, members = [list(x) for x in loads], [list(x) for x in members]
+        for x in done.groupBy("restart", "split").agg(F.sum("size").alias("rows"), F.count("*").alias("groups")).collect():  # three rows a restart
+            loads[x["restart"]][x["split"]] += x["rows"]
+            members[x["restart"]][x["split"]] += x["groups"]
+        placed.append(done.select("restart", "g", "split"))
+    return reduce(DataFrame.unionAll, placed)
 
 
 def two_key_split(df: DataFrame, group: str, category: str, restarts: int = 25, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -387,11 +479,11 @@ def two_key_split(df: DataFrame, group: str, category: str, restarts: int = 25,
 
     Rows whose category belongs to another split are pruned.  An unmet minimum is an error.
     """
-    pairs = pair_counts(df, group, category).persist()
-    problem = split_problem(pairs)
-    assignment = restart_assignments(pairs, problem, restarts, seed).persist()
-    owners = owner_splits(pairs, assignment, problem).persist()
-    sizes = evaluate_restarts(pairs, assignment, owners, problem).persist()
+    pairs = materialize(pair_counts(df, group, category), "pair-counts")
+    problem = materialize(split_problem(pairs), "problem")
+    assignment = restart_assignments(pairs, problem, restarts, seed)
+    owners = materialize(owner_splits(pairs, assignment, problem), "owners")
+    sizes = materialize(evaluate_restarts(pairs, assignment, owners, problem), "sizes")
     best = best_restart(score_restarts(sizes, problem))
     chosen = best.first()
     if chosen is None or chosen["valid_splits"] < 3 or not chosen["train_ok"]:
