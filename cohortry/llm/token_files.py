@@ -14,9 +14,10 @@ token counts (u32 each); token ids, two or four bytes each, all little-endian.
 Files go to the shared folder through its file system, under a name that only the part
 determines, and appear by renaming, so a task that runs again leaves the same file.
 
-Defined results: a null text is empty and has the end id alone; rows of null ``doc_id`` come
-first; rows of one id are in order of their texts; an empty table makes no file; further
-columns are ignored.
+Defined results: a null text is empty and has the end id alone; long texts are encoded whole and
+never split over frames; rows of null ``doc_id`` come first; rows of one id, however many, are in
+order of a hash of their texts and fill several files; repeated rows are documents of their own;
+an empty table makes no file; further columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -147,7 +148,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, path: str | No
     """Write the ids of all documents in ascending ``doc_id`` order; the index of what was written.
 
     One row per document: doc_id, part, file, frame, slot.  ``end_id`` ends each document.
-    Rows are dealt by ranges of ``doc_id``, so a task holds one range and streams through it.
+    Rows are dealt by ranges of ``doc_id`` and hash, so a task holds one range and streams through it.
     """
     from pyspark import TaskContext
 
@@ -170,7 +171,8 @@ def write_token_files(docs: DataFrame, folder: str | None = None, path: str | No
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // DOCS_PER_PART)
-    dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    dealt = rows.repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order)
     return materialize(dealt.mapInArrow(run, "doc_id long, part long, file string, frame int, slot int"), "token-index")
 
 
