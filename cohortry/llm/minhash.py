@@ -1,9 +1,11 @@
 """Near copies by the Jaccard similarity of word shingles.
 
-Each text is the set of its five-word shingles.  120 minima of hashed shingles make 24 bands of
-five; a pair of similarity s shares a band with probability 1 - (1 - s^5)^24, which is 0.99993
-at 0.8.  Pairs that share a band are only candidates: what links them is the exact similarity
-of their sets.
+Each text is the set of its five-word shingles.  432 minima of hashed shingles make 54 bands of
+eight; a pair of similarity s shares a band with probability 1 - (1 - s^8)^54, which is 0.99995
+at 0.8.  Bands are that deep because of passages that many texts share: where a passage is half
+of each text, one text in 256 has a band within it, so few of them meet.  Pairs that share a
+band and have sets of sizes that allow the similarity are only candidates: what links them is the
+exact similarity of their sets.
 
 Candidates are compared in rounds.  Each bucket's smallest rows, one and then four times as many
 in each round, are compared with all later ones; a row that is similar to an earlier one goes, and leaves all
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from cohortry.llm.common import materialize, salt
 
-WIDTH, BANDS, DEPTH, SEED = 5, 24, 5, 42
+WIDTH, BANDS, DEPTH, SEED = 5, 54, 8, 42
 SIMILARITY = 0.8
 #: Rows of a bucket that the first round compares with the others.
 HUBS = 1
@@ -81,21 +83,22 @@ def bands(hashes: np.ndarray, step: int = 512) -> np.ndarray:
 
 
 def band_keys(texts: DataFrame) -> DataFrame:
-    """(node, keys) of each row of ``texts`` (node, text) that has a word."""
+    """(node, n, keys), with the size of its set, of each row of ``texts`` (node, text) that has a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, keys = [], []
+            nodes, sizes, keys = [], [], []
             for node, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
                 s = shingle_set(t.as_py())
                 if len(s):
                     nodes.append(node)
+                    sizes.append(len(s))
                     keys.append(bands(s).view(np.int64))
             flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
             offsets = pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=["node", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=["node", "n", "keys"])
 
-    return texts.select("node", F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, keys array<long>")
+    return texts.select("node", F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, n long, keys array<long>")
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -119,32 +122,33 @@ def _similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def _first(active: DataFrame, n: int) -> DataFrame:
-    """(t, key, hub): the ``n`` smallest rows of each bucket; those of each part of a bucket come first, so that no task sorts a hot one."""
+    """(t, key, hub, hub_n): the ``n`` smallest rows of each bucket; those of each part of a bucket come first, so that no task sorts a hot one."""
     if n == 1:
-        return active.groupBy("t", "key").agg(F.min("node").alias("hub"))
+        return active.groupBy("t", "key").agg(F.min("node").alias("hub"), F.min_by("n", "node").alias("hub_n"))
     salted = active.withColumn("s", salt("node"))
     for by in (["t", "key", "s"], ["t", "key"]):
         salted = salted.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("node"))).filter(F.col("k") <= n)
-    return salted.select("t", "key", F.col("node").alias("hub"))
+    return salted.select("t", "key", F.col("node").alias("hub"), F.col("n").alias("hub_n"))
 
 
 def copies(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(node): the rows of ``texts`` (node, text) that go, each similar to an earlier one."""
     spark = texts.sparkSession
     keys = materialize(band_keys(texts), "bands")
-    buckets = keys.select("node", F.posexplode("keys").alias("t", "key"))
+    buckets = keys.select("node", "n", F.posexplode("keys").alias("t", "key"))
     hot = buckets.groupBy("t", "key").agg(F.count("*").alias("m")).filter("m > 1").drop("m")
     active = materialize(buckets.join(hot, ["t", "key"]), "band-buckets")
     held = materialize(texts.select("node", "text").join(active.select("node").distinct(), "node", "left_semi"), "band-texts")
     gone, hubs = spark.createDataFrame([], "node long"), HUBS
     while not active.isEmpty():
         heads = materialize(_first(active, hubs), "hubs")
-        pairs = active.join(heads, ["t", "key"]).filter("hub < node").select("hub", "node").distinct()
+        fits = F.least("n", "hub_n") >= (least - 1e-9) * F.greatest("n", "hub_n")
+        pairs = active.join(heads, ["t", "key"]).filter((F.col("hub") < F.col("node")) & fits).select("hub", "node").distinct()
         new = materialize(_similar(pairs, held, least), "copies")
         gone = gone.unionAll(new)
         # Pairs of this round's hubs are settled, and a row that goes needs no more comparison.
-        left = active.join(heads.withColumnRenamed("hub", "node"), ["t", "key", "node"], "left_anti").join(new, "node", "left_anti")
+        left = active.join(heads.select("t", "key", F.col("hub").alias("node")), ["t", "key", "node"], "left_anti").join(new, "node", "left_anti")
         many = left.groupBy("t", "key").agg(F.count("*").alias("m")).filter("m > 1").drop("m")
-        active = materialize(left.join(many, ["t", "key"]).select("node", "t", "key"), "band-buckets")
+        active = materialize(left.join(many, ["t", "key"]).select("node", "n", "t", "key"), "band-buckets")
         hubs *= 4
     return gone.distinct()
