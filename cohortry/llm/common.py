@@ -22,16 +22,14 @@ def keyed(docs: DataFrame, key: str = "doc_id", row: str = "_row") -> DataFrame:
     """Add ``row``: a long that is unique, never null, and ascends with ``key`` (null keys last).
 
     Where ``key`` itself is unique and whole it is used as it is.  Otherwise the rows are
-    sorted by range and numbered once, and written, so that the numbers never change.
+    sorted by range and numbered once, and written, so that the numbers never change; rows of
+    one id, however many, are dealt by a hash of all their columns.
     """
     n, whole, distinct = docs.agg(F.count("*"), F.count(key), F.count_distinct(key)).first()
     if n == whole == distinct:
         return docs.withColumn(row, F.col(key).cast("long"))
-    numbered = (
-        docs.repartitionByRange(F.col(key).asc_nulls_last())
-        .sortWithinPartitions(F.col(key).asc_nulls_last())
-        .withColumn(row, F.monotonically_increasing_id())
-    )
+    order = [F.col(key).asc_nulls_last(), F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])]
+    numbered = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(row, F.monotonically_increasing_id())
     return materialize(numbered, "keyed")
 
 
