@@ -1,13 +1,6 @@
 """Token ids in seekable files: independent zstandard frames with a trailing seek table.
 
-A file is a row of frames, each a complete zstandard frame of whole documents, then one
-skippable frame with the seek table: for each frame its compressed size, its size and the
-low 32 bits of the XXH64 of its content, then the number of frames, a descriptor and a magic
-number (the public "zstd seekable format", which any zstandard tool can decompress).  A
-reader takes the table from the file's end and reads, checks and decompresses only the frames
-that it needs.
-
-A frame's content: number of documents (u32), bytes of an id (u32), part of the corpus (u64),
+The files' format is that of ``seekable``.  A frame's content: number of documents (u32), bytes of an id (u32), part of the corpus (u64),
 tokens of that part before the frame (u64); doc ids (i64 each, the least i64 for null);
 token counts (u32 each); token ids, two or four bytes each, all little-endian.
 
@@ -23,7 +16,6 @@ an empty table makes no file; further columns, of any name, are ignored.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -33,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortry.llm.common import materialize, new_path
+from cohortry.llm.seekable import SeekableReader, SeekableWriter
 from cohortry.llm.tokens import WORD_BPE, encoder, tokenizer_path
 
-SKIPPABLE, SEEKABLE, CHECKED = 0x184D2A5E, 0x8F92EAB1, 0x80
-HEAD, ENTRY, FOOT = struct.Struct("<IIQQ"), struct.Struct("<III"), struct.Struct("<IBI")
+HEAD = struct.Struct("<IIQQ")
 NO_ID = -(2**63)
 #: Bytes of ids after which a frame, or a file, is closed; a document is never split.
 FRAME_BYTES, FILE_BYTES = 256 << 10, 64 << 20
@@ -44,27 +36,11 @@ FRAME_BYTES, FILE_BYTES = 256 << 10, 64 << 20
 DOCS_PER_PART = 8_000
 
 
-def _file_system(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
-def _checksum(content: bytes) -> int:
-    from xxhash import xxh64_intdigest
-
-    return xxh64_intdigest(content) & 0xFFFFFFFF
-
-
 class FrameWriter:
     """Writes one part of the corpus as one or several files."""
 
-    def __init__(self, folder: str, part: int, width: str, level: int = 3):
-        import zstandard
-
-        self.fs, self.folder = _file_system(folder)
-        self.uri, self.part, self.width = folder, part, width
-        self.zstd = zstandard.ZstdCompressor(level=level, write_checksum=False)
+    def __init__(self, folder: str, part: int, width: str):
+        self.folder, self.part, self.width = folder, part, width
         self.files, self.tokens, self.out = 0, 0, None
         self._new_frame()
 
@@ -74,11 +50,8 @@ class FrameWriter:
     def add(self, doc_id: int | None, ids: np.ndarray) -> tuple[str, int, int]:
         """Where the document will be: file, frame and number within the frame."""
         if self.out is None:
-            self.name = f"tokens-{self.part:06d}-{self.files:04d}.zst"
-            self.temporary = f"{self.folder}/.{self.name}.{uuid.uuid4().hex}"
-            self.fs.create_dir(self.folder, recursive=True)
-            self.out, self.table, self.written = self.fs.open_output_stream(self.temporary, compression=None), [], 0
-        place = (f"{self.uri}/{self.name}", len(self.table), len(self.ids))
+            self.out = SeekableWriter(self.folder, f"tokens-{self.part:06d}-{self.files:04d}.zst")
+        place = (self.out.uri, len(self.out.table), len(self.ids))
         self.ids.append(NO_ID if doc_id is None else doc_id)
         self.counts.append(len(ids))
         self.chunks.append(ids.astype(self.width).tobytes())
@@ -86,63 +59,37 @@ class FrameWriter:
         self.tokens += len(ids)
         if self.held >= FRAME_BYTES:
             self._end_frame()
-            if self.written >= FILE_BYTES:
+            if self.out.written >= FILE_BYTES:
                 self.close()
         return place
 
     def _end_frame(self):
         n = len(self.ids)
-        content = HEAD.pack(n, int(self.width[2]), self.part, self.before) + struct.pack(f"<{n}q{n}I", *self.ids, *self.counts) + b"".join(self.chunks)
-        frame = self.zstd.compress(content)
-        self.out.write(frame)
-        self.table.append((len(frame), len(content), _checksum(content)))
-        self.written += len(frame)
+        self.out.add(HEAD.pack(n, int(self.width[2]), self.part, self.before) + struct.pack(f"<{n}q{n}I", *self.ids, *self.counts) + b"".join(self.chunks))
         self._new_frame()
 
     def close(self):
-        """End the file with its seek table and give it its name."""
+        """End the file, if one is open."""
         if self.out is None:
             return
         if self.ids:
             self._end_frame()
-        table = b"".join(ENTRY.pack(*e) for e in self.table) + FOOT.pack(len(self.table), CHECKED, SEEKABLE)
-        self.out.write(struct.pack("<II", SKIPPABLE, len(table)) + table)
         self.out.close()
-        self.fs.move(self.temporary, f"{self.folder}/{self.name}")
         self.out, self.files = None, self.files + 1
 
 
-class FrameReader:
+class FrameReader(SeekableReader):
     """Random access to the frames of one file."""
 
-    def __init__(self, uri: str):
-        import zstandard
-
-        fs, path = _file_system(uri)
-        self.file, self.zstd = fs.open_input_file(path), zstandard.ZstdDecompressor()
-        size = self.file.size()
-        n, flags, magic = FOOT.unpack(self.file.read_at(FOOT.size, size - FOOT.size))
-        if magic != SEEKABLE or flags != CHECKED:
-            raise ValueError(f"{uri} has no seek table")
-        table = self.file.read_at(n * ENTRY.size, size - FOOT.size - n * ENTRY.size)
-        self.table = list(ENTRY.iter_unpack(table))
-        self.starts = [0, *np.cumsum([e[0] for e in self.table]).tolist()]
-
     def frame(self, k: int) -> tuple[int, int, list[int | None], np.ndarray, np.ndarray]:
         """(part, tokens before, doc ids, token counts, ids) of one frame, checked."""
-        packed, size, check = self.table[k]
-        content = self.zstd.decompress(self.file.read_at(packed, self.starts[k]), max_output_size=size)
-        if len(content) != size or _checksum(content) != check:
-            raise ValueError(f"frame {k} is damaged")
+        content = self.content(k)
         n, width, part, before = HEAD.unpack_from(content)
         at = HEAD.size
         docs = np.frombuffer(content, "<i8", n, at)
         counts = np.frombuffer(content, "<u4", n, at + 8 * n)
         return part, before, [None if d == NO_ID else int(d) for d in docs], counts, np.frombuffer(content, f"<u{width}", -1, at + 12 * n)
 
-    def close(self):
-        self.file.close()
-
 
 def write_token_files(docs: DataFrame, folder: str | None = None, path: str | None = None, end_id: int = 1) -> DataFrame:
     """Write the ids of all documents in ascending ``doc_id`` order; the index of what was written.
