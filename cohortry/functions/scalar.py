@@ -61,6 +61,20 @@ def numeric(x: Column) -> Column:
     return x.try_cast("double")
 
 
+def numeric_or_fail(x: Column, name: str) -> Column:
+    """A number; null stays, and a text that is none fails the query with the column's name and the text."""
+    number = x.try_cast("double")
+    message = F.concat(F.lit(f"{name} has a value that is no number: "), x.cast("string"))
+    return F.when(x.isNotNull() & number.isNull(), F.raise_error(message).cast("double")).otherwise(number)
+
+
+def in_minutes(x: Column, units: str) -> Column:
+    """Times given in ``units``, minutes or seconds, in minutes."""
+    if units not in ("minutes", "seconds"):
+        raise ValueError("units must be minutes or seconds")
+    return x / 60.0 if units == "seconds" else x
+
+
 def errors(y: Column, predicted: Column, greatest: Column, mean: Column) -> dict[str, Column]:
     """Absolute error, and in percent of a group's greatest, of its mean and of the value; null over zero."""
     diff = F.abs(predicted - y)

@@ -20,13 +20,20 @@ def prune_columns(df: DataFrame, patterns: list[str], keep: list[str] = ()) -> D
     return df.select(*[quoted(c) for c in df.columns if c in keep or not gone.search(c)])
 
 
+#: Values that ``one_hot`` makes columns of.
+MOST_VALUES = 10_000
+
+
 def one_hot(df: DataFrame, column: str, values: list | None = None) -> DataFrame:
     """``<column>_<value>`` of 0.0 or 1.0 for each value, sorted; null is a value of its own.
 
-    Values are looked up where they aren't given: they become columns, so they are few by nature.
+    Values are looked up where they aren't given: they become columns, so over ``MOST_VALUES`` of
+    them are an error.
     """
     if values is None:
-        values = [r[0] for r in df.select(column).distinct().collect()]
+        values = [r[0] for r in df.select(column).distinct().limit(MOST_VALUES + 1).collect()]
+        if len(values) > MOST_VALUES:
+            raise ValueError(f"{column} has over {MOST_VALUES} values")
     order = sorted(values, key=lambda v: (v is None, v if v is not None else 0))
     return df.withColumns({f"{column}_{'nan' if v is None else v}": F.col(column).eqNullSafe(F.lit(v)).cast("double") for v in order})
 
@@ -158,6 +165,24 @@ def source_status(expected: DataFrame, found: DataFrame, key: str, detail: str)
     return joined.select(key, F.coalesce("n", F.lit(0)).alias("n"), status.alias("status"))
 
 
+#: Statuses of a source's gradient.  Fixed values.
+GRADIENT_OK, GRADIENT_FLOW, GRADIENT_EMPTY, GRADIENT_LOST = "Gradient data ok", "Need flow rate imputation", "Empty data table", "Gradient.tsv not found"
+
+
+def gradient_status(expected: DataFrame, rows: DataFrame, key: str, time: str, flow: str, files: DataFrame | None = None) -> DataFrame:
+    """(key, status, n) of each expected source: its gradient is ok, lacks a flow rate, is empty, or isn't there.
+
+    A gradient without rows, or with a row that lacks its time, is empty, and n, its segments, is 0.
+    ``files`` (key) tells sources whose table has no rows from those without one; without it both aren't there.
+    """
+    seen = rows.groupBy(key).agg(F.count("*").alias("_rows"), F.count_if(F.col(f"`{time}`").isNull()).alias("_no_time"), F.count_if(F.col(f"`{flow}`").isNull()).alias("_no_flow"))
+    known = seen if files is None else files.select(key).distinct().join(seen, key, "left")
+    met = expected.join(known.withColumn("_known", F.lit(True)), key, "left")
+    empty = F.col("_rows").isNull() | (F.col("_no_time") > 0)
+    status = F.when(F.col("_known").isNull(), GRADIENT_LOST).when(empty, GRADIENT_EMPTY).when(F.col("_no_flow") > 0, GRADIENT_FLOW).otherwise(GRADIENT_OK)
+    return met.select(key, status.alias("status"), F.when(empty | F.col("_known").isNull(), F.lit(0)).otherwise(F.col("_rows")).cast("long").alias("n"))
+
+
 def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first row of each key in an explicit order."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -9,7 +9,7 @@ differs from the sum over the values by at most an eighth of the squared ratio o
 bandwidth, relative to the kernel's height.  ``kde_exact`` sums over the values themselves.
 Quantiles are exact: values are counted, ranked over buckets of their range, and picked.
 
-Valid values are positive; null values are kept by ``classify`` as uncertain.  Names of flags,
+Valid values are positive and finite; others, and nulls, are kept by ``classify`` as uncertain.  Names of flags,
 methods, confidences and statuses are fixed values.
 """
 
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortry.functions.scalar import in_minutes
 from cohortry.operators.ranks import number_bucket, running, value_range
 from cohortry.sources.shared import materialize
 
@@ -70,9 +71,10 @@ class FrontParams:
 P = FrontParams()
 
 
-def valid(df: DataFrame, group: str, value: str) -> DataFrame:
-    """(g, x): positive values."""
-    return df.filter((F.col(value) > 0) & ~F.isnan(value)).select(F.col(group).alias("g"), F.col(value).cast("double").alias("x"))
+def valid(df: DataFrame, group: str, value: str, units: str = "minutes") -> DataFrame:
+    """(g, x): positive, finite values, in minutes."""
+    x = in_minutes(F.col(value).cast("double"), units)
+    return df.select(F.col(group).alias("g"), x.alias("x")).filter("x > 0 AND x < double('infinity')")  # NaN is over infinity
 
 
 def early_outlier(rows: DataFrame, bounds: tuple[float, float] | None = None) -> DataFrame:
@@ -396,12 +398,12 @@ def histogram_front(rows: DataFrame, profile: DataFrame, lim: DataFrame, p: Fron
     return h.select("g", *[F.when(ok, F.col(k)).alias(k) for k in ("mode", "cut", "depth", "size")], flags.alias("flags"))
 
 
-def fronts(df: DataFrame, group: str, value: str, p: FrontParams = P) -> DataFrame:
-    """(g, n, t0, cutoff, method, confidence, flags) of each group with a valid value.
+def fronts(df: DataFrame, group: str, value: str, p: FrontParams = P, units: str = "minutes") -> DataFrame:
+    """(g, n, t0, cutoff, method, confidence, flags) of each group with a valid value; times are in minutes.
 
     A valley comes first, then a density drop, then the histogram.
     """
-    rows = valid(df, group, value).persist()
+    rows = materialize(valid(df, group, value, units), "valid")
     bounds = value_range(rows, "x")
     profile, lim = materialize(value_profile(rows, bounds), "profile"), materialize(limits(rows, p, bounds), "limits")
     curve = materialize(kde(rows, p.grid, p.min_n), "curve")
@@ -463,13 +465,13 @@ def fronts(df: DataFrame, group: str, value: str, p: FrontParams = P) -> DataFra
     return t.select("g", "n", "t0", F.col("f.cut").alias("cutoff"), "method", confidence.alias("confidence"), F.array_join("flags", "; ").alias("flags"))
 
 
-def classify(df: DataFrame, found: DataFrame, group: str, value: str, p: FrontParams = P) -> DataFrame:
-    """Add pseudo_k and status to each row; a value equal to the cut-off is not retained."""
+def classify(df: DataFrame, found: DataFrame, group: str, value: str, p: FrontParams = P, units: str = "minutes") -> DataFrame:
+    """Add pseudo_k and status to each row; a value equal to the cut-off is not retained, one that isn't valid is uncertain."""
     f = found.select(F.col("g").alias(group), "t0", "cutoff", "confidence")
-    x, k = F.col(value), F.col("pseudo_k")
+    x, k = in_minutes(F.col(value).cast("double"), units), F.col("pseudo_k")
     rows = df.join(f, group, "left").withColumn("pseudo_k", F.when(F.col("t0") > 0, (x - F.col("t0")) / F.col("t0")))
     status = (
-        F.when(x.isNull() | (x <= 0) | F.col("t0").isNull() | F.col("cutoff").isNull() | (F.col("confidence") == "low"), "uncertain")
+        F.when(x.isNull() | (x <= 0) | (x >= float("inf")) | F.col("t0").isNull() | F.col("cutoff").isNull() | (F.col("confidence") == "low"), "uncertain")
         .when(x <= F.col("cutoff"), "putatively_non_retained").when(k < p.weak_k, "weakly_retained").when(k >= p.weak_k, "retained").otherwise("uncertain")
     )
     return rows.withColumn("status", status).select(*df.columns, "pseudo_k", "status")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.scalar import errors
+from cohortry.sources.shared import materialize
 
 METRICS = ["mae", "rmse", "mre", "rel_error_max", "rel_error_mean"]
 
@@ -41,11 +42,11 @@ def metrics_by_each(df: DataFrame, first: str, second: str) -> DataFrame:
 def weighted(df: DataFrame, metrics_: list[str], weight: str, keys: list[str] = ()) -> DataFrame:
     """(keys, metric, mean, std): weighted means and population deviations, in long form.
 
-    The deviation is taken around the mean in a second aggregation; a difference of squares
-    would lose its digits.
+    The deviation is taken around the mean in a second aggregation, since a difference of squares
+    would lose its digits; the metrics, a row a group, are written first, so that what they come from runs once.
     """
     ids = [*keys, weight]
-    long = df.select(*ids, *metrics_).unpivot(ids, metrics_, "metric", "x")
+    long = materialize(df.select(*ids, *metrics_), "metrics").unpivot(ids, metrics_, "metric", "x")
     by = [*keys, "metric"]
     w = F.col(weight)
     means = long.groupBy(*by).agg(F.try_divide(F.sum(w * F.col("x")), F.sum(F.when(F.col("x").isNotNull(), w))).alias("mean"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from cohortry.sources.shared import materialize
+
 
 def group_count_total(df: DataFrame, group: str) -> DataFrame:
     """Rows of each group and a Total row, which ``is_total`` tells from a null group."""
@@ -33,6 +36,25 @@ def waterfall(stages: list[tuple[str, DataFrame]]) -> DataFrame:
     return lost.unionAll(total)
 
 
+def flow(df: DataFrame, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]]) -> tuple[DataFrame, DataFrame]:
+    """(what the stages leave, (position, stage, dropped)): the waterfall of a run, counted while its rows flow.
+
+    The stages are applied one to the other and the result is written once; counters in between
+    see each stage's rows on the way, so no stage runs again for its count.  Where a lost executor makes Spark run
+    tasks again, counters see those rows again; then stages are counted from written tables by ``waterfall``.
+    """
+    seen = [Observation(f"stage-{k}") for k in range(len(stages) + 1)]
+    count = F.count(F.lit(1)).alias("n")
+    now = df.observe(seen[0], count)
+    for (_, stage), counter in zip(stages, seen[1:], strict=True):
+        now = stage(now).observe(counter, count)
+    out = materialize(now, "flow")
+    counts = [c.get.get("n", 0) for c in seen]
+    rows = [(k, name, counts[k - 1] - counts[k]) for k, (name, _) in enumerate(stages, 1)]
+    report = df.sparkSession.createDataFrame([*rows, (len(stages) + 1, "total", counts[0] - counts[-1])], "position int, stage string, dropped long")
+    return out, report
+
+
 def run_comparison(metrics: DataFrame, run: str = "run", names: list[str] = ("mae", "rmse")) -> DataFrame:
     """One row per run with mean and deviation of each metric, from (run, metric, mean, std)."""
     return metrics.groupBy(run).pivot("metric", list(names)).agg(F.first("mean").alias("mean"), F.first("std").alias("std"))
@@ -47,6 +69,25 @@ def summary_with_total(keys: DataFrame, tables: dict[str, DataFrame], key: str)
     return rows.select(F.when(F.col("is_total") == 1, "Total").otherwise(F.col(key).cast("string")).alias("source"), *tables)
 
 
+def totals_by_method(summary: DataFrame, method: str, key: str, count: str) -> DataFrame:
+    """(method, source, count): the rows of each method and its Total; null methods are one."""
+    rows = summary.groupBy(method, key).agg(F.sum(count).alias(count))
+    per = rows.groupBy(method).agg(F.sum(count).alias(count)).select(method, F.lit("Total").alias("source"), count)
+    return rows.select(method, F.col(key).cast("string").alias("source"), count).unionByName(per)
+
+
+def unusable_sources(counts: DataFrame, status: DataFrame, key: str, count: str, unusable: list[str]) -> DataFrame:
+    """(source, count): the sources of ``counts`` (key, count) that have no usable status, and their Total, 0 if there are none."""
+    usable = status.filter(~F.col("status").isin(unusable)).select(key)
+    left = counts.join(usable, key, "left_anti").select(F.col(key).cast("string").alias("source"), count)
+    return left.unionByName(left.agg(F.lit("Total").alias("source"), F.coalesce(F.sum(count), F.lit(0)).alias(count)).select("source", count))
+
+
 def dropped_names(names: list[str], df: DataFrame, column: str = "dropped") -> DataFrame:
-    """A one-column report of names."""
+    """A one-column report of names, such as those of pruned columns."""
     return df.sparkSession.createDataFrame([(n,) for n in names], f"{column} string")
+
+
+def dropped_keys(before: DataFrame, after: DataFrame, key: str, column: str = "dropped") -> DataFrame:
+    """A one-column report of the keys that have no row left, as text."""
+    return before.select(key).distinct().join(after.select(key).distinct(), key, "left_anti").select(F.col(key).cast("string").alias(column))

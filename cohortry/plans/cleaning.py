@@ -17,6 +17,13 @@ def part_with_nulls(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").withColumn("price", F.expr(NULLED))
 
 
+@query("SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_retailprice END AS price FROM part")
+def numeric_or_fail(spark: SparkSession, d: str) -> DataFrame:
+    """Prices as text to numbers; a text that is none would fail the query."""
+    text = part_with_nulls(spark, d).withColumn("text", F.col("price").cast("string"))
+    return text.select("p_partkey", S.numeric_or_fail(F.col("text"), "price").alias("price"))
+
+
 @query("""
 SELECT e.k AS nation, coalesce(f.n, 0) AS n, CASE WHEN f.n IS NULL THEN 'not found' WHEN f.d = 0 THEN 'only canonical' ELSE 'found' END AS status
 FROM (SELECT unnest(generate_series(0, 29))::INTEGER AS k) e
@@ -28,6 +35,26 @@ def source_status(spark: SparkSession, d: str) -> DataFrame:
     return C.source_status(expected, found, "nation", "detail")
 
 
+@query("""
+WITH e AS (SELECT unnest(generate_series(0, 29)) AS nation), r AS (SELECT c_nationkey AS nation, CASE WHEN c_nationkey % 7 = 3 AND c_custkey % 2 = 0 THEN NULL ELSE c_custkey END AS t,
+  CASE WHEN c_nationkey % 5 = 1 AND c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS flow FROM customer WHERE c_nationkey % 11 <> 4),
+g AS (SELECT nation, count(*) AS n, count(*) - count(t) AS no_t, count(*) - count(flow) AS no_f FROM r GROUP BY 1)
+SELECT e.nation::INTEGER AS nation, CASE WHEN e.nation > 24 THEN 'Gradient.tsv not found' WHEN n IS NULL OR no_t > 0 THEN 'Empty data table' WHEN no_f > 0 THEN 'Need flow rate imputation' ELSE 'Gradient data ok' END AS status,
+  CASE WHEN n IS NULL OR no_t > 0 THEN 0 ELSE n END::BIGINT AS n FROM e LEFT JOIN g ON e.nation = g.nation
+""")
+def gradient_status(spark: SparkSession, d: str) -> DataFrame:
+    return gradients(spark, d)
+
+
+def gradients(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as the segments of their nation's gradient; some lack times or flow rates, some nations have none."""
+    expected = spark.range(30).select(F.col("id").cast("int").alias("nation"))
+    rows = table(spark, d, "customer").filter("c_nationkey % 11 <> 4").selectExpr(
+        "c_nationkey AS nation", "CASE WHEN c_nationkey % 7 = 3 AND c_custkey % 2 = 0 THEN NULL ELSE c_custkey END AS t", "CASE WHEN c_nationkey % 5 = 1 AND c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS flow"
+    )
+    return C.gradient_status(expected, rows, "nation", "t", "flow", table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("nation")))
+
+
 @query("SELECT p_partkey, CASE WHEN length(p_partkey::VARCHAR) >= 4 THEN p_partkey::VARCHAR ELSE lpad(p_partkey::VARCHAR, 4, '0') END AS padded FROM part")
 def pad_key(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", S.pad_key(F.col("p_partkey")).alias("padded"))
@@ -62,6 +89,14 @@ def derived_if_zero(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", S.dead_time(t0, F.col("p_size"), F.col("p_retailprice"), flow).alias("t0"))
 
 
+@query("SELECT p_partkey, p_retailprice, p_type, p_brand, p_name FROM part")
+def move_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Columns put right after another; their order is what counts, and names tell it."""
+    moved = C.move_next_to(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_retailprice"), ["p_brand", "p_type"], "p_partkey")
+    assert moved.columns == ["p_partkey", "p_brand", "p_type", "p_name", "p_retailprice"]
+    return moved
+
+
 @query("SELECT p_partkey, p_name, p_retailprice FROM part")
 def prune_columns(spark: SparkSession, d: str) -> DataFrame:
     return C.prune_columns(table(spark, d, "part"), [r"_brand$", "type", "^p_size"])

@@ -12,6 +12,8 @@ from cohortry.operators import features as X
 from cohortry.operators import reports as R
 from cohortry.operators.splits import kfold_stratified, order_key
 from cohortry.plans.base import query, rounded, table
+from cohortry.plans.cleaning import gradients
+from cohortry.sources.tables import fold_keys as fold_keys_of
 
 THRESHOLD = 0.025
 
@@ -120,6 +122,44 @@ def drop_waterfall(spark: SparkSession, d: str) -> DataFrame:
     return R.waterfall([("input", rows), ("low quantity", some), ("small groups", C.min_group_size(some, "g", 540))])
 
 
+@query("""
+WITH a AS (SELECT count(*) AS n FROM lineitem), b AS (SELECT count(*) AS n FROM lineitem WHERE l_quantity > 5),
+c AS (SELECT count(*) AS n FROM lineitem WHERE l_quantity > 5 AND l_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 5 GROUP BY 1 HAVING count(*) >= 540))
+SELECT 1 AS position, 'low quantity' AS stage, a.n - b.n AS dropped FROM a, b UNION ALL SELECT 2, 'small groups', b.n - c.n FROM b, c UNION ALL SELECT 3, 'total', a.n - c.n FROM a, c
+""")
+def flow_waterfall(spark: SparkSession, d: str) -> DataFrame:
+    """The same counts, taken while the rows flow."""
+    return R.flow(lines(spark, d), [("low quantity", lambda x: x.filter("q > 5")), ("small groups", lambda x: C.min_group_size(x, "g", 540))])[1]
+
+
+@query("SELECT l_suppkey::VARCHAR AS dropped FROM lineitem WHERE l_quantity > 5 GROUP BY l_suppkey HAVING count(*) < 540 UNION SELECT l_suppkey::VARCHAR FROM lineitem GROUP BY l_suppkey HAVING max(l_quantity) <= 5")
+def dropped_names(spark: SparkSession, d: str) -> DataFrame:
+    rows = lines(spark, d)
+    return R.dropped_keys(rows, C.min_group_size(rows.filter("q > 5"), "g", 540), "g")
+
+
+GRADIENTS = """
+g AS (SELECT c_nationkey AS k, count(*) AS n, count(CASE WHEN c_nationkey % 7 = 3 AND c_custkey % 2 = 0 THEN NULL ELSE c_custkey END) AS t FROM customer GROUP BY 1),
+lost AS (SELECT k, n FROM g WHERE k % 11 = 4 OR t < n)
+"""
+
+
+@query(f"WITH {GRADIENTS} SELECT k::VARCHAR AS source, n FROM lost UNION ALL SELECT 'Total', coalesce(sum(n), 0)::BIGINT FROM lost")
+def unusable_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The sources without a usable gradient and their rows in total."""
+    counts = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("int").alias("nation")).agg(F.count("*").alias("n"))
+    return R.unusable_sources(counts, gradients(spark, d), "nation", "n", [C.GRADIENT_EMPTY, C.GRADIENT_LOST])
+
+
+@query("""
+WITH s AS (SELECT n_regionkey AS method, c_nationkey::VARCHAR AS source, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
+SELECT method, source, n FROM s UNION ALL SELECT method, 'Total', sum(n)::BIGINT FROM s GROUP BY method
+""")
+def totals_by_method(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "customer").join(table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("method")), "c_nationkey")
+    return R.totals_by_method(rows.groupBy("method", "c_nationkey").agg(F.count("*").alias("n")), "method", "c_nationkey", "n")
+
+
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
     rows = rows.selectExpr("l_orderkey", "l_linenumber", "l_suppkey AS g", "p_brand AS c", "l_extendedprice AS y", "l_quantity * 1000 AS p")
@@ -226,6 +266,22 @@ def metrics_excluding(spark: SparkSession, d: str) -> DataFrame:
     return rounded(V.metrics_excluding(event_folds(spark, d), keep, "event_id", "fold"), *V.METRICS)
 
 
+@query(f"SELECT fold, g, count(*) AS n FROM ({FOLDED}) GROUP BY fold, g")
+def fold_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The keys of each fold and their rows."""
+    return fold_keys_of(event_folds(spark, d), "g")
+
+
+@query(f"""
+WITH w AS ({weighted_sql(f"SELECT g, fold, {RAW} FROM ({FOLDED}) GROUP BY g, fold", "g")})
+SELECT g, {", ".join(f"max(CASE WHEN metric = '{m}' THEN {x} END) AS {m}_{x}" for m in ("mae", "rmse") for x in ("mean", "std"))} FROM w GROUP BY g
+""")
+def run_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """A row a run with mean and deviation of each metric; each user is a run."""
+    found = rounded(V.weighted(V.metrics(event_folds(spark, d), "g", "fold"), V.METRICS, "n", ["g"]), "mean", "std")
+    return R.run_comparison(found, "g")
+
+
 @query(f"SELECT fold, count(*) AS n FROM ({FOLDED}) GROUP BY fold")
 def fold_sizes(spark: SparkSession, d: str) -> DataFrame:
     return event_folds(spark, d).groupBy("fold").agg(F.count("*").alias("n"))

@@ -31,6 +31,37 @@ def multi_source_scan(spark: SparkSession, d: str) -> DataFrame:
     return T.read_sources(spark, f"{path}/*/*.csv", "k bigint, balance double", "source").select("source", "k", "balance")
 
 
+#: Each source's columns in an order of its own; FURNITURE lacks one, HOUSEHOLD has one that no schema names.
+LAYOUTS = {"BUILDING": ["name", "k", "balance"], "FURNITURE": ["name", "k"], "HOUSEHOLD": ["phone", "balance", "k", "name"]}
+
+
+def sources_of_many_layouts(spark: SparkSession, d: str) -> str:
+    """The pattern of text files, a folder per source, whose headers differ."""
+    path = new_path(spark, "layouts")
+    rows = table(spark, d, "customer").select(
+        F.col("c_mktsegment").alias("seg"), F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.expr("CASE WHEN c_custkey % 9 = 0 THEN 'NaN' ELSE CAST(c_acctbal AS STRING) END").alias("balance"), F.lit("0").alias("phone")
+    )
+    named = rows.filter(F.col("seg").isin(list(LAYOUTS)))
+    for seg, columns in LAYOUTS.items():
+        named.filter(F.col("seg") == seg).select(*columns).write.csv(f"{path}/seg={seg}", sep="\t", header=True)
+    rows.filter(~F.col("seg").isin(list(LAYOUTS))).select("seg", "k", "balance", "name").write.mode("append").partitionBy("seg").csv(path, sep="\t", header=True)
+    return f"{path}/*/*.csv"
+
+
+@query("""
+SELECT 'seg=' || c_mktsegment AS source, c_custkey AS k, CASE WHEN c_custkey % 9 = 0 OR c_mktsegment = 'FURNITURE' THEN NULL ELSE c_acctbal END AS balance, c_name AS name FROM customer
+""")
+def sources_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """Sources whose columns come in different orders, of which one lacks a column and one has another, as one table."""
+    return T.read_sources(spark, sources_of_many_layouts(spark, d), "k bigint, balance double, name string", "source").select("source", "k", "balance", "name")
+
+
+@query("SELECT DISTINCT 'seg=' || c_mktsegment AS source, CASE c_mktsegment WHEN 'FURNITURE' THEN 'balance' ELSE 'phone' END AS \"column\", CASE c_mktsegment WHEN 'FURNITURE' THEN 'missing' ELSE 'unknown' END AS status FROM customer WHERE c_mktsegment IN ('FURNITURE', 'HOUSEHOLD')")
+def source_columns(spark: SparkSession, d: str) -> DataFrame:
+    """What sources have that no schema names, and what they lack."""
+    return T.column_report(spark, sources_of_many_layouts(spark, d), "k bigint, balance double, name string").distinct()
+
+
 @query("SELECT event_id, event_type, value FROM events WHERE event_type = 'click'")
 def partitioned_sink(spark: SparkSession, d: str) -> DataFrame:
     """Events in a folder per type, of which one is read."""
@@ -47,6 +78,18 @@ def build_if_missing(spark: SparkSession, d: str) -> DataFrame:
     return T.build_if_missing(spark, path, lambda: spark.range(0).selectExpr("'' AS priority", "id AS n"))
 
 
+@query("SELECT o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY 1")
+def build_again_if_changed(spark: SparkSession, d: str) -> DataFrame:
+    """A table that is built again once a file that it was built from has changed."""
+    source, path = new_path(spark, "inputs"), new_path(spark, "built")
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    rows.filter("o_orderkey % 2 = 0").write.parquet(source)
+    build = lambda: spark.read.parquet(source).groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"))
+    T.build_if_missing(spark, path, build, [source])
+    rows.filter("o_orderkey % 2 <> 0").write.mode("append").parquet(source)
+    return T.build_if_missing(spark, path, build, [source])
+
+
 @query("SELECT o_orderkey, o_orderkey * 61 + 0.5::DOUBLE AS seconds FROM orders")
 def duration_text(spark: SparkSession, d: str) -> DataFrame:
     """Durations as text, such as 1 days 02:03:04.5, to seconds."""

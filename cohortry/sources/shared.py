@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,19 +43,24 @@ class Scratch:
     been written.  A lazy result reads the tables of its own block, so it can't leave it.
     """
 
-    blocks: list[Scratch] = []
+    #: Of this thread, the innermost last.
+    _open: ContextVar[tuple[Scratch, ...]] = ContextVar("scratch", default=())
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
+    @classmethod
+    def blocks(cls) -> tuple[Scratch, ...]:
+        return cls._open.get()
+
     def __enter__(self) -> Scratch:
-        Scratch.blocks.append(self)
+        Scratch._open.set((*Scratch.blocks(), self))
         return self
 
     def keep(self, df: DataFrame) -> DataFrame:
         """A table that ``materialize`` returned is left to the block around this one, if any."""
         self.paths.remove(df._written)
-        outer = Scratch.blocks[: Scratch.blocks.index(self)]
+        outer = Scratch.blocks()[: Scratch.blocks().index(self)]
         if outer:
             outer[-1].paths.append(df._written)
         return df
@@ -68,7 +74,7 @@ class Scratch:
         self.paths = [p for p in self.paths if p == df._written]
 
     def __exit__(self, kind, *_) -> None:
-        Scratch.blocks.remove(self)
+        Scratch._open.set(tuple(b for b in Scratch.blocks() if b is not self))
         for path in [] if kind else self.paths:
             fs, at = file_system(self.spark, path)
             fs.delete(at, True)
@@ -77,13 +83,17 @@ class Scratch:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
-    What is read back survives the loss of any executor.
+    What is read back survives the loss of any executor.  A table that no block deletes goes when
+    the driver ends.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    if Scratch.blocks:
-        Scratch.blocks[-1].paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
+    if Scratch.blocks():
+        Scratch.blocks()[-1].paths.append(path)
+    else:
+        fs, at = file_system(spark, path)
+        fs.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
