@@ -152,6 +152,6 @@ def test_pipeline_runs_and_cleans_up(spark):
     names = lambda: {f.getPath().getName() for f in fs.listStatus(at)} if fs.exists(at) else set()
     before = names()
     out = cp.run(spark, SF)
-    assert out.count() > 0 and not Scratch.blocks
+    assert out.count() > 0 and not Scratch.blocks()
     left = {n.rsplit("-", 1)[0] for n in names() - before}
     assert "stage-3" in left and not left & {"stage-0", "stage-1", "stage-2", "fingerprints", "buckets", "bands"}  # the last stage reads the fourth's
