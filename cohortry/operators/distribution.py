@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortry.functions.scalar import in_minutes
-from cohortry.operators.ranks import number_bucket, running, value_range
+from cohortry.operators.ranks import bucket_of, cuts_of, running
 from cohortry.sources.shared import materialize
 
 
@@ -77,46 +77,45 @@ def valid(df: DataFrame, group: str, value: str, units: str = "minutes") -> Data
     return df.select(F.col(group).alias("g"), x.alias("x")).filter("x > 0 AND x < double('infinity')")  # NaN is over infinity
 
 
-def early_outlier(rows: DataFrame, bounds: tuple[float, float] | None = None) -> DataFrame:
+def early_outlier(rows: DataFrame, cuts: list[float] | None = None) -> DataFrame:
     """(g, early_outlier): one smallest value, set apart by a gap far over the usual one.
 
     Gaps are those between distinct values, and zeros between equal ones, which don't count; so
     values are counted first, and a value's gap is looked up in its bucket or the next that has one.
     """
-    low, high = bounds = bounds or value_range(rows, "x")
-    counts = rows.groupBy("g", "x").agg(F.count("*").alias("k")).persist()  # read for heads, gaps and sizes
-    placed = counts.withColumn("b", number_bucket("x", bounds))
+    counts = materialize(rows.groupBy("g", "x").agg(F.count("*").alias("k")), "counts")  # read for heads, gaps and sizes
+    placed = counts.withColumn("b", bucket_of("x", cuts_of(counts, "x") if cuts is None else cuts))
     w = Window.partitionBy("g", "b").orderBy("x")
     heads = placed.groupBy("g", "b").agg(F.min("x").alias("head"))
     after = heads.select("g", "b", F.lead("head").over(Window.partitionBy("g").orderBy("b")).alias("beyond"))
     gaps = placed.withColumn("next", F.lead("x").over(w)).join(after, ["g", "b"]).select("g", "x", "k", (F.coalesce("next", "beyond") - F.col("x")).alias("gap"))
-    met = gaps.join(counts.groupBy("g").agg(F.sum("k").alias("n"), F.min("x").alias("low")), "g")
+    met = materialize(gaps.join(counts.groupBy("g").agg(F.sum("k").alias("n"), F.min("x").alias("low")), "g"), "gaps")
     lowest = F.col("x") == F.col("low")
     # The first gap is zero where the smallest value recurs; its gap to the next then is a later one.
     first = met.filter(lowest).select("g", "n", F.when(F.col("k") > 1, F.lit(0.0)).otherwise(F.col("gap")).alias("first"))
     later = met.filter((F.col("gap") > 0) & ~(lowest & (F.col("k") == 1))).select("g", F.col("gap").alias("x"))
-    usual = quantiles(later, {"usual": 0.5}, (0.0, high - low))
+    usual = quantiles(later, {"usual": 0.5})
     s = first.join(usual, "g", "left")
     usual = F.when(F.coalesce("usual", F.lit(0.0)) == 0, F.lit(1e-6)).otherwise(F.col("usual"))
     return s.select("g", (F.col("n") >= 4).__and__(F.col("first") > F.greatest(F.lit(0.5), 5 * usual)).alias("early_outlier"))
 
 
-def value_profile(rows: DataFrame, bounds: tuple[float, float] | None = None) -> DataFrame:
+def value_profile(rows: DataFrame, cuts: list[float] | None = None) -> DataFrame:
     """(g, n, low, high, top_share, many_duplicates, narrow_range, early_outlier)."""
     counts = rows.groupBy("g", "x").agg(F.count("*").alias("k"))
     s = counts.groupBy("g").agg(F.sum("k").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), (F.max("k") / F.sum("k")).alias("top_share"))
     s = s.withColumns({"many_duplicates": F.col("top_share") > 0.20, "narrow_range": (F.col("high") - F.col("low")) < 0.25})
-    return s.join(early_outlier(rows, bounds), "g")
+    return s.join(early_outlier(rows, cuts), "g")
 
 
-def quantiles(rows: DataFrame, shares: dict[str, float], bounds: tuple[float, float] | None = None) -> DataFrame:
+def quantiles(rows: DataFrame, shares: dict[str, float], cuts: list[float] | None = None) -> DataFrame:
     """(g, names...): exact quantiles of each group, interpolated, at the named shares.
 
     The values at the ranks around each share are found by running counts over buckets of the
-    range, so no task holds a group's values.  ``bounds``, the range, is looked up if not given.
+    values, so no task holds a group's.  ``cuts`` between the buckets are looked up if not given.
     """
-    counts = rows.groupBy("g", "x").agg(F.count("*").alias("k")).persist()  # read for sums and for ranks
-    placed = running(counts, ["g"], number_bucket("x", bounds or value_range(rows, "x")), ["x"], F.col("k"))
+    counts = materialize(rows.groupBy("g", "x").agg(F.count("*").alias("k")), "counts")  # read for cuts, sums and ranks
+    placed = running(counts, ["g"], bucket_of("x", cuts_of(counts, "x") if cuts is None else cuts), ["x"], F.col("k"))
     at = {name: F.lit(q) * (F.col("_total") - 1) for name, q in shares.items()}
     holds = lambda rank: (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("k"))
     needed = [holds(f(p)) for p in at.values() for f in (F.floor, F.ceil)]
@@ -210,15 +209,15 @@ def extrema(curve: DataFrame) -> DataFrame:
     return near.select("g", i.alias("i"), kind.alias("kind"), gx.alias("gx"), F.col("d").alias("density")).filter("kind IS NOT NULL")
 
 
-def limits(rows: DataFrame, p: FrontParams = P, bounds: tuple[float, float] | None = None) -> DataFrame:
+def limits(rows: DataFrame, p: FrontParams = P, cuts: list[float] | None = None) -> DataFrame:
     """(g, n, zone, max_t0, valley_limit, drop_limit, hist_limit, cluster): what a group's front must meet.
 
     ``zone`` is on the scale of ln(1 + x).
     """
     s = rows.groupBy("g").agg(F.count("*").alias("n"), F.max("x").alias("top"), F.min(F.log1p("x")).alias("y0"), F.max(F.log1p("x")).alias("y1"))
-    bounds = bounds or value_range(rows, "x")
-    s = s.join(quantiles(rows, {"qv": p.max_cutoff_quantile, "qd": p.late_cutoff_quantile}, bounds), "g")
-    s = s.join(quantiles(rows.select("g", F.log1p("x").alias("x")), {"yq": p.early_quantile}, tuple(map(math.log1p, bounds))), "g")
+    cuts = cuts_of(rows, "x") if cuts is None else cuts
+    s = s.join(quantiles(rows, {"qv": p.max_cutoff_quantile, "qd": p.late_cutoff_quantile}, cuts), "g")
+    s = s.join(quantiles(rows.select("g", F.log1p("x").alias("x")), {"yq": p.early_quantile}, [math.log1p(c) for c in cuts]), "g")
     return s.select(
         "g",
         "n",
@@ -340,7 +339,7 @@ def histogram(rows: DataFrame) -> DataFrame:
     return rows.join(s, "g").groupBy("g", "bins", "low", "high", at.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def histogram_front(rows: DataFrame, profile: DataFrame, lim: DataFrame, p: FrontParams = P, bounds: tuple[float, float] | None = None) -> DataFrame:
+def histogram_front(rows: DataFrame, profile: DataFrame, lim: DataFrame, p: FrontParams = P, cuts: list[float] | None = None) -> DataFrame:
     """(g, mode, cut, depth, size, flags): a front from strongly filled first bins; mode is null if there is none."""
     h = histogram(rows).groupBy("g", "bins", "low", "high").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
     counts = F.transform(F.sequence(F.lit(0), F.col("bins") - 1), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0)))
@@ -380,7 +379,7 @@ def histogram_front(rows: DataFrame, profile: DataFrame, lim: DataFrame, p: Fron
     h = materialize(h, "histogram")  # a row a group, read for sizes and for modes
     near = rows.join(h.select("g", "from", "to", "cut"), "g")
     h = h.join(near.groupBy("g").agg(F.count_if(F.col("x") <= F.col("cut")).alias("size")), "g")
-    h = h.join(quantiles(near.filter("x >= from AND x <= to"), {"mode": 0.5}, bounds or value_range(rows, "x")), "g", "left")
+    h = h.join(quantiles(near.filter("x >= from AND x <= to"), {"mode": 0.5}, cuts), "g", "left")
     ok = F.col("way").isNotNull() & (F.col("size") >= F.col("cluster"))
     flag = lambda cond, name: F.when(cond, F.lit(name))
     flags = F.array_compact(
@@ -404,13 +403,13 @@ def fronts(df: DataFrame, group: str, value: str, p: FrontParams = P, units: str
     A valley comes first, then a density drop, then the histogram.
     """
     rows = materialize(valid(df, group, value, units), "valid")
-    bounds = value_range(rows, "x")
-    profile, lim = materialize(value_profile(rows, bounds), "profile"), materialize(limits(rows, p, bounds), "limits")
+    cuts = cuts_of(rows, "x")
+    profile, lim = materialize(value_profile(rows, cuts), "profile"), materialize(limits(rows, p, cuts), "limits")
     curve = materialize(kde(rows, p.grid, p.min_n), "curve")
     # What each detector finds is a row a group; kept, so that later steps don't run it again.
     valley = mode_valley(rows, curve, lim, p).select("g", F.struct("mode", "cut", "depth", "size").alias("v"))
     drop = density_drop(rows, curve, lim, p).select("g", F.when(F.col("mode").isNotNull(), F.struct("mode", "cut", "depth", "size")).alias("d"), F.col("flags").alias("d_flags"))
-    hist = histogram_front(rows, profile, lim, p, bounds).select("g", F.when(F.col("mode").isNotNull(), F.struct("mode", "cut", "depth", "size")).alias("h"), F.col("flags").alias("h_flags"))
+    hist = histogram_front(rows, profile, lim, p, cuts).select("g", F.when(F.col("mode").isNotNull(), F.struct("mode", "cut", "depth", "size")).alias("h"), F.col("flags").alias("h_flags"))
     valley, drop, hist = (materialize(x, "found") for x in (valley, drop, hist))
     has_curve = curve.select("g").distinct().withColumn("curve", F.lit(True))
     t = profile.join(lim.drop("n"), "g").join(has_curve, "g", "left").join(valley, "g", "left").join(drop, "g", "left").join(hist, "g", "left")
@@ -420,7 +419,7 @@ def fronts(df: DataFrame, group: str, value: str, p: FrontParams = P, units: str
     t = t.withColumn("f", F.when(F.col("method") == "first_valley", F.col("v")).when(F.col("method") == "density_drop", F.col("d")).when(F.col("method") == "histogram_first_bin", F.col("h")))
     t = materialize(t, "method")  # a row a group, read again for what the front implies
     early = rows.join(t.filter("many_duplicates").select("g", F.col("f.cut").alias("cut")), "g").filter("x <= cut")
-    t = t.join(quantiles(early, {"early_median": 0.5}, bounds), "g", "left")
+    t = t.join(quantiles(early, {"early_median": 0.5}, cuts), "g", "left")
     pooled = F.col("f").isNotNull() & F.col("many_duplicates") & (F.col("f.size") >= p.min_cluster)
     t = t.withColumn("t0", F.when(pooled, F.col("early_median")).otherwise(F.col("f.mode")))
     t = materialize(t, "front")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cohortry.operators.ranks import DIGITS, number_bucket, running, value_range
+from cohortry.operators.ranks import bucket_of, cuts_of, running
+from cohortry.sources.shared import materialize
 
 
 def merge_conditions(df: DataFrame, key: str, conditions: list[str], prefix: str = "cc_") -> DataFrame:
@@ -16,8 +16,8 @@ def merge_conditions(df: DataFrame, key: str, conditions: list[str], prefix: str
     """
     groups = df.select(key, F.struct(*conditions).alias("conditions")).groupBy("conditions").agg(F.count("*").cast("int").alias("n"), F.min(key).alias("first"))
     single = (F.col("n") == 1).cast("int")
-    number = isinstance(groups.schema["first"].dataType, T.NumericType)
-    step = F.lpad(number_bucket("first", value_range(df, key)).cast("string"), 6, "0") if number else F.substring("first", 1, DIGITS)
+    groups = materialize(groups, "conditions")  # read for cuts and for ranks
+    step = F.lpad(bucket_of("first", cuts_of(groups, "first")).cast("string"), 6, "0")
     placed = running(groups, [], F.concat(single.cast("string"), step), [single, "first"])
     return placed.select(F.concat(F.lit(prefix), (F.col("_before") + 1).cast("string")).alias("group_id"), "conditions", "first", "n")
 

@@ -7,11 +7,18 @@ buckets of a group, and joined back, so that a window runs over one bucket at a
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Buckets that cut a group: three hexadecimal digits, or so many steps of a number.
-DIGITS, STEPS = 3, 4096
+#: Hexadecimal digits of a random order that make its buckets, and buckets of other orders.
+DIGITS, BUCKETS = 3, 4096
+#: Cuts that are compared at once on the way to a value's bucket.
+FAN = 16
+#: Characters of a text that a cut keeps; texts that agree in as many are one bucket.
+CUT_CHARS = 128
 
 
 def hex_bucket(key: Column | str, digits: int = DIGITS) -> Column:
@@ -19,17 +26,49 @@ def hex_bucket(key: Column | str, digits: int = DIGITS) -> Column:
     return F.substring(key, 1, digits)
 
 
-def value_range(df: DataFrame, column: str) -> tuple[float, float]:
-    """Least and greatest value of a number; zeros if there is none."""
-    low, high = df.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
-    return low or 0.0, high or 0.0
+def cuts_of(df: DataFrame, column: str, buckets: int = BUCKETS) -> list:
+    """Ascending cuts between buckets of about equally many rows of ``df``, for numbers and texts alike.
+
+    Numbers are cut at quantiles of a sketch that is merged over tasks; texts at every so manieth of the
+    rows whose hash is small, some sixteen a bucket, which are few whatever ``df`` holds.  Outliers and common
+    prefixes make no difference; only equal values share a bucket.  A group's part of a bucket is at
+    most the bucket, so a hot group has as many buckets as its share of the rows.
+    """
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.NumericType | T.DateType | T.TimestampType):
+        x = F.col(column).cast("double")
+        found = df.agg(F.percentile_approx(x, F.lit([k / buckets for k in range(1, buckets)]), F.lit(4 * buckets))).first()[0] or []
+        return sorted({v for v in found if v == v})
+    wanted = 16 * buckets
+    x = F.col(column).cast("string")
+    rows = df.agg(F.approx_count_distinct(x)).first()[0]
+    some = df.select(x.alias("x")).distinct() if rows <= wanted else df.select(x.alias("x")).distinct().filter(F.pmod(F.xxhash64("x"), F.lit(rows)) < wanted)
+    found = sorted({r.x for r in some.select(F.left("x", F.lit(CUT_CHARS)).alias("x")).filter("x IS NOT NULL").collect()}, key=lambda t: t.encode())
+    step = max(1, len(found) // buckets)
+    return found[step::step][:buckets]
+
+
+def bucket_of(column: str, cuts: list) -> Column:
+    """The bucket of a value: the number of cuts up to it; null is in the first."""
+    if not cuts:
+        return F.lit(0)
+    number = not isinstance(cuts[0], str)
+    x = F.col(column).cast("double" if number else "string")
 
+    def level(step: int, at: Column | None) -> Column:
+        """Of the cuts, every ``step``-th from place ``at``, how many are no greater."""
+        some = F.from_json(F.lit(json.dumps(cuts[step - 1 :: step])), "array<double>" if number else "array<string>")  # folded to one constant
+        part = some if at is None else F.slice(some, at + 1, FAN)
+        return F.size(F.filter(part, lambda c: c <= x))
 
-def number_bucket(column: str, bounds: tuple[float, float], steps: int = STEPS) -> Column:
-    """The bucket of an order by a number: even steps between two bounds, which should hold most values."""
-    low, width = bounds[0], (bounds[1] - bounds[0]) or 1.0
-    step = F.floor((F.col(column).cast("double") - low) / width * steps)
-    return F.greatest(F.lit(0), F.least(F.lit(steps - 1), F.coalesce(step, F.lit(0)))).cast("int")
+    step, place = 1, None
+    while FAN * step < len(cuts):
+        step *= FAN
+    while step:
+        found = level(step, place if place is None else place * FAN)
+        place = found if place is None else place * FAN + found
+        step //= FAN
+    return F.coalesce(place, F.lit(0)).cast("int")
 
 
 def running(df: DataFrame, group: list[str], bucket: Column, order: list[Column | str], value: Column | None = None) -> DataFrame:

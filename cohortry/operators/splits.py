@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortry.operators.ranks import DIGITS, hex_bucket, number_bucket, running, tile, value_range
+from cohortry.operators.ranks import bucket_of, cuts_of, hex_bucket, running, tile
 from cohortry.sources.shared import materialize
 
 SPLITS = ["train", "val", "test"]
@@ -79,14 +79,12 @@ def kfold_groups(df: DataFrame, group: str, k: int) -> DataFrame:
     Ties go to the smaller key and the lower fold.  Only the distinct sizes, at most the root of
     twice the rows, are folded on the driver.
     """
-    sizes = group_sizes(df, group)
+    sizes = materialize(group_sizes(df, group), "sizes")  # read for sizes, cuts and ranks
     counts = [(r["n"], r["k"]) for r in sizes.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()]
     turns = df.sparkSession.createDataFrame(_turns(counts, k), "n long, after long, folds array<int>")
     last = F.lead("after").over(Window.partitionBy("n").orderBy("after"))
     turns = turns.withColumn("last", F.coalesce(last, F.lit(2**62)))
-    number = isinstance(sizes.schema[group].dataType, T.NumericType)
-    bucket = number_bucket(group, value_range(sizes, group)) if number else F.substring(F.col(group).cast("string"), 1, DIGITS)
-    placed = running(sizes, ["n"], bucket, [group]).withColumn("at", F.col("_before") + 1)
+    placed = running(sizes, ["n"], bucket_of(group, cuts_of(sizes, group)), [group]).withColumn("at", F.col("_before") + 1)
     met = placed.join(turns, "n").filter("at > after AND at <= last")
     turn = F.pmod(F.col("at") - F.col("after") - 1, F.size("folds").cast("long")).cast("int")
     return met.select(group, "n", F.get("folds", turn).alias("fold"))
@@ -355,44 +353,77 @@ def _seeds(pairs: DataFrame, info: DataFrame, restarts: int, seed: int) -> list[
     return chosen
 
 
-def _scores(batch: DataFrame, pairs: DataFrame, held: DataFrame, needs: DataFrame, restarts: int) -> DataFrame:
-    """Per restart and group of ``batch``: conflict with the groups of other splits, and rows it would keep, for each split.
+#: Pairs and groups of the queue that are scored at once.  It bounds what a task holds, not what comes out.
+BATCH = 100_000
+_TIES = [(s, mask) for s in range(3) for mask in (1, 2, 3)]
 
-    ``held`` counts, by restart, category and split, the groups placed there by their rows in
-    the category; a category's distinct counts are few.
+
+def _scores(batch: DataFrame, pairs: DataFrame, held: DataFrame, restarts: int) -> DataFrame:
+    """Per restart and group of ``batch``, what the placer needs of the groups placed before the batch.
+
+    ``clash`` and ``lost``, for each split, are the conflict with groups of other splits and the rows
+    that would go, over the categories that no other group of the batch has; ``ties`` are rows in categories where a
+    rival (1), another (2) or both (3) would have as many, which need decides.  Categories that recur within
+    the batch come one by one in ``inner``, since what they count changes as groups are placed.  ``held``
+    counts, by restart, category and split, the groups placed there by their rows in the category.
     """
     own = batch.select("g").join(pairs.filter("k > 1"), "g")
-    of = lambda s: F.collect_list(F.when(F.col("split") == s, F.struct("n", "m"))).alias(f"a{s}")
+    again = own.groupBy("c").agg((F.count("*") > 1).alias("inside"))
+    own = materialize(own.join(again, "c"), "batch-pairs")
+    of = lambda s: F.collect_list(F.when(F.col("split") == s, F.struct("n", "m"))).alias(f"a{s}")  # noqa: E731  a category's distinct counts are few
     there = held.join(own.select("c").distinct(), "c", "left_semi").groupBy("restart", "c").agg(*[of(s) for s in range(3)])
-    met = own.join(there, "c").join(F.broadcast(needs), "restart")  # a row a restart
+    every_restart = F.explode(F.sequence(F.lit(0), F.lit(restarts - 1)))
+    met = own.withColumn("restart", every_restart).join(there, ["restart", "c"], "left").filter("inside OR a0 IS NOT NULL")
     zero = F.lit(0).cast("long")
+    none = F.array().cast("array<struct<n:bigint,m:bigint>>")
     for s in range(3):
-        met = met.withColumn(f"h{s}", F.aggregate(f"a{s}", zero, lambda a, x: a + x["n"] * x["m"]))
-        met = met.withColumn(f"x{s}", F.aggregate(f"a{s}", zero, lambda a, x: a + F.least(x["n"], F.col("n")) * x["m"]))
-    sums = []
+        counts = F.coalesce(f"a{s}", none)
+        met = met.withColumn(f"h{s}", F.aggregate(counts, zero, lambda a, x: a + x["n"] * x["m"]))
+        met = met.withColumn(f"x{s}", F.aggregate(counts, zero, lambda a, x: a + F.least(x["n"], F.col("n")) * x["m"]))
+    sums, alone = [], ~F.col("inside")
     for s in range(3):
         p, q = (o for o in range(3) if o != s)
         total, most = F.col(f"h{s}") + F.col("n"), F.greatest(f"h{p}", f"h{q}")
-        rival = F.greatest(*[F.when(F.col(f"h{o}") >= total, F.col(f"need{o}")) for o in (p, q)])
-        tied = F.when(F.col(f"need{s}") >= rival, F.col("n")).otherwise(F.col("n") * 0.5)
-        keeps = F.when((most == 0) | (total > most), F.col("n")).when(total == most, tied).otherwise(F.lit(0.0))
-        sums += [F.sum((F.col(f"x{p}") + F.col(f"x{q}")) / F.col("k")).alias(f"clash{s}"), F.sum(keeps - F.col("n")).alias(f"lost{s}")]
-    found = met.groupBy("restart", "g").agg(*sums)
-    every = batch.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1)))).join(found, ["restart", "g"], "left")
-    # Rows in categories that no placed group of the restart has are all kept.
-    scored = {f"clash{s}": F.round(F.coalesce(f"clash{s}", F.lit(0.0)), 9) for s in range(3)} | {f"keeps{s}": F.col("size") + F.coalesce(f"lost{s}", F.lit(0.0)) for s in range(3)}
-    return every.withColumns(scored)
+        mask = F.when(alone & (most > 0) & (total == most), F.when(F.col(f"h{p}") == total, 1).otherwise(0) + F.when(F.col(f"h{q}") == total, 2).otherwise(0))
+        sums += [F.sum(F.when(alone, (F.col(f"x{p}") + F.col(f"x{q}")) / F.col("k"))).alias(f"clash{s}"), F.sum(F.when(alone & (total < most), F.col("n"))).alias(f"lost{s}")]
+        sums += [F.sum(F.when(mask == m, F.col("n"))).alias(f"tie{s}{m}") for m in (1, 2, 3)]
+    inner = F.collect_list(F.when(F.col("inside"), F.struct("c", "n", "k", F.array("h0", "h1", "h2").alias("h"), F.array("x0", "x1", "x2").alias("x")))).alias("inner")
+    found = met.groupBy("restart", "g").agg(*sums, inner)
+    every = batch.withColumn("restart", every_restart).join(found, ["restart", "g"], "left")
+    number = lambda c, kind: F.coalesce(c, F.lit(0)).cast(kind)
+    arrays = [F.array(*[number(f"clash{s}", "double") for s in range(3)]).alias("clash"), F.array(*[number(f"lost{s}", "long") for s in range(3)]).alias("lost")]
+    return every.select("restart", "g", "size", "window", *arrays, F.array(*[number(f"tie{s}{m}", "long") for s, m in _TIES]).alias("ties"), "inner")
 
 
 def place_in_order(rows: pd.DataFrame, loads: list[int], members: list[int], targets: list[float], least_rows: int, least_groups: int) -> list[int]:
-    """The split of each of ``rows`` (size, clash0.., keeps0.., digest), one after the other.
+    """The split of each of ``rows`` (size, clash, lost, ties, inner, digest), one after the other, each seeing all before it.
 
     Until val and test have their least rows and groups only those that lack most are open.  The
     open splits are ranked by unmet minimums, conflict, rows kept, balance and need.
     """
     loads, members, out = list(loads), list(members), []
+    added: dict = {}  # by category: rows in each split, and groups placed here by split and count
     short = lambda s, x, m: (max(0, least_rows - x[s]), max(0, least_groups - m[s]))
     for row in rows.itertuples(index=False):
+        need = [t - x for t, x in zip(targets, loads, strict=True)]
+        inner = [] if row.inner is None else [(e["c"], e["n"], e["k"], *added.get(e["c"], ((0, 0, 0), {})), e["h"], e["x"]) for e in row.inner]
+
+        def ranked(s: int, row=row, need=need, inner=inner) -> tuple[float, float]:
+            """Conflict, and rows kept."""
+            others = [o for o in range(3) if o != s]
+            favoured = {1: need[s] >= need[others[0]], 2: need[s] >= need[others[1]]}
+            favoured[3] = favoured[1] and favoured[2]
+            lost = row.lost[s] + sum(0.5 * row.ties[3 * s + m - 1] for m in (1, 2, 3) if not favoured[m])
+            clash = row.clash[s]
+            for _, n, k, more, placed, h, x in inner:
+                clash += (sum(x[o] for o in others) + sum(min(n, other) * m for (o, other), m in placed.items() if o != s)) / k
+                now = [h[o] + more[o] for o in range(3)]
+                total, most = now[s] + n, max(now[o] for o in others)
+                if most > 0 and total <= most:
+                    mask = sum(1 << i for i, o in enumerate(others) if now[o] == total)
+                    lost += n if total < most else 0 if favoured[mask] else 0.5 * n
+            return round(clash, 9), row.size - lost
+
         lacking = sorted(((*(-v for v in short(s, loads, members)), s) for s in (1, 2) if any(short(s, loads, members))))
         open_, over = ([x[-1] for x in lacking], (1, 2)) if lacking else ((0, 1, 2), (0, 1, 2))
         scored = []
@@ -402,10 +433,15 @@ def place_in_order(rows: pd.DataFrame, loads: list[int], members: list[int], tar
             then[s] += 1
             unmet = [short(o, after, then) for o in over]
             balance = sum(abs(a - t) for a, t in zip(after, targets, strict=True))
-            scored.append((sum(u[0] for u in unmet), sum(u[1] for u in unmet), getattr(row, f"clash{s}"), -getattr(row, f"keeps{s}"), balance, loads[s] - targets[s], order, s))
+            clash, keeps = ranked(s)
+            scored.append((sum(u[0] for u in unmet), sum(u[1] for u in unmet), clash, -keeps, balance, -need[s], order, s))
         s = sorted(scored)[pick(len(scored), SPLIT_POOL, row.digest)][-1]
         loads[s] += int(row.size)
         members[s] += 1
+        for c, n, _, more, placed, *_ in inner:
+            placed = dict(placed)
+            placed[s, n] = placed.get((s, n), 0) + 1
+            added[c] = (tuple(x + n * (o == s) for o, x in enumerate(more)), placed)
         out.append(s)
     return out
 
@@ -418,25 +454,16 @@ def _placer(loads: list[list[int]], members: list[list[int]], targets: list[floa
     return run
 
 
-def batches(n: int, least: int) -> list[tuple[int, int]]:
-    """Ranges of the queue that are scored at once: ``least`` groups, or a quarter of those before."""
-    out, start = [], 0
-    while start < n:
-        size = max(least, -(-start // 4))
-        out.append((start, start + -(-size // QUEUE_WINDOW) * QUEUE_WINDOW))
-        start = out[-1][1]
-    return out
-
-
-def restart_assignments(pairs: DataFrame, problem: DataFrame, restarts: int = 25, seed: int = 42, batch: int = 16) -> DataFrame:
+def restart_assignments(pairs: DataFrame, problem: DataFrame, restarts: int = 25, seed: int = 42, batch: int = BATCH) -> DataFrame:
     """(restart, g, split): randomised assignments of whole groups, all restarts at once.
 
     Each restart starts from a group for each split and goes through the others in a queue, those
-    with much private mass and many rows first, shuffled within windows of eight.  The queue is
-    taken in batches: conflicts and kept rows of a batch's groups are joins and sums over what
-    was placed before it, for all restarts together; within a batch a restart's groups are placed
-    one by one by those and by the sizes so far.  What is placed is written after each batch; the
-    driver holds three sums a restart.
+    with much private mass and many rows first, shuffled within windows of eight; each group is
+    placed by conflict and rows kept against all groups before it.  The queue is cut into batches of
+    about ``batch`` pairs and groups: what was placed before a batch comes to it by joins and sums, for all restarts
+    together, and categories that recur within it are counted on as its groups are placed, a restart in
+    a task.  So a batch bounds what a task holds and changes nothing else.  What is placed is written after each batch;
+    the driver holds three sums a restart.
     """
     spark, kind = pairs.sparkSession, pairs.schema["g"].dataType.simpleString()
     sharing = pairs.groupBy("c").agg(F.count("*").alias("k"))
@@ -453,15 +480,18 @@ def restart_assignments(pairs: DataFrame, problem: DataFrame, restarts: int = 25
     placed = [spark.createDataFrame([(r, g, s) for r, s, g, _ in seeds], f"restart int, g {kind}, split int")]
 
     order = [F.desc("private"), F.desc("size"), F.round("degree", 3), _digest("g", seed), "g"]
-    spread = value_range(info.select((-F.col("private")).alias("p")), "p")
-    queue = running(info.withColumn("p", -F.col("private")), [], number_bucket("p", spread), order)
-    queue = materialize(queue.withColumn("window", F.floor(F.col("_before") / QUEUE_WINDOW)).drop("_total", "degree", "private", "p"), "queue")
+    info = info.withColumn("p", -F.col("private"))
+    bucket = bucket_of("p", cuts_of(info, "p"))
+    weights = info.join(pairs.filter("k > 1").groupBy("g").agg(F.count("*").alias("w")), "g", "left").withColumn("w", F.coalesce("w", F.lit(0)) + 1)
+    queue = running(running(weights, [], bucket, order).withColumnRenamed("_before", "_place").drop("_total"), [], bucket, order, F.col("w"))
+    queue = queue.withColumn("window", F.floor(F.col("_place") / QUEUE_WINDOW))
+    starts = queue.groupBy("window").agg(F.floor(F.min("_before") / batch).alias("batch"))  # a window is in one batch
+    queue = materialize(queue.select("g", "size", "window").join(starts, "window"), "queue")
     held = None
-    for start, end in batches(queue.count(), batch):
+    for number in [r["batch"] for r in queue.select("batch").distinct().orderBy("batch").collect()]:
         new = placed[-1].join(pairs.filter("k > 1"), "g").groupBy("restart", "c", "split", "n").agg(F.count("*").alias("m"))
         held = materialize(new if held is None else held.unionAll(new).groupBy("restart", "c", "split", "n").agg(F.sum("m").alias("m")), "held")
-        needs = spark.createDataFrame([(r, *(t - x for t, x in zip(targets, loads[r], strict=True))) for r in range(restarts)], "restart int, need0 double, need1 double, need2 double")
-        rows = _scores(queue.filter((F.col("_before") >= start) & (F.col("_before") < end)), pairs, held, needs, restarts)
+        rows = _scores(queue.filter(F.col("batch") == number).drop("batch"), pairs, held, restarts)
         rows = rows.join(placed[0].drop("split"), ["restart", "g"], "left_anti").withColumn("digest", _digest("restart", "g", seed))
 
         run = _placer(loads, members, targets, need["min_rows"], need["min_groups"])

@@ -199,8 +199,8 @@ hf AS (SELECT g, CASE WHEN ok THEN mode END AS mode, CASE WHEN ok THEN cut END A
 @query(f"WITH {X}, {GAPS}, {LIMITS}, {HIST} SELECT g, round(mode, 6) AS mode, round(cut, 6) AS cut, round(depth, 6) AS depth, size, flags FROM hf")
 def histogram_front(spark: SparkSession, d: str) -> DataFrame:
     rows = values(spark, d)
-    bounds = D.value_range(rows, "x")
-    out = D.histogram_front(rows, materialize(D.value_profile(rows, bounds), "profile"), materialize(D.limits(rows, D.P, bounds), "limits"), D.P, bounds)
+    cuts = D.cuts_of(rows, "x")
+    out = D.histogram_front(rows, materialize(D.value_profile(rows, cuts), "profile"), materialize(D.limits(rows, D.P, cuts), "limits"), D.P, cuts)
     return rounded(out.withColumn("flags", F.array_join("flags", "; ")), "mode", "cut", "depth")
 
 

@@ -211,7 +211,7 @@ def test_two_key_split_is_disjoint(spark):
     assert n["train"] >= n["val"] >= n["test"] > 0 and best.count() == 1
 
 
-def slow_assignment(rows, restarts, seed, batch, least_rows, least_groups):
+def slow_assignment(rows, restarts, seed, least_rows, least_groups):
     """The assignment of restart_assignments with plain loops over groups and categories."""
     import hashlib
 
@@ -235,33 +235,31 @@ def slow_assignment(rows, restarts, seed, batch, least_rows, least_groups):
             ranked = sorted((g for g in own if g not in seeds), key=lambda g: (round(sum(weight[g, x] for x in seeds), 9), -private[g], -size[g], degree[g], g))
             seeds.append(ranked[K.pick(len(ranked), 5, digest(r, s, seed))])
         at = {g: s for s, g in enumerate(seeds)}
-        for start, end in K.batches(len(queue), batch):
-            seen = dict(at)  # conflicts and kept rows are those before the batch
-            loads = [sum(size[g] for g in at if at[g] == s) for s in range(3)]
-            needs = [t - x for t, x in zip(targets, loads, strict=True)]
-            members = [sum(at[g] == s for g in at) for s in range(3)]
-            for g in sorted((g for g in queue[start:end] if g not in seen), key=lambda g: (queue.index(g) // 8, digest(r, g, seed))):
-                lack = lambda s: (max(0, least_rows - loads[s]), max(0, least_groups - members[s]))  # noqa: B023, E731
-                few = sorted((s for s in (1, 2) if any(lack(s))), key=lambda s: (-lack(s)[0], -lack(s)[1], s))
-                scored = []
-                for s in few or (0, 1, 2):
-                    after = [x + size[g] * (k == s) for k, x in enumerate(loads)]
-                    then = [x + (k == s) for k, x in enumerate(members)]
-                    over = (1, 2) if few else (0, 1, 2)
-                    clash = sum(weight[g, x] for x in seen if seen[x] != s)
-                    keeps = 0.0
-                    for c, n in own[g].items():
-                        h = [sum(own[x].get(c, 0) for x in seen if seen[x] == k) for k in range(3)]
-                        others = [k for k in range(3) if k != s]
-                        most = max(h[k] for k in others)
-                        if most == 0 or h[s] + n > most:
-                            keeps += n
-                        elif h[s] + n == most:
-                            keeps += n if needs[s] >= max(needs[k] for k in others if h[k] >= most) else n / 2
-                    unmet = sum(max(0, least_rows - after[k]) for k in over), sum(max(0, least_groups - then[k]) for k in over)
-                    scored.append((*unmet, round(clash, 9), -keeps, sum(abs(a - t) for a, t in zip(after, targets, strict=True)), loads[s] - targets[s], len(scored), s))
-                s = sorted(scored)[K.pick(len(scored), 2, digest(r, g, seed))][-1]
-                at[g], loads[s], members[s] = s, loads[s] + size[g], members[s] + 1
+        loads = [sum(size[g] for g in at if at[g] == s) for s in range(3)]
+        members = [sum(at[g] == s for g in at) for s in range(3)]
+        for g in sorted((g for g in queue if g not in at), key=lambda g: (queue.index(g) // 8, digest(r, g, seed))):
+            seen, needs = at, [t - x for t, x in zip(targets, loads, strict=True)]
+            lack = lambda s: (max(0, least_rows - loads[s]), max(0, least_groups - members[s]))  # noqa: B023, E731
+            few = sorted((s for s in (1, 2) if any(lack(s))), key=lambda s: (-lack(s)[0], -lack(s)[1], s))
+            scored = []
+            for s in few or (0, 1, 2):
+                after = [x + size[g] * (k == s) for k, x in enumerate(loads)]
+                then = [x + (k == s) for k, x in enumerate(members)]
+                over = (1, 2) if few else (0, 1, 2)
+                clash = sum(weight[g, x] for x in seen if seen[x] != s)
+                keeps = 0.0
+                for c, n in own[g].items():
+                    h = [sum(own[x].get(c, 0) for x in seen if seen[x] == k) for k in range(3)]
+                    others = [k for k in range(3) if k != s]
+                    most = max(h[k] for k in others)
+                    if most == 0 or h[s] + n > most:
+                        keeps += n
+                    elif h[s] + n == most:
+                        keeps += n if needs[s] >= max(needs[k] for k in others if h[k] >= most) else n / 2
+                unmet = sum(max(0, least_rows - after[k]) for k in over), sum(max(0, least_groups - then[k]) for k in over)
+                scored.append((*unmet, round(clash, 9), -keeps, sum(abs(a - t) for a, t in zip(after, targets, strict=True)), loads[s] - targets[s], len(scored), s))
+            s = sorted(scored)[K.pick(len(scored), 2, digest(r, g, seed))][-1]
+            at[g], loads[s], members[s] = s, loads[s] + size[g], members[s] + 1
         out |= {(r, g): s for g, s in at.items()}
     return out
 
@@ -273,8 +271,9 @@ def test_assignment_equals_plain_loops(spark):
     p = spark.createDataFrame(rows, "g int, c string, n bigint")
     problem = K.split_problem(p, 60, 4)
     least = problem.first()
-    got = {(r.restart, r.g): r.split for r in K.restart_assignments(p, problem, 3, seed=5, batch=16).collect()}
-    assert got == slow_assignment(rows, 3, 5, 16, least.min_rows, least.min_groups)
+    want = slow_assignment(rows, 3, 5, least.min_rows, least.min_groups)
+    for batch in (1, 60, K.BATCH):  # a window of eight groups, some, all
+        assert {(r.restart, r.g): r.split for r in K.restart_assignments(p, problem, 3, seed=5, batch=batch).collect()} == want
 
 
 def test_scaler(spark):
