@@ -16,6 +16,7 @@ methods, confidences and statuses are fixed values.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -108,8 +109,8 @@ def value_profile(rows: DataFrame, cuts: list[float] | None = None) -> DataFrame
     return s.join(early_outlier(rows, cuts), "g")
 
 
-def quantiles(rows: DataFrame, shares: dict[str, float], cuts: list[float] | None = None) -> DataFrame:
-    """(g, names...): exact quantiles of each group, interpolated, at the named shares.
+def quantiles(rows: DataFrame, shares: dict[str, float], cuts: list[float] | None = None, scales: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """(g, names...): exact quantiles of each group, interpolated, at the named shares; on an ascending scale of the values where ``scales`` has the name.
 
     The values at the ranks around each share are found by running counts over buckets of the
     values, so no task holds a group's.  ``cuts`` between the buckets are looked up if not given.
@@ -122,45 +123,76 @@ def quantiles(rows: DataFrame, shares: dict[str, float], cuts: list[float] | Non
     picked = placed.filter(reduce(lambda a, b: a | b, needed))
     ends = [F.max(F.when(holds(f(p)), F.col("x"))).alias(f"{name}_{end}") for name, p in at.items() for end, f in (("low", F.floor), ("high", F.ceil))]
     found = picked.groupBy("g", "_total").agg(*ends)
-    between = [(F.col(f"{n}_low") + (p - F.floor(p)) * (F.col(f"{n}_high") - F.col(f"{n}_low"))).alias(n) for n, p in at.items()]
+    between = []
+    for n, p in at.items():
+        low, high = (scales or {}).get(n, lambda x: x)(F.col(f"{n}_low")), (scales or {}).get(n, lambda x: x)(F.col(f"{n}_high"))
+        between.append((low + (p - F.floor(p)) * (high - low)).alias(n))
     return found.select("g", *between)
 
 
-def _spread(rows: DataFrame, min_n: int) -> tuple[DataFrame, DataFrame]:
-    """(g, y) with y = ln(1 + x), and (g, n, low, high, h) of the groups that have an estimate; h is Scott's bandwidth."""
-    logs = rows.select("g", F.log1p("x").alias("y"))
+#: Bandwidths, in standard deviations, by the number of values.  Fixed rules of Scott and Silverman for one dimension.
+BANDWIDTHS = {"scott": lambda n: F.pow(n, F.lit(-0.2)), "silverman": lambda n: F.pow(n * 0.75, F.lit(-0.2))}
+#: Bandwidths from which a kernel is zero in double precision.
+REACH = 39
+
+
+def _spread(rows: DataFrame, min_n: int, bandwidth: str = "scott", log: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(g, y), with y = ln(1 + x) if ``log``, and (g, n, low, high, h) of the groups that have an estimate; h is the bandwidth."""
+    logs = rows.select("g", (F.log1p("x") if log else F.col("x").cast("double")).alias("y"))
     s = logs.groupBy("g").agg(F.count("*").alias("n"), F.min("y").alias("low"), F.max("y").alias("high"), F.stddev_samp("y").alias("sd"))
     s = s.filter((F.col("n") >= min_n) & (F.col("high") > F.col("low")))
-    return logs, s.select("g", "n", "low", "high", (F.pow(F.col("n"), F.lit(-0.2)) * F.col("sd")).alias("h"))
+    return logs, s.select("g", "n", "low", "high", (BANDWIDTHS[bandwidth](F.col("n")) * F.col("sd")).alias("h"))
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _kernel_sums(at: pd.Series, whole: pd.Series, part: pd.Series, ratio: pd.Series, grid: pd.Series) -> pd.Series:
-    """At each grid point, the kernel's sum over the weights; ``part`` of each ``whole`` belongs to the next point."""
+def _kernel_sums(at: pd.Series, whole: pd.Series, part: pd.Series, ratio: pd.Series, grid: pd.Series, every: pd.Series) -> pd.Series:
+    """At each grid point, the kernel's sum over the weights; ``part`` of each ``whole`` belongs to the next place.
+
+    Places are every ``every``-th grid point, and go on beyond the grid.  Where they are the grid's own,
+    the sums are a convolution with one kernel.
+    """
     out = []
-    for k, n, f, r, size in zip(at, whole, part, ratio, grid, strict=True):
-        w = np.zeros(size)
-        np.add.at(w, k, n - f)
-        np.add.at(w, np.asarray(k) + 1, f)
+    for k, n, f, r, size, q in zip(at, whole, part, ratio, grid, every, strict=True):
+        k = np.asarray(k, np.int64)
+        first, last = min(0, k.min()), max((size - 1) // q, k.max() + 1)
+        w = np.zeros(last - first + 1)
+        np.add.at(w, k - first, n - f)
+        np.add.at(w, k - first + 1, f)
+        if q == 1:
+            m = int(min(last - first, math.ceil(REACH / r)))
+            z = np.arange(-m, m + 1) * r
+            out.append(np.convolve(w, np.exp(-0.5 * z * z))[m - first : m - first + size])
+            continue
         used = np.flatnonzero(w)
-        z = (np.arange(size)[:, None] - used[None, :]) * r
-        out.append(np.exp(-0.5 * z * z) @ w[used])
+        sums = np.empty(size)
+        for start in range(0, size, 64):
+            z = (np.arange(start, min(size, start + 64))[:, None] - (used[None, :] + first) * q) * r
+            sums[start : start + 64] = np.exp(-0.5 * z * z) @ w[used]
+        out.append(sums)
     return pd.Series(out)
 
 
-def kde(rows: DataFrame, grid: int = P.grid, min_n: int = P.min_n) -> DataFrame:
-    """(g, i, gx, density): Gaussian estimate of ln(1 + x) on an even grid, Scott's bandwidth, from weights on the grid.
+def kde(rows: DataFrame, grid: int = P.grid, min_n: int = P.min_n, bandwidth: str = "scott", span: tuple[float, float] | None = None, log: bool = True) -> DataFrame:
+    """(g, i, gx, density): Gaussian estimate of ln(1 + x), or of x, on an even grid, from weights on its points.
 
-    Groups under ``min_n`` rows or of one value have none.
+    The grid is over each group's range, or over ``span``, beyond which weights go on as far as kernels
+    reach.  There, where a bandwidth is over 400 steps, weights are on every so manieth point, 200 or more a
+    bandwidth.  Groups under ``min_n`` rows or of one value have none.
     """
-    logs, s = _spread(rows, min_n)
+    logs, s = _spread(rows, min_n, bandwidth, log)
+    if span:
+        s = s.withColumns({"low": F.lit(float(span[0])), "high": F.lit(float(span[1]))})
     step = (F.col("high") - F.col("low")) / (grid - 1)
-    place = (F.col("y") - F.col("low")) / step
-    cell = F.least(F.floor(place), F.lit(grid - 2)).cast("int")
-    cells = logs.join(s, "g").groupBy("g", cell.alias("k")).agg(F.count("*").alias("whole"), F.sum(place - cell).alias("part"))
+    every = F.greatest(F.lit(1), F.floor(F.col("h") / step / 200)).cast("long") if span else F.lit(1).cast("long")
+    met = logs.join(s, "g")
+    if span:
+        met = met.filter((F.col("y") > F.col("low") - REACH * F.col("h")) & (F.col("y") < F.col("high") + REACH * F.col("h")))
+    place = (F.col("y") - F.col("low")) / step / every
+    cell = (F.floor(place) if span else F.least(F.floor(place), F.lit(grid - 2))).cast("long")
+    cells = met.groupBy("g", cell.alias("k")).agg(F.count("*").alias("whole"), F.sum(place - cell).alias("part"))
     lists = [F.col(f"cells.{f}") for f in ("k", "whole", "part")]
-    arrays = cells.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", "whole", "part"))).alias("cells"))  # at most ``grid``
-    sums = arrays.join(s, "g").select("g", "n", "low", "high", "h", _kernel_sums(*lists, step / F.col("h"), F.lit(grid)).alias("sums"))
+    arrays = cells.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", "whole", "part"))).alias("cells"))  # at most the grid and what kernels reach
+    sums = arrays.join(s, "g").select("g", "n", "low", "high", "h", _kernel_sums(*lists, step / F.col("h"), F.lit(grid), every).alias("sums"))
     points = sums.select("*", F.posexplode("sums").alias("i", "sum"))
     return points.select("g", "i", (F.col("low") + F.col("i") * step).alias("gx"), (F.col("sum") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
 
@@ -216,8 +248,7 @@ def limits(rows: DataFrame, p: FrontParams = P, cuts: list[float] | None = None)
     """
     s = rows.groupBy("g").agg(F.count("*").alias("n"), F.max("x").alias("top"), F.min(F.log1p("x")).alias("y0"), F.max(F.log1p("x")).alias("y1"))
     cuts = cuts_of(rows, "x") if cuts is None else cuts
-    s = s.join(quantiles(rows, {"qv": p.max_cutoff_quantile, "qd": p.late_cutoff_quantile}, cuts), "g")
-    s = s.join(quantiles(rows.select("g", F.log1p("x").alias("x")), {"yq": p.early_quantile}, [math.log1p(c) for c in cuts]), "g")
+    s = s.join(quantiles(rows, {"qv": p.max_cutoff_quantile, "qd": p.late_cutoff_quantile, "yq": p.early_quantile}, cuts, {"yq": F.log1p}), "g")
     return s.select(
         "g",
         "n",

@@ -81,6 +81,24 @@ def kde_grid(spark: SparkSession, d: str) -> DataFrame:
     return rounded(on_grid(spark, d), "gx", "density", digits=9)
 
 
+#: A grid that is the same for all groups; values lie on it and beyond.
+SPAN, SPAN_POINTS = (-5.0, 5.0), 5000
+
+
+@query(f"""
+WITH x AS (SELECT event_type AS g, ln(value) * 2 - 3 AS x FROM events WHERE value > 0),
+st AS (SELECT g, count(*) AS n, (count(*) * 0.75::DOUBLE) ** (-0.2::DOUBLE) * stddev_samp(x) AS h, 10.0::DOUBLE / {SPAN_POINTS - 1} AS step FROM x GROUP BY 1 HAVING count(*) >= 30 AND max(x) > min(x)),
+cl AS (SELECT g, k, count(*) AS whole, sum(spot - k) AS part FROM (SELECT g, spot, floor(spot)::INTEGER AS k FROM (SELECT g, (x + 5) / step AS spot FROM x JOIN st USING (g))) GROUP BY 1, 2),
+wt AS (SELECT g, k, sum(w) AS w FROM (SELECT g, k, whole - part AS w FROM cl UNION ALL SELECT g, k + 1, part FROM cl) GROUP BY 1, 2)
+SELECT g, i, round(any_value(-5 + i * step), 9) AS gx, round(sum(w * exp(-0.5 * ((i - k) * (step / h)) ** 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 9) AS density
+FROM wt JOIN st USING (g), (SELECT unnest(generate_series(0, {SPAN_POINTS - 1}))::INTEGER AS i) GROUP BY 1, 2
+""")
+def kde_fixed_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The estimate of every type's values on one grid, with Silverman's bandwidth."""
+    rows = table(spark, d, "events").filter("value > 0").select(F.col("event_type").alias("g"), (F.ln("value") * 2 - 3).alias("x"))
+    return rounded(D.kde(rows, SPAN_POINTS, bandwidth="silverman", span=SPAN, log=False), "gx", "density", digits=9)
+
+
 @query(f"""
 WITH {X}, {curve_sql(GRID)}, e AS (SELECT *, coalesce(lag(density) OVER w, density) AS d0, coalesce(lead(density) OVER w, density) AS d1, coalesce(lag(gx) OVER w, gx) AS x0, coalesce(lead(gx) OVER w, gx) AS x1 FROM kd WINDOW w AS (PARTITION BY g ORDER BY i)),
 s AS (SELECT *, (d1 - d0) / (x1 - x0) AS gradient FROM e)

@@ -489,11 +489,118 @@ def test_grid_search_equals_closed_form(spark):
     df = spark.createDataFrame([(float(a), float(b), float(c), i) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))], "a double, b double, y double, i int")
     got = X.grid_search(df.filter("i < 200"), df.filter("i >= 200"), ["a", "b"], "y", [0.0, 0.5], [0.0]).collect()
     t, v = slice(0, 200), slice(200, 300)
-    mean, sd, ysd = x[t].mean(axis=0), x[t].std(axis=0, ddof=1), y[t].std(ddof=1)
+    mean, sd = x[t].mean(axis=0), x[t].std(axis=0)
     want = {}
-    for penalty in (0.0, 0.5):  # on scaled features and labels
-        z, u = (x[t] - mean) / sd, (y[t] - y[t].mean()) / ysd
-        w = np.linalg.solve(z.T @ z / 200 + penalty / ysd * np.eye(2), z.T @ u / 200) * ysd / sd
+    for penalty in (0.0, 0.5):  # on scaled features
+        z, u = (x[t] - mean) / sd, y[t] - y[t].mean()
+        w = np.linalg.solve(z.T @ z / 200 + penalty * np.eye(2), z.T @ u / 200) / sd
         want[penalty] = (((x[v] - mean) @ w + y[t].mean() - y[v]) ** 2).mean()
-    assert {r.penalty: r.val_loss for r in got} == pytest.approx(want, rel=0.02)
+    assert {r.penalty: r.val_loss for r in got} == pytest.approx(want, rel=1e-9)
     assert [r.val_loss for r in got] == sorted(r.val_loss for r in got)
+
+
+def test_elastic_net_is_the_least(spark):
+    """No step from the weights is better; strong lasso weights are zero, constant features have none."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 3)) @ np.array([[1, 0.5, 0], [0, 1, 0], [0, 0, 0]])
+    y = 2 * x[:, 0] - 0.3 * x[:, 1] + rng.normal(size=500)
+    cov, c = np.cov(x.T, bias=True), ((x - x.mean(axis=0)) * (y - y.mean())[:, None]).mean(axis=0)
+    loss = lambda w, lam, mix: w @ cov @ w / 2 - c @ w + lam * (mix * np.abs(w).sum() + (1 - mix) * (w @ w) / 2)
+    for lam, mix in ((0.0, 0.0), (0.3, 0.5), (0.2, 1.0), (50.0, 1.0)):
+        w = X.elastic_net(cov, c, lam, mix)
+        assert w[2] == 0 and all(loss(w, lam, mix) <= loss(w + d, lam, mix) + 1e-12 for d in rng.normal(size=(200, 3)) * [[0.01, 0.01, 0]])
+    assert (X.elastic_net(cov, c, 50.0, 1.0) == 0).all()
+
+
+def test_grid_search_reads_each_table_once(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    spark.range(100).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS a", "CASE WHEN id = 5 THEN NULL ELSE id * 2.0 END AS y").write.parquet(path)
+    df = spark.read.parquet(path)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("grid", "")
+    found = X.grid_search(df.filter("id < 80"), df.filter("id >= 80"), ["a"], "y", [0.0, 1.0, 2.0, 3.0], [0.0, 1.0])
+    jobs = len(tracker.getJobIdsForGroup("grid"))
+    spark.sparkContext.setJobGroup("", "")
+    assert found.count() == 8 and jobs <= 4  # two aggregates, each a job or two
+
+
+def test_regressions_of_several_features(spark):
+    rng = np.random.default_rng(6)
+    rows = [(g, int(f), float(a), float(b), float(2 * a - b + g + e)) for g in range(4) for f, a, b, e in zip(rng.integers(0, 5, 200), rng.normal(size=200) + 1e6, rng.normal(size=200), rng.normal(size=200), strict=True)]
+    rows += [(9, i % 5, float(i), 2.0 * i, float(i)) for i in range(50)] + [(8, i, 1.0, 2.0, 3.0) for i in range(2)] + [(0, 1, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g int, fold int, a double, b double, y double")
+    fits = V.regressions_by_group_fold(df, "g", "fold", ["a", "b"], "y", 5)
+    got = {(r.g, r.fold): r for r in fits.collect()}
+    for g, f in ((g, f) for g in range(4) for f in range(5)):
+        t = np.array([r[2:] for r in rows if r[0] == g and r[1] not in (f, (f + 1) % 5) and r[2] is not None])
+        design = np.c_[np.ones(len(t)), t[:, 0] - 1e6, t[:, 1]]
+        w = np.linalg.lstsq(design, t[:, 2], rcond=None)[0]
+        assert got[g, f].n_train == len(t) and got[g, f].weights == pytest.approx(w[1:], rel=1e-6)
+        assert got[g, f].intercept + 1e6 * got[g, f].weights[0] == pytest.approx(w[0], rel=1e-6)
+    assert all(got[9, f].weights is None and got[9, f].intercept is None for f in range(5)) and got[8, 0].weights is None
+    held = V.predict_by_group_fold(df.filter("g < 4"), fits, "g", "fold", ["a", "b"]).filter("a IS NOT NULL").toPandas()
+    assert (held.predicted - held.y).abs().mean() < 1.2 and len(held) == 800
+
+
+def test_buckets_of_outliers_prefixes_and_hot_groups(spark):
+    """The largest bucket is near the mean, whatever the values look like."""
+    from cohortry.operators.ranks import bucket_of, cuts_of
+
+    cases = {
+        "outlier": spark.range(20_000).selectExpr("IF(id = 7, 1e9, id / 1000D) AS x"),
+        "prefix": spark.range(20_000).selectExpr("'a long common prefix cc_' || id AS x"),
+        "two prefixes": spark.range(20_000).selectExpr("IF(id = 7, 'zz', 'cc_' || id) AS x"),
+        "dates": spark.range(20_000).selectExpr("IF(id = 7, DATE'1700-01-01', DATE'2020-01-01' + CAST(id AS INT)) AS x").selectExpr("CAST(x AS TIMESTAMP) AS x"),
+    }
+    for name, df in cases.items():
+        cuts = cuts_of(df, "x", 64)
+        found = df.withColumn("b", bucket_of("x", cuts))
+        sizes = [r["count"] for r in found.groupBy("b").count().collect()]
+        assert len(sizes) >= 50 and max(sizes) <= 4 * 20_000 / 64, name
+        edges = found.groupBy("b").agg(F.min("x").alias("low"), F.max("x").alias("high")).orderBy("b").collect()
+        assert all(a.high < z.low for a, z in zip(edges, edges[1:], strict=False)), name  # buckets ascend with the order
+    assert cuts_of(spark.range(0), "id") == [] and cuts_of(spark.range(0).selectExpr("'a' AS x"), "x") == []
+    nulls = spark.createDataFrame([(None,), (1.0,), (math.nan,)], "x double")
+    assert nulls.select(bucket_of("x", cuts_of(nulls, "x"))).count() == 3
+
+
+def test_bucket_is_the_number_of_cuts(spark):
+    from cohortry.operators.ranks import bucket_of
+
+    rng = random.Random(2)
+    for n in (0, 1, 15, 16, 17, 255, 256, 257, 1000, 4095):
+        cuts = sorted(rng.sample(range(10_000), n))
+        got = spark.createDataFrame([(float(x),) for x in range(0, 10_000, 37)], "x double").select("x", bucket_of("x", [float(c) for c in cuts]).alias("b")).collect()
+        assert all(r.b == sum(c <= r.x for c in cuts) for r in got), n
+
+
+def test_infinite_values_are_uncertain(spark):
+    rng = np.random.default_rng(1)
+    xs = [*map(float, rng.lognormal(2, 0.5, 400)), *map(float, rng.normal(1.0, 0.05, 60))]
+    odd = [math.inf, -math.inf, math.nan, None, -1.0, 0.0]
+    clean = spark.createDataFrame([(1, x) for x in xs], "g int, x double")
+    df = spark.createDataFrame([(1, x) for x in [*xs, *odd]], "g int, x double")
+    assert D.value_profile(D.valid(df, "g", "x")).collect() == D.value_profile(D.valid(clean, "g", "x")).collect()
+    found = D.fronts(df, "g", "x")
+    assert [tuple(r) for r in found.collect()] == [tuple(r) for r in D.fronts(clean, "g", "x").collect()]
+    status = D.classify(df, found, "g", "x").collect()
+    assert {r.status for r in status if r.x is None or not math.isfinite(r.x) or r.x <= 0} == {"uncertain"}
+    seconds = df.withColumn("x", F.col("x") * 60)
+    slow = D.fronts(seconds, "g", "x", units="seconds")
+    assert slow.first().cutoff == pytest.approx(found.first().cutoff) and slow.first().flags == found.first().flags
+    assert [r.status for r in D.classify(seconds, slow, "g", "x", units="seconds").collect()].count("retained") == [r.status for r in status].count("retained")
+    with pytest.raises(ValueError, match="units"):
+        D.valid(df, "g", "x", units="hours")
+
+
+@pytest.mark.parametrize("span, grid", [((-5.0, 5.0), 500), ((-1.0, 0.5), 301), ((3.0, 3.01), 200)])
+def test_estimate_on_a_fixed_grid(spark, span, grid):
+    """Against sums over the values, with values beyond the grid, and a grid far finer than the bandwidth."""
+    x = np.random.default_rng(3).normal(1, 2, 300)
+    rows = spark.createDataFrame([(1, float(v)) for v in x], "g int, x double")
+    for rule, factor in (("silverman", (300 * 0.75) ** -0.2), ("scott", 300**-0.2)):
+        got = D.kde(rows, grid, bandwidth=rule, span=span, log=False).toPandas().sort_values("i")
+        h, at = factor * x.std(ddof=1), np.linspace(*span, grid)
+        want = np.exp(-0.5 * ((at[:, None] - x[None]) / h) ** 2).sum(axis=1) / (300 * h * math.sqrt(2 * math.pi))
+        step = (span[1] - span[0]) / (grid - 1)
+        assert got.gx.to_numpy() == pytest.approx(at) and got.density.to_numpy() == pytest.approx(want, abs=(step / h) ** 2 / 4 + 1e-5)
