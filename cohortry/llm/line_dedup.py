@@ -1,7 +1,8 @@
 """Site-relative boilerplate lines.
 
 Within a host, the share of its pages that contain a line tells boilerplate from text: lines
-on more than ``max_ratio`` of the pages of a host with at least ``min_pages`` pages go.
+on more than ``max_ratio`` of the pages of a host with at least ``min_pages`` pages go.  By default
+hosts of fewer than five pages are left alone: of theirs, each line that one page has would be over the ratio.
 
 A page adds each of its lines once; lines are counted as 128-bit digests with map-side
 combination, so what is shuffled is one row per host, line and map task, however hot a host
@@ -57,7 +58,8 @@ def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
     own = pages.select(host.alias("host"), F.array_distinct(F.transform("lines", lambda x: F.md5(x))).alias("digests"))
     totals = own.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
     counts = own.select("host", F.explode("digests").alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("n"))
-    often = counts.filter("n > 1").join(totals, "host").filter(F.col("n") > F.lit(max_ratio) * F.col("pages"))
+    # A line over the limit of the smallest host that counts; most lines are not.
+    often = counts.filter(F.col("n") > F.lit(max_ratio * min_pages)).join(totals, "host").filter(F.col("n") > F.lit(max_ratio) * F.col("pages"))
     return often.groupBy("host").agg(F.collect_set("digest").alias("drop"))
 
 
@@ -98,7 +100,7 @@ WITH l AS (
            '{BREAKS}', chr(10), 'g'), '{TAGS}', '', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines
   FROM (SELECT *, regexp_replace(coalesce(html, '') || '{CLOSING}', '{HIDDEN}', '', 'g') AS shown FROM pages)
 ), t AS (SELECT host, count(*) AS pages FROM l GROUP BY host HAVING count(*) >= {MIN_PAGES}),
-c AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM l) GROUP BY ALL HAVING count(*) > 1),
+c AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM l) GROUP BY ALL),
 b AS (SELECT c.host, list(line) AS dropped FROM c JOIN t ON c.host IS NOT DISTINCT FROM t.host WHERE n > {MAX_RATIO} * pages GROUP BY ALL),
 j AS (SELECT l.*, coalesce(list_filter(lines, lambda x: NOT list_contains(coalesce(dropped, []), x)), []) AS kept
       FROM l LEFT JOIN b ON l.host IS NOT DISTINCT FROM b.host)

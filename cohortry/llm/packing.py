@@ -153,7 +153,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_part: int = PIECES_PER
     while True:
         placed = materialize(open_rows.groupBy("part").applyInPandas(_pack(capacity, level, given_bins), PLACED), f"packed-{level}")
         result = reduce(DataFrame.unionAll, [*closed, placed])
-        in_use.append(result.select("level", "part", "bin").distinct().count())
+        in_use.append(result.filter("place = 0").count())  # each bin has one piece there
         if in_use[-1] <= bound or (parts == 0 and in_use[-2] - in_use[-1] < max(1, (in_use[-2] - bound) // 4)):
             break
         # What is given is packed anew by groups of partitions; the name of its bin goes along.

@@ -280,8 +280,8 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 VOTERS = 5
 #: Votes (-, 0, +) of each class and labeler counted before any are seen: labelers are right more
-#: often than not.  The strict pattern's reliability is given, and not estimated: what fails its
-#: checks (Luhn, octets, digits) is no such number, however much it looks like one.
+#: often than not.  The strict pattern's count as much again as all that are seen of a kind: what fails its
+#: checks (Luhn, octets, digits) is hardly ever such a number, however much it looks like one.
 PRIOR = np.array([[[20.0, 0.0, 1.0], *[[4.0, 0.0, 1.0]] * 4], [[1.0, 0.0, 20.0], *[[1.0, 0.0, 4.0]] * 4]])
 
 
@@ -305,7 +305,8 @@ def reliabilities(cells: list[str], counts: np.ndarray, rounds: int = 50) -> tup
             own = kind == k
             for c, w in ((1, p), (0, 1 - p)):
                 for j in range(VOTERS):
-                    seen = PRIOR[c, j] + (np.bincount(vote[own, j], (w * counts)[own], 3) if j else 0.0)
+                    strength = 1.0 if j else 1.0 + counts[own].sum() / PRIOR[c, 0].sum()
+                    seen = PRIOR[c, j] * strength + np.bincount(vote[own, j], (w * counts)[own], 3)
                     seen[1] = 0.0
                     table[k, c, j] = seen / seen.sum() + (0.0, 1.0, 0.0)  # an abstention has likelihood 1 in both classes
         share = np.array([((p * counts)[kind == k].sum() + 1) / (counts[kind == k].sum() + 2) for k in range(len(KINDS))])

@@ -1,8 +1,9 @@
 """Token ids in seekable files: independent zstandard frames with a trailing seek table.
 
-The files' format is that of ``seekable``.  A frame's content: number of documents (u32), bytes of an id (u32), part of the corpus (u64),
-tokens of that part before the frame (u64); doc ids (i64 each, the least i64 for null);
-token counts (u32 each); token ids, two or four bytes each, all little-endian.
+The files' format is that of ``seekable``.  A frame's content: number of documents (u32), bytes
+of an id (u32), part of the corpus (u64), tokens of that part before the frame (u64); doc ids (i64
+each, the least i64 for null); token counts (u32 each); token ids, two or four bytes each, all
+little-endian.
 
 Files go to the shared folder through its file system, under a name that only the part
 determines, and appear by renaming, so a task that runs again leaves the same file.

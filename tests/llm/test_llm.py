@@ -58,6 +58,11 @@ def test_line_dedup(spark):
     assert got[3].text == "own 3\nrare 0" and (got[3].n_lines, got[3].n_dropped) == (3, 1)  # a ratio equal to the limit stays
     assert got[10].text == "menu" and got[11].text == "x\nx" and got[11].host is None and got[12].n_lines == 0
     assert line_dedup.drop_boilerplate(df.filter("page_id < 0")).collect() == []
+    # The ratio alone decides: a line of one page of six is over a tenth, and clashing columns are ignored.
+    six = spark.createDataFrame([(i, f"http://h/{i}", f"<p>own {i}</p><p>all</p>") for i in range(6)], "page_id int, url string, html string").withColumns({c: F.lit("x") for c in ("lines", "drop", "digest", "_host", "_salt", "pages", "n")})
+    assert {r.text for r in line_dedup.drop_boilerplate(six, max_ratio=0.1).collect()} == {""} and {r.text for r in line_dedup.drop_boilerplate(six, max_ratio=0.2).collect()} == {f"own {i}" for i in range(6)}
+    lone = six.filter("page_id = 0")
+    assert line_dedup.drop_boilerplate(lone, min_pages=1).first().text == "" and line_dedup.drop_boilerplate(lone).first().text == "own 0\nall"
 
 
 def lines_of(spark, html):
@@ -163,6 +168,25 @@ def planted():
     return rows, want
 
 
+@pytest.mark.parametrize("move", ["least 0.5", "least 0.75", "prior / 2", "prior x 2", "flat guess"])
+def test_hand_set_numbers_may_move(move, monkeypatch):
+    """Planted spans are found, and what looks like them isn't added, with each of the numbers chosen by hand moved."""
+    rows, want = planted()
+    least = float(move.split()[1]) if move.startswith("least") else pii.LEAST
+    if move.startswith("prior"):
+        monkeypatch.setattr(pii, "PRIOR", pii.PRIOR * (0.5 if "/" in move else 2.0))
+    if move == "flat guess":
+        monkeypatch.setattr(pii, "first_guess", lambda c: min(0.9, max(0.1, 0.5 + 0.1 * sum("-0+".index(x) - 1 for x in c[1 : pii.VOTERS + 1]))))
+    found = [pii.find(t) for t in rows]
+    cells = Counter(c[4] for f in found for c in f)
+    names, counts = sorted(cells), np.array([cells[c] for c in sorted(cells)], float)
+    p, table = pii.reliabilities(names, counts)
+    scores = dict(zip(names, pii.classifier(names, p, counts), strict=True))
+    got = {(d, k) for d, f in enumerate(found) for k, _, _, base, cell in f if not base and cell[1] != "+" and scores[cell] >= least}
+    assert min(np.mean([w in got for w in want if w[1] == k]) for k in range(4)) >= 0.9
+    assert (table[:, 1, 0, 2] > table[:, 0, 0, 2]).all()  # the strict pattern is estimated, and right more often than not
+
+
 def test_recall_of_planted_spans(spark):
     rows, want = planted()
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
@@ -181,9 +205,10 @@ def slow_votes(items, rounds=50):
             own = [(c, x) for c, x in zip(items, p, strict=True) if int(c[0]) == kind]
             for y in (0, 1):
                 for j in range(pii.VOTERS):
-                    n = {v: pii.PRIOR[y, j, "-0+".index(v)] for v in "-+"}
+                    strength = 1 if j else 1 + len(own) / 21  # the strict pattern's prior counts as much as all that are seen
+                    n = {v: pii.PRIOR[y, j, "-0+".index(v)] * strength for v in "-+"}
                     for c, x in own:
-                        if c[1 + j] != "0" and j:  # the strict pattern's reliability is given
+                        if c[1 + j] != "0":
                             n[c[1 + j]] += x if y else 1 - x
                     like[kind, y, j] = {v: n[v] / sum(n.values()) for v in n}
             like[kind] = (sum(x for _, x in own) + 1) / (len(own) + 2)
@@ -478,6 +503,48 @@ def test_weighted_sampling(sample, odd, empty):
 # 8
 
 
+def slow_statistics(text):
+    """The statistics of a text by plain loops."""
+    import regex
+
+    t, space = text or "", " \t\n\x0b\x0c\r"
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
+    n = lambda f: sum(map(f, t))
+    is_ = lambda cls: lambda c: bool(regex.match(cls, c))
+    lines, chars = [x for x in t.split("\n") if x], len(t)
+    share = lambda a, b: a / max(b, 1.0)
+    starts = [x[0] for x in t.split("\n") if x]
+    return {
+        "log_chars": np.log1p(chars), "log_words": np.log1p(len(words)), "word_length": share(chars - n(lambda c: c in space), len(words)), "upper_share": share(n(is_(r"\p{Lu}")), chars),
+        "digit_share": share(n(lambda c: c in "0123456789"), chars), "mark_share": share(n(lambda c: not regex.match(r"[\p{L}\p{N}]", c) and c not in space + ".,;:'\"()-"), chars), "bang_share": share(t.count("!"), len(words)),
+        "pipe_share": share(t.count("|"), len(words)), "stop_share": share(t.count(".") + t.count(","), len(words)), "short_share": share(sum(len(w) <= 3 for w in words), len(words)), "letter_share": share(n(is_(r"\p{L}")), chars),
+        "words_a_line": share(len(words), len(lines)), "distinct_lines": share(len(set(t.split("\n"))), max(len(lines), 1.0)), "distinct_words": share(len(set(re.split(r"[\x20\x09-\x0D]+", t))), len(words)), "lower_starts": share(sum(bool(regex.match(r"\p{Ll}", c)) for c in starts), len(lines)),
+    }
+
+
+def test_scores_equal_plain_evaluation(spark, sample):
+    """The fitted rules on raw texts by plain loops give the query's scores."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    stats = quality_rules.with_statistics(sample)
+    model = quality_rules.train(stats, labels)
+    got = {r.doc_id: r.score for r in quality_rules.op8_quality_rules(spark, "/root/testdata/sf0.001").collect()}
+    for r in sample.collect():
+        s = slow_statistics(r.text)
+        total = model.intercept + sum(w for rule, w in model.rules if all(s[name] <= at if upper else s[name] > at for name, upper, at in rule.bounds))
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+
+
+def test_lasso_is_the_least():
+    rng = np.random.default_rng(4)
+    x, n = rng.integers(0, 2, (60, 5)).astype(float), rng.integers(1, 9, 60).astype(float)
+    y = (rng.random(60) < 1 / (1 + np.exp(-(2 * x[:, 0] - 1.5 * x[:, 1])))).astype(float)
+    loss = lambda b, w, lam: (n * np.logaddexp(0, -(2 * y - 1) * (b + x @ w))).sum() / n.sum() + lam * np.abs(w).sum()
+    for lam in (0.0005, 0.02):
+        b, w = quality_rules.lasso_logistic(x, y, n, lam, rounds=20_000)
+        for scale in (0.3, 0.01, 0.001):
+            assert all(loss(b, w, lam) <= loss(b + d[0], w + d[1:], lam) + 1e-9 for d in rng.normal(size=(200, 6)) * scale)
+
+
 def test_quality(spark, sample, odd, empty):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
