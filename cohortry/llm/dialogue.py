@@ -46,13 +46,15 @@ LEGAL = {"su", "ua", "au"}
 BLANKS, ENDS = " \t\n\x0b\x0c\r", ".!?"
 #: Messages, and characters of text, that one row of a result holds.
 CHUNK, CHUNK_CHARS = 500, 1 << 22
+#: Repeated messages up to which their digests are broadcast, of some 60 bytes each.
+FEW = 100_000
 
 MESSAGES = "array<struct<role:string,text:string,action:string,n:bigint>>"
 COUNTS = ("blank", "duplicate", "truncated", "illegal", "cost", "turns", "low", "high")
-PIECE = f"conv string, part int, chunk int, open boolean, {', '.join(f'{c} long' for c in COUNTS)}, first string, last string, routes array<struct<entry:int,exit:int,cost:bigint,place:int>>, audit string, messages {MESSAGES}"
+PIECE = f"conv string, part int, chunk int, open boolean, alone boolean, {', '.join(f'{c} long' for c in COUNTS)}, first string, last string, routes array<struct<entry:int,exit:int,cost:bigint,place:int>>, audit string, messages {MESSAGES}"
 _MESSAGES = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string()), ("action", pa.string()), ("n", pa.int64())]))
 _ROUTES = pa.list_(pa.struct([("entry", pa.int32()), ("exit", pa.int32()), ("cost", pa.int64()), ("place", pa.int32())]))
-_PIECE = pa.schema([("conv", pa.string()), ("part", pa.int32()), ("chunk", pa.int32()), ("open", pa.bool_()), *((c, pa.int64()) for c in COUNTS), ("first", pa.string()), ("last", pa.string()), ("routes", _ROUTES), ("audit", pa.string()), ("messages", _MESSAGES)])
+_PIECE = pa.schema([("conv", pa.string()), ("part", pa.int32()), ("chunk", pa.int32()), ("open", pa.bool_()), ("alone", pa.bool_()), *((c, pa.int64()) for c in COUNTS), ("first", pa.string()), ("last", pa.string()), ("routes", _ROUTES), ("audit", pa.string()), ("messages", _MESSAGES)])
 
 
 class Stacks:
@@ -296,16 +298,17 @@ def _piece(run: Run, part: int, open_: bool) -> Iterator[pa.RecordBatch]:
     """A run's rows of PIECE: repaired, or with its messages as they are and its routes."""
     s = _stacks()
     if open_:
-        found = {e: s.search(run.items, e)[0] for e in range(len(s.nodes))}
-        routes = [{"entry": e, "exit": n, "cost": c, "place": k} for e, tops in found.items() for n, (c, k) in tops.items()]
+        ways = {e: s.search(run.items, e)[0] for e in range(len(s.nodes))}
+        routes = [{"entry": e, "exit": n, "cost": c, "place": k} for e, tops in ways.items() for n, (c, k) in tops.items()]
         steps = (("", [m]) for m in run.messages)
     else:
         tops, back = s.search(run.items)
         routes, (run.count["cost"], node) = [], _best_end(tops)
         steps = zip(*run.repaired(back, node, s.tail(node)), strict=True)
-    for k, (audit, messages) in enumerate(_chunks(steps)):
+    found = list(_chunks(steps))
+    for k, (audit, messages) in enumerate(found):
         head = [run.count[c] for c in COUNTS] if not k else [None] * len(COUNTS)
-        row = (run.conv, part, k, open_, *head, run.first, run.last, routes if not k else [], audit, [dict(zip(_NAMES, m, strict=True)) for m in messages])
+        row = (run.conv, part, k, open_, not open_ and len(found) == 1, *head, run.first, run.last, routes if not k else [], audit, [dict(zip(_NAMES, m, strict=True)) for m in messages])
         yield _rows(_PIECE.names, [row], _PIECE)
 
 
@@ -382,8 +385,8 @@ def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(_ROUTE.names, [(*o, *(total[c] if o[-1] else None for c in COUNTS)) for o in out], _ROUTE)
 
 
-REPAIRED = f"conv string, part int, chunk int, audit string, messages {MESSAGES}"
-_REPAIRED = pa.schema([("conv", pa.string()), ("part", pa.int32()), ("chunk", pa.int32()), ("audit", pa.string()), ("messages", _MESSAGES)])
+REPAIRED = f"conv string, part int, chunk int, alone boolean, audit string, messages {MESSAGES}"
+_REPAIRED = pa.schema([("conv", pa.string()), ("part", pa.int32()), ("chunk", pa.int32()), ("alone", pa.bool_()), ("audit", pa.string()), ("messages", _MESSAGES)])
 
 
 def _second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,7 +401,7 @@ def _second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, back = s.search(run.items, entry)
         steps = zip(*run.repaired(back, exit_, s.tail(exit_) if end else ""), strict=True)
         for k, (audit, messages) in enumerate(_chunks(steps)):
-            yield _rows(_REPAIRED.names, [(conv, part, k, audit, [dict(zip(_NAMES, m, strict=True)) for m in messages])], _REPAIRED)
+            yield _rows(_REPAIRED.names, [(conv, part, k, False, audit, [dict(zip(_NAMES, m, strict=True)) for m in messages])], _REPAIRED)
 
 
 def _conv(id_: str) -> Column:
@@ -410,18 +413,20 @@ def repair(df: DataFrame, id_: str = "conv_id", turn: str = "turn", role: str =
     """(reports, chunks).  ``copies`` names a column that says how often a row counts; conversations of nothing but zeros are reported as empty.
 
     Reports: conv, gaps, blank, duplicate, truncated, illegal, cost, audit, chunks (how many).
-    Chunks: conv, part, chunk, messages; the repaired messages in order of part and chunk, with
-    the action of each.  ``conv`` is "=" and the id as text, or "" for a null id.
+    Chunks: conv, part, chunk, alone, messages; the repaired messages in order of part and chunk, with
+    the action of each; ``alone`` where a conversation is one chunk, as most are.  ``conv`` is "=" and the id as text, or "" for a null id.
     """
     spark = df.sparkSession
     space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
     rows = df.select(_conv(id_).alias("conv"), F.col(turn).cast("long").alias("turn"), space(role).alias("role"), space(text).alias("text"), (F.col(copies) if copies else F.lit(1)).cast("long").alias("n"))
     merged = rows.groupBy("conv", "turn", "role", "text").agg(F.sum("n").alias("n"))
-    digest = F.unhex(F.sha2(F.concat(F.char_length("role").cast("string"), F.lit(":"), "role", "text"), 256))
+    sized = lambda c: F.concat(F.char_length(c).cast("string"), F.lit(":"), c)
+    digest = F.unhex(F.sha2(F.concat(sized("conv"), sized("role"), "text"), 256))
     merged = materialize(merged.withColumn("digest", digest), "messages")
-    again = merged.filter("n > 0").groupBy("conv", "digest").agg(F.min(F.struct(F.col("turn").isNotNull().alias("known"), "turn")).alias("at"), F.count("*").alias("m"))
-    again = again.filter("m > 1").drop("m")
-    marked = attach(merged, again, ["conv", "digest"], "turn", "left")
+    again = merged.filter("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("turn").isNotNull().alias("known"), "turn")).alias("at"), F.count("*").alias("m"))
+    again = materialize(again.filter("m > 1").drop("m"), "repeats")
+    few = again.limit(FEW + 1).count() <= FEW  # then they go to the messages, else both are dealt by digest
+    marked = merged.join(F.broadcast(again), "digest", "left") if few else attach(merged, again, ["digest"], "turn", "left")
     later = F.col("at").isNotNull() & ~F.col("at.turn").eqNullSafe(F.col("turn"))
     marked = marked.select("conv", "turn", "role", "text", "n", later.alias("again"))
     ranges = ["conv", F.col("turn").asc_nulls_first(), "role"]
@@ -434,7 +439,7 @@ def repair(df: DataFrame, id_: str = "conv_id", turn: str = "turn", role: str =
     routes = materialize(heads.repartition(parts, "conv").sortWithinPartitions("conv", "part").mapInArrow(_choose, ROUTE), "routes")
     known = cut.select("conv", "part", "chunk", "messages").join(routes.select("conv", "part", "entry", "exit", "end"), ["conv", "part"])
     mended = known.repartition(parts, "conv", "part").sortWithinPartitions("conv", "part", "chunk").mapInArrow(_second_pass, REPAIRED)
-    chunks = pieces.filter("NOT open").select("conv", "part", "chunk", "audit", "messages").unionByName(materialize(mended, "mended"))
+    chunks = pieces.filter("NOT open").select("conv", "part", "chunk", "alone", "audit", "messages").unionByName(materialize(mended, "mended"))
 
     gaps = F.coalesce(F.col("high") - F.col("low") + 1 - F.col("turns"), F.lit(0)).cast("long").alias("gaps")
     counts = pieces.filter("NOT open AND chunk = 0").select("conv", *COUNTS).unionByName(routes.filter("end").select("conv", *COUNTS))
@@ -442,7 +447,7 @@ def repair(df: DataFrame, id_: str = "conv_id", turn: str = "turn", role: str =
     audits = chunks.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("part", "chunk", "audit"))).alias("a"))
     audits = audits.select("conv", F.array_join(F.transform("a", lambda x: x["audit"]), "").alias("audit"), F.size("a").alias("chunks"))
     reports = counts.join(audits, "conv").select("conv", gaps, "blank", "duplicate", "truncated", "illegal", "cost", "audit", "chunks")
-    return reports, chunks.select("conv", "part", "chunk", "messages")
+    return reports, chunks.select("conv", "part", "chunk", "alone", "messages")
 
 
 def chunk_lines(messages: str = "messages") -> Column:
@@ -451,7 +456,11 @@ def chunk_lines(messages: str = "messages") -> Column:
 
 
 def message_digests(chunks: DataFrame) -> DataFrame:
-    """(conv, sha256) of each conversation's lines; a digest is sequential, so its chunks stream through one task, a chunk at a time."""
+    """(conv, sha256) of each conversation's lines.
+
+    A digest is sequential, so the chunks of a long conversation stream through one task, a chunk
+    at a time; others are digested where they are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (conv,), rows in _grouped(batches):
@@ -462,9 +471,10 @@ def message_digests(chunks: DataFrame) -> DataFrame:
                     any_ = True
             yield pa.RecordBatch.from_arrays([pa.array([conv]), pa.array([h.hexdigest()])], names=["conv", "sha256"])
 
-    lines = chunks.select("conv", "part", "chunk", F.when(F.size("messages") > 0, chunk_lines()).alias("lines"))
+    whole = chunks.filter("alone").select("conv", F.sha2(F.encode(chunk_lines(), "UTF-8"), 256).alias("sha256"))
+    lines = chunks.filter("NOT alone").select("conv", "part", "chunk", F.when(F.size("messages") > 0, chunk_lines()).alias("lines"))
     parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return lines.repartition(parts, "conv").sortWithinPartitions("conv", "part", "chunk").mapInArrow(run, "conv string, sha256 string")
+    return whole.unionByName(lines.repartition(parts, "conv").sortWithinPartitions("conv", "part", "chunk").mapInArrow(run, "conv string, sha256 string"))
 
 
 def damaged(df: DataFrame) -> DataFrame:

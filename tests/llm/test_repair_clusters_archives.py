@@ -221,8 +221,10 @@ def test_repair_of_odd_rows(spark):
     assert run_repair(spark, []) == {}
 
 
-def test_repair_of_hot_conversation(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, dialogue.FEW])
+def test_repair_of_hot_conversation(spark, monkeypatch, few):
     """One conversation that every range has a piece of, and one of equal rows alone."""
+    monkeypatch.setattr(dialogue, "FEW", few)  # repeats are joined by salts, or broadcast
     rng = random.Random(5)
     rows = [(1, i, rng.choice(["user", "assistant", "system"]), rng.choice(["a.", "b", "", f"t{i}.", f"u{i}"])) for i in range(3000)]
     rows += [(2, 1, "user", "x.")] * 500 + [(3, None, "assistant", f"n{i}.") for i in range(300)] + [(4, 1, "user", "q."), (4, 2, "assistant", "r.")]
