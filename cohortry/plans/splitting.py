@@ -171,10 +171,73 @@ def split_problem(spark: SparkSession, d: str) -> DataFrame:
     return K.split_problem(pairs(spark, d))
 
 
-@query()
+RESTARTS, SEED = 25, 42
+_NAMES3 = range(3)
+
+
+def assignments_sql(pairs_sql: str) -> str:
+    """Every group placed one after the other, a step of the recursion each, all restarts at once; (restart, g, split)."""
+    chance = lambda d, k: f"(('0x' || substr({d}, 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * {k} * ({k} + 1) / 2)"
+    place = lambda n, d: f"coalesce(list_filter(range({n}), lambda i: (i + 1) * {n} - i * (i + 1) / 2 > {chance(d, n)})[1], {n} - 1) + 1"
+    pool = "least(5, len(top))"
+    of = lambda x: "[" + ", ".join(f"coalesce(sum({x}) FILTER (WHERE a.split = {s}), 0)" for s in _NAMES3) + "]"
+    keeps, clash, candidates = [], [], []
+    for s in _NAMES3:
+        o, q = (k for k in _NAMES3 if k != s)
+        most, total = f"greatest(h[{o + 1}], h[{q + 1}])", f"(h[{s + 1}] + n)"
+        rival = f"greatest(CASE WHEN h[{o + 1}] >= {total} THEN need[{o + 1}] END, CASE WHEN h[{q + 1}] >= {total} THEN need[{q + 1}] END)"
+        keeps.append(f"sum(CASE WHEN {most} = 0 OR {total} > {most} THEN n WHEN {total} = {most} THEN CASE WHEN need[{s + 1}] >= {rival} THEN n ELSE n * 0.5::DOUBLE END ELSE 0 END)::DOUBLE")
+        clash.append(f"round(sum((x[{o + 1}] + x[{q + 1}])::DOUBLE / k), 9)")
+        after = lambda k, s=s: f"(loads[{k + 1}] + {'size' if k == s else '0'})"
+        then = lambda k, s=s: f"(members[{k + 1}] + {int(k == s)})"
+        unmet = lambda over, s=s, after=after, then=then: (" + ".join(f"greatest(0, min_rows - {after(k)})" for k in over), " + ".join(f"greatest(0, min_groups - {then(k)})" for k in over))
+        few, all_ = unmet((1, 2)), unmet(_NAMES3)
+        other = 3 - s
+        order = f"CASE WHEN few THEN {'0' if s == 0 else f'CASE WHEN lack{other} AND (short{other} > short{s} OR short{other} = short{s} AND {other} < {s}) THEN 1 ELSE 0 END'} ELSE {s} END"
+        balance = " + ".join(f"abs({after(k)} - targets[{k + 1}])" for k in _NAMES3)
+        candidates.append(
+            f"CASE WHEN {'NOT few' if s == 0 else f'(NOT few OR lack{s})'} THEN {{'u': CASE WHEN few THEN {few[0]} ELSE {all_[0]} END, 'v': CASE WHEN few THEN {few[1]} ELSE {all_[1]} END, 'c': clash[{s + 1}], 'k': -keeps[{s + 1}], 'b': {balance}, 'd': -need[{s + 1}], 'o': {order}, 's': {s}}} END"
+        )
+    lacking = ", ".join(f"greatest(0, min_rows - loads[{s + 1}]) + greatest(0, min_groups - members[{s + 1}]) > 0 AS lack{s}, {{'r': greatest(0, min_rows - loads[{s + 1}]), 'm': greatest(0, min_groups - members[{s + 1}])}} AS short{s}" for s in (1, 2))
+    seed = lambda split, before: f"""
+s{split} AS MATERIALIZED (SELECT restart, top[{place(pool, f"md5(restart || '|{split}|{SEED}')")}] AS g FROM (
+  SELECT restart, list(g ORDER BY clash, private DESC, size DESC, degree, g)[1:5] AS top FROM (
+    SELECT r.restart, i.*, round(coalesce((SELECT sum(weight) FROM w WHERE w.g1 = i.g AND (w.g2 = {" OR w.g2 = ".join(f"s{b}.g" for b in before)})), 0), 9) AS clash
+    FROM rs r {" ".join(f"JOIN s{b} ON s{b}.restart = r.restart" for b in before)}, info i WHERE i.g NOT IN ({", ".join(f"s{b}.g" for b in before)})) GROUP BY restart))"""
+    return f"""
+WITH RECURSIVE p AS MATERIALIZED ({pairs_sql}), k AS (SELECT c, count(*) AS k FROM p GROUP BY 1), own AS MATERIALIZED (SELECT g, c, n, k FROM p JOIN k USING (c)),
+w AS MATERIALIZED (SELECT a.g AS g1, b.g AS g2, sum(least(a.n, b.n) / a.k) AS weight FROM own a JOIN own b ON a.c = b.c AND a.g <> b.g GROUP BY 1, 2),
+info AS MATERIALIZED (SELECT g, sum(n)::BIGINT AS size, coalesce(sum(n) FILTER (WHERE k = 1), 0)::BIGINT AS private, round(coalesce(any_value(degree), 0), 3) AS degree FROM own LEFT JOIN (SELECT g1 AS g, sum(weight) AS degree FROM w GROUP BY 1) USING (g) GROUP BY 1),
+t AS (SELECT sum(size) AS total, greatest(1, least(1000, ceil(sum(size) * 0.1::DOUBLE)))::BIGINT AS min_rows, greatest(1, least(5, ceil(count(*) * 0.1::DOUBLE)))::BIGINT AS min_groups, [sum(size) * 0.8::DOUBLE, sum(size) * 0.1::DOUBLE, sum(size) * 0.1::DOUBLE] AS targets FROM info),
+rs AS (SELECT unnest(range({RESTARTS}))::INTEGER AS restart),
+s0 AS MATERIALIZED (SELECT restart, top[{place(pool, f"md5(restart || '|0|{SEED}')")}] AS g FROM rs, (SELECT list(g ORDER BY size DESC, degree, private DESC, g)[1:5] AS top FROM info)),
+{seed(1, (0,))}, {seed(2, (0, 1))},
+seeds AS (SELECT restart, 0 AS split, g FROM s0 UNION ALL SELECT restart, 1, g FROM s1 UNION ALL SELECT restart, 2, g FROM s2),
+places AS (SELECT *, (row_number() OVER (ORDER BY private DESC, size DESC, degree, md5(g || '|{SEED}'), g) - 1) // 8 AS win FROM info),
+queue AS MATERIALIZED (SELECT restart, g, size, digest, row_number() OVER (PARTITION BY restart ORDER BY win, digest) AS step FROM (SELECT restart, places.*, md5(restart || '|' || g || '|{SEED}') AS digest FROM rs, places) q
+  WHERE NOT EXISTS (SELECT 1 FROM seeds z WHERE z.restart = q.restart AND z.g = q.g)),
+rec AS (
+  SELECT restart, 0::BIGINT AS step, list(size ORDER BY split) AS loads, [1, 1, 1]::BIGINT[] AS members, list({{'g': g, 'split': split}} ORDER BY split) AS held FROM seeds JOIN info USING (g) GROUP BY restart
+  UNION ALL
+  SELECT restart, step, [loads[1] + CASE WHEN s = 0 THEN size ELSE 0 END, loads[2] + CASE WHEN s = 1 THEN size ELSE 0 END, loads[3] + CASE WHEN s = 2 THEN size ELSE 0 END],
+    [members[1] + (s = 0)::BIGINT, members[2] + (s = 1)::BIGINT, members[3] + (s = 2)::BIGINT], list_append(held, {{'g': g, 'split': s}})
+  FROM (SELECT *, ranked[CASE WHEN len(ranked) = 1 THEN 1 WHEN {chance("digest", 2)} < 2 THEN 1 ELSE 2 END].s AS s FROM (
+    SELECT *, list_sort(list_filter([{", ".join(candidates)}], lambda z: z IS NOT NULL)) AS ranked FROM (
+      SELECT *, lack1 OR lack2 AS few FROM (SELECT *, {lacking} FROM (
+        SELECT restart, any_value(step) + 1 AS step, any_value(loads) AS loads, any_value(members) AS members, any_value(held) AS held, any_value(g) AS g, any_value(size) AS size, any_value(digest) AS digest, any_value(need) AS need,
+          any_value(min_rows) AS min_rows, any_value(min_groups) AS min_groups, any_value(targets) AS targets, [{", ".join(clash)}] AS clash, [{", ".join(keeps)}] AS keeps
+        FROM (SELECT st.restart, o.c, any_value(st.step) AS step, any_value(st.loads) AS loads, any_value(st.members) AS members, any_value(st.held) AS held, any_value(q.g) AS g, any_value(q.size) AS size, any_value(q.digest) AS digest, any_value(o.n) AS n, any_value(o.k) AS k,
+            any_value([t.targets[1] - st.loads[1], t.targets[2] - st.loads[2], t.targets[3] - st.loads[3]]) AS need, any_value(t.min_rows) AS min_rows, any_value(t.min_groups) AS min_groups, any_value(t.targets) AS targets,
+            {of("pl.n")} AS h, {of("least(o.n, pl.n)")} AS x
+          FROM rec st JOIN queue q ON q.restart = st.restart AND q.step = st.step + 1 JOIN own o ON o.g = q.g, t, unnest(st.held) AS u(a) LEFT JOIN p pl ON pl.g = a.g AND pl.c = o.c GROUP BY st.restart, o.c) GROUP BY restart))))))
+SELECT restart, a.g AS g, a.split AS split FROM (SELECT restart, unnest(held) AS a FROM (SELECT restart, arg_max(held, step) AS held FROM rec GROUP BY restart))
+"""
+
+
+@query(assignments_sql(PAIRS))
 def restart_assignments(spark: SparkSession, d: str) -> DataFrame:
     p = pairs(spark, d)
-    return K.restart_assignments(p, K.split_problem(p))
+    return K.restart_assignments(p, K.split_problem(p), RESTARTS, SEED)
 
 
 EVAL = f"""
