@@ -186,8 +186,8 @@ def assignments_sql(pairs_sql: str) -> str:
         o, q = (k for k in _NAMES3 if k != s)
         most, total = f"greatest(h[{o + 1}], h[{q + 1}])", f"(h[{s + 1}] + n)"
         rival = f"greatest(CASE WHEN h[{o + 1}] >= {total} THEN need[{o + 1}] END, CASE WHEN h[{q + 1}] >= {total} THEN need[{q + 1}] END)"
-        keeps.append(f"sum(CASE WHEN {most} = 0 OR {total} > {most} THEN n WHEN {total} = {most} THEN CASE WHEN need[{s + 1}] >= {rival} THEN n ELSE n * 0.5::DOUBLE END ELSE 0 END)::DOUBLE")
-        clash.append(f"round(sum((x[{o + 1}] + x[{q + 1}])::DOUBLE / k), 9)")
+        keeps.append(f"any_value(size) - coalesce(sum(CASE WHEN {most} = 0 OR {total} > {most} THEN 0 WHEN {total} = {most} THEN CASE WHEN need[{s + 1}] >= {rival} THEN 0 ELSE n * 0.5::DOUBLE END ELSE n END), 0)::DOUBLE")
+        clash.append(f"round(coalesce(sum((x[{o + 1}] + x[{q + 1}])::DOUBLE / k), 0), 9)")
         after = lambda k, s=s: f"(loads[{k + 1}] + {'size' if k == s else '0'})"
         then = lambda k, s=s: f"(members[{k + 1}] + {int(k == s)})"
         unmet = lambda over, s=s, after=after, then=then: (" + ".join(f"greatest(0, min_rows - {after(k)})" for k in over), " + ".join(f"greatest(0, min_groups - {then(k)})" for k in over))
@@ -206,6 +206,7 @@ s{split} AS MATERIALIZED (SELECT restart, top[{place(pool, f"md5(restart || '|{s
     FROM rs r {" ".join(f"JOIN s{b} ON s{b}.restart = r.restart" for b in before)}, info i WHERE i.g NOT IN ({", ".join(f"s{b}.g" for b in before)})) GROUP BY restart))"""
     return f"""
 WITH RECURSIVE p AS MATERIALIZED ({pairs_sql}), k AS (SELECT c, count(*) AS k FROM p GROUP BY 1), own AS MATERIALIZED (SELECT g, c, n, k FROM p JOIN k USING (c)),
+shared AS MATERIALIZED (SELECT g, c, n, k, gs FROM own JOIN (SELECT c, list(g) AS gs FROM own WHERE k > 1 GROUP BY 1) USING (c)),
 w AS MATERIALIZED (SELECT a.g AS g1, b.g AS g2, sum(least(a.n, b.n) / a.k) AS weight FROM own a JOIN own b ON a.c = b.c AND a.g <> b.g GROUP BY 1, 2),
 info AS MATERIALIZED (SELECT g, sum(n)::BIGINT AS size, coalesce(sum(n) FILTER (WHERE k = 1), 0)::BIGINT AS private, round(coalesce(any_value(degree), 0), 3) AS degree FROM own LEFT JOIN (SELECT g1 AS g, sum(weight) AS degree FROM w GROUP BY 1) USING (g) GROUP BY 1),
 t AS (SELECT sum(size) AS total, greatest(1, least(1000, ceil(sum(size) * 0.1::DOUBLE)))::BIGINT AS min_rows, greatest(1, least(5, ceil(count(*) * 0.1::DOUBLE)))::BIGINT AS min_groups, [sum(size) * 0.8::DOUBLE, sum(size) * 0.1::DOUBLE, sum(size) * 0.1::DOUBLE] AS targets FROM info),
@@ -229,7 +230,7 @@ rec AS (
         FROM (SELECT st.restart, o.c, any_value(st.step) AS step, any_value(st.loads) AS loads, any_value(st.members) AS members, any_value(st.held) AS held, any_value(q.g) AS g, any_value(q.size) AS size, any_value(q.digest) AS digest, any_value(o.n) AS n, any_value(o.k) AS k,
             any_value([t.targets[1] - st.loads[1], t.targets[2] - st.loads[2], t.targets[3] - st.loads[3]]) AS need, any_value(t.min_rows) AS min_rows, any_value(t.min_groups) AS min_groups, any_value(t.targets) AS targets,
             {of("pl.n")} AS h, {of("least(o.n, pl.n)")} AS x
-          FROM rec st JOIN queue q ON q.restart = st.restart AND q.step = st.step + 1 JOIN own o ON o.g = q.g, t, unnest(st.held) AS u(a) LEFT JOIN p pl ON pl.g = a.g AND pl.c = o.c GROUP BY st.restart, o.c) GROUP BY restart))))))
+          FROM rec st JOIN queue q ON q.restart = st.restart AND q.step = st.step + 1 LEFT JOIN shared o ON o.g = q.g, t, unnest(list_append(list_filter(st.held, lambda y: list_contains(o.gs, y.g)), NULL)) AS u(a) LEFT JOIN p pl ON pl.g = a.g AND pl.c = o.c GROUP BY st.restart, o.c) GROUP BY restart))))))
 SELECT restart, a.g AS g, a.split AS split FROM (SELECT restart, unnest(held) AS a FROM (SELECT restart, arg_max(held, step) AS held FROM rec GROUP BY restart))
 """
 
@@ -240,9 +241,11 @@ def restart_assignments(spark: SparkSession, d: str) -> DataFrame:
     return K.restart_assignments(p, K.split_problem(p), RESTARTS, SEED)
 
 
-EVAL = f"""
-WITH p AS ({PAIRS}), t AS (SELECT sum(n)::BIGINT AS total, greatest(1, least(1000, ceil(sum(n) * 0.1::DOUBLE))) AS min_rows, greatest(1, least(5, ceil(count(DISTINCT g) * 0.1::DOUBLE))) AS min_groups FROM p),
-a AS (SELECT r.restart, g, ((g // (r.restart + 1)) % 3)::INTEGER AS split FROM (SELECT DISTINCT g FROM p), (SELECT unnest([0, 1, 2])::INTEGER AS restart) r),
+def evaluation_sql(pairs_sql: str, assignment: str) -> str:
+    """What is kept and how restarts score, after a given assignment of groups."""
+    return f"""
+WITH p AS ({pairs_sql}), t AS (SELECT sum(n)::BIGINT AS total, greatest(1, least(1000, ceil(sum(n) * 0.1::DOUBLE))) AS min_rows, greatest(1, least(5, ceil(count(DISTINCT g) * 0.1::DOUBLE))) AS min_groups FROM p),
+a AS MATERIALIZED ({assignment}),
 x AS (SELECT a.restart, a.split, p.* FROM p JOIN a USING (g)),
 l AS (SELECT restart, split, sum(n) AS load FROM x GROUP BY 1, 2),
 pr AS (SELECT restart, split, 2.0::DOUBLE * greatest(0, min_rows - load) + greatest(0, [0.8, 0.1, 0.1][split + 1]::DOUBLE * total - load) AS priority FROM l, t),
@@ -259,6 +262,10 @@ sc AS (SELECT restart, count(*) FILTER (WHERE retained >= min_rows AND groups >=
 """
 
 
+EVAL = evaluation_sql(PAIRS, "SELECT r.restart, g, ((g // (r.restart + 1)) % 3)::INTEGER AS split FROM (SELECT DISTINCT g FROM p), (SELECT unnest([0, 1, 2])::INTEGER AS restart) r")
+BEST = "ORDER BY valid_splits DESC, train_ok DESC, rows_short, groups_short, train DESC, val DESC, test DESC, retained DESC, imbalance, dropped_groups, restart LIMIT 1"
+
+
 def evaluated(spark: SparkSession, d: str):
     p = pairs(spark, d)
     a, problem = restarts(p), K.split_problem(p)
@@ -276,7 +283,7 @@ def relabel_splits(spark: SparkSession, d: str) -> DataFrame:
     return evaluated(spark, d)[4]
 
 
-@query(EVAL + """SELECT * FROM sc ORDER BY valid_splits DESC, train_ok DESC, rows_short, groups_short, train DESC, val DESC, test DESC, retained DESC, imbalance, dropped_groups, restart LIMIT 1""")
+@query(EVAL + f"SELECT * FROM sc {BEST}")
 def best_restart(spark: SparkSession, d: str) -> DataFrame:
     _, _, problem, _, sizes = evaluated(spark, d)
     return rounded(K.best_restart(K.score_restarts(sizes, problem)), "imbalance")
@@ -305,8 +312,15 @@ def category_pruning_report(spark: SparkSession, d: str) -> DataFrame:
     return K.category_report(owners, sizes)
 
 
-@query()
+LEVELS = "SELECT o_custkey AS g, floor(o_totalprice)::BIGINT AS c, count(*) AS n FROM orders GROUP BY 1, 2"
+
+
+@query(evaluation_sql(LEVELS, assignments_sql(LEVELS)) + f"""
+, best AS (SELECT restart FROM sc {BEST})
+SELECT o_orderkey, o_custkey, (floor(o_totalprice)::BIGINT)::VARCHAR AS level, ['train', 'val', 'test'][rl.new_split + 1] AS split
+FROM best JOIN a ON a.restart = best.restart JOIN orders ON o_custkey = a.g JOIN o ON o.restart = a.restart AND o.c = floor(o_totalprice)::BIGINT AND o.owner = a.split JOIN rl ON rl.restart = a.restart AND rl.split = a.split
+""")
 def two_key_split(spark: SparkSession, d: str) -> DataFrame:
     """Rows of each split that is disjoint on customers and on price levels at once."""
     rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.floor("o_totalprice").cast("string").alias("level"))
-    return K.two_key_split(rows, "o_custkey", "level", restarts=25)[0]
+    return K.two_key_split(rows, "o_custkey", "level", restarts=RESTARTS)[0]
