@@ -2,8 +2,8 @@
 
 Rows are ordered by a hash of their id and a seed, so every assignment is a function of the
 data alone.  Whole-group assignments are sequential over groups by nature: group sizes are
-aggregated by Spark, the driver goes through distinct sizes or blocks of groups, and the
-groups are placed from that by columns, however many there are.
+aggregated by Spark, the driver goes through distinct sizes at most, and the groups are placed by running sums and
+columns, however many there are.
 """
 
 from __future__ import annotations
@@ -99,59 +99,76 @@ def split_stratified(df: DataFrame, group: str, row_id: str, seed: int = 42) ->
     return rows.withColumn("split", split).drop("_before", "_total")
 
 
-def _first_fit(sizes: list[int], total: int, train: int, val: int) -> tuple[list[int], int, int]:
-    """(choices, train, val) of groups in order, from what train and val hold before them."""
-    out = []
-    for n in sizes:
-        at = 0 if train + n < 0.8 * total else 1 if val + n < 0.1 * total else 2
-        train, val = train + n * (at == 0), val + n * (at == 1)
-        out.append(at)
-    return out, train, val
+#: Keys of a group that one task goes through one by one; larger groups are filled by running sums.
+PER_TASK = 100_000
 
 
-def split_groups(df: DataFrame, group: str, seed: int = 42, per_block: int = 10_000) -> DataFrame:
-    """(group, n, split): groups in random order; train while under 80 %, else val while under 10 %, else test.
+def _one_by_one(group: list[str], key: str):
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["_order", key])
+        total, train, val, choices = int(part["n"].sum()), 0, 0, []
+        for n in part["n"].tolist():
+            at = 0 if train + n < 0.8 * total else 1 if val + n < 0.1 * total else 2
+            train, val = train + n * (at == 0), val + n * (at == 1)
+            choices.append(SPLITS[at])
+        return part[[*group, key, "n"]].assign(split=choices)
 
-    Empty and null keys are left out.  A group that doesn't fit adds nothing, so later ones may.
-    The order is cut into blocks of at most about ``per_block`` groups by the first digits of
-    the hash; only blocks in which a limit is reached are gone through group by group.
-    """
-    sizes = group_sizes(df.filter(F.col(group).cast("string") != ""), group).withColumn("_order", order_key(group, seed))
-    groups, total = sizes.agg(F.count("*"), F.sum("n")).first()
-    digits = 0
-    while groups > per_block * 16**digits:
-        digits += 1
-    blocks = sizes.withColumn("_block", F.substring("_order", 1, digits) if digits else F.lit(""))
-    train = val = 0
-    states: list[tuple[str, int | None, int, int]] = []
-    for r in blocks.groupBy("_block").agg(F.sum("n").alias("n"), F.min("n").alias("least")).orderBy("_block").collect():
-        choice, before = None, (train, val)
-        if train + r["n"] < 0.8 * total:
-            choice, train = 0, train + r["n"]
-        elif train + r["least"] >= 0.8 * total:
-            if val + r["n"] < 0.1 * total:
-                choice, val = 1, val + r["n"]
-            elif val + r["least"] >= 0.1 * total:
-                choice = 2
-        if choice is None:
-            own = blocks.filter(F.col("_block") == r["_block"]).orderBy("_order", group).select("n").collect()
-            _, train, val = _first_fit([x["n"] for x in own], total, train, val)
-        states.append((r["_block"], choice, *before))
-    table = df.sparkSession.createDataFrame(states, "_block string, _choice int, _train long, _val long")
-    rows = blocks.join(table, "_block")
-    kind = sizes.schema[group].dataType.simpleString()
+    return run
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_rank")
-        first = part.iloc[0]
-        choices, _, _ = _first_fit([int(n) for n in part["n"]], total, int(first["_train"]), int(first["_val"]))
-        return part[[group, "n"]].assign(choice=choices)
 
-    rank = F.row_number().over(Window.partitionBy("_block").orderBy("_order", group))
-    mixed = rows.filter("_choice IS NULL").select(group, "n", "_block", "_train", "_val", rank.alias("_rank"))
-    told = mixed.groupBy("_block").applyInPandas(run, f"`{group}` {kind}, n long, choice int")
-    whole = rows.filter("_choice IS NOT NULL").select(group, "n", F.col("_choice").alias("choice"))
-    return whole.unionAll(told).select(group, "n", F.element_at(F.array(*map(F.lit, SPLITS)), F.col("choice") + 1).alias("split"))
+def _fill(items: DataFrame, key: str, share: float) -> DataFrame:
+    """(_of, key): the items (_of, key, _order, n, _all) that are taken, in order, while their sum stays under ``share`` of ``_all``.
+
+    An item that doesn't fit adds nothing, so later ones may.  In each round running sums over the
+    items that could still fit find each group's first that doesn't: those before it are taken, and those
+    after it that fit in what is left go on.  What is left shrinks below that item's size each time, so there are
+    few rounds, over ever fewer items.
+    """
+    taken, left = [], items.withColumn("_used", F.lit(0).cast("long"))
+    cap = F.lit(share) * F.col("_all")
+    while True:
+        left = materialize(left.filter(F.col("_used") + F.col("n") < cap), "could-fit")
+        if left.isEmpty():
+            break
+        placed = materialize(running(left, ["_of"], hex_bucket("_order"), ["_order", key], F.col("n")).drop("_total"), "filled")
+        over = F.col("_used") + F.col("_before") + F.col("n") >= cap
+        at = F.struct("_order", key)
+        stops = placed.filter(over).groupBy("_of").agg(F.min(at).alias("_stop"), F.min_by("_before", at).alias("_more"))
+        met = placed.join(stops, "_of", "left")
+        taken.append(met.filter(F.col("_stop").isNull() | (at < F.col("_stop"))).select("_of", key))
+        left = met.filter(at > F.col("_stop")).withColumn("_used", F.col("_used") + F.col("_more")).select(*left.columns)
+    return reduce(DataFrame.unionAll, taken) if taken else items.select("_of", key).limit(0)
+
+
+def first_fit(sizes: DataFrame, key: str, group: str | None = None, seed: int = 42, per_task: int = PER_TASK) -> DataFrame:
+    """``sizes`` (group, key, n) with ``split``: keys in random order; train while under 80 % of their group, else val while under 10 %, else test.
+
+    Groups of up to ``per_task`` keys are gone through in a task each.  In larger ones train is filled by
+    running sums, which doesn't depend on val, and then val from the rest.
+    """
+    own = [group] if group else []
+    rows = sizes.select(*own, key, "n").withColumns({"_of": F.struct(F.lit(0), *own), "_order": order_key(key, seed)})
+    totals = rows.groupBy("_of").agg(F.count("*").alias("_count"), F.sum("n").alias("_all"))
+    rows = materialize(rows.join(totals, "_of"), "keys")
+    kinds = sizes.schema
+    out = T.StructType([*[kinds[c] for c in [*own, key, "n"]], T.StructField("split", T.StringType())])
+    few = rows.filter(F.col("_count") <= per_task).select(*own, key, "n", "_of", "_order").groupBy("_of").applyInPandas(_one_by_one(own, key), out)
+    many = rows.filter(F.col("_count") > per_task)
+    if totals.filter(F.col("_count") > per_task).isEmpty():
+        return few
+    train = materialize(_fill(many, key, 0.8), "train-keys")
+    rest = materialize(many.join(train, ["_of", key], "left_anti"), "rest")
+    val = materialize(_fill(rest, key, 0.1), "val-keys")
+    test = rest.join(val, ["_of", key], "left_anti")
+    parts = [many.join(train, ["_of", key], "left_semi"), rest.join(val, ["_of", key], "left_semi"), test]
+    named = [p.select(*own, key, "n", F.lit(name).alias("split")) for p, name in zip(parts, SPLITS, strict=True)]
+    return reduce(DataFrame.unionAll, [few, *named])
+
+
+def split_groups(df: DataFrame, group: str, seed: int = 42, per_task: int = PER_TASK) -> DataFrame:
+    """(group, n, split): whole groups by ``first_fit`` to 80/10/10 of all rows; empty and null keys are left out."""
+    sizes = group_sizes(df.filter(F.col(group).cast("string") != ""), group)
+    return first_fit(sizes, group, seed=seed, per_task=per_task).select(group, "n", "split")
 
 
 def cv_roles(k: int, spark: SparkSession) -> DataFrame:
@@ -168,21 +185,10 @@ def split_in_group(df: DataFrame, group: str, row_id: str, seed: int = 42) -> Da
     return rows.withColumn("split", split).drop("_before", "_total")
 
 
-def split_in_group_disjoint(df: DataFrame, group: str, category: str, seed: int = 42) -> DataFrame:
-    """(group, category, n, split): within each group, categories whole, first fit to 80/10/10.
-
-    Groups run in parallel; what a task holds of one is a number for each of its categories.
-    """
+def split_in_group_disjoint(df: DataFrame, group: str, category: str, seed: int = 42, per_task: int = PER_TASK) -> DataFrame:
+    """(group, category, n, split): within each group, categories whole, by ``first_fit`` to 80/10/10 of its rows."""
     sizes = df.filter(F.col(category) != "").groupBy(group, category).agg(F.count("*").alias("n"))
-    kinds = sizes.schema
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["_order", category])
-        choices, _, _ = _first_fit([int(n) for n in part["n"]], int(part["n"].sum()), 0, 0)
-        return part[[group, category, "n"]].assign(split=[SPLITS[c] for c in choices])
-
-    out = T.StructType([kinds[group], kinds[category], kinds["n"], T.StructField("split", T.StringType())])
-    return sizes.withColumn("_order", order_key(category, seed)).groupBy(group).applyInPandas(run, out)
+    return first_fit(sizes, category, group, seed, per_task)
 
 
 def overlap(df: DataFrame, key: str, split: str = "split") -> DataFrame:

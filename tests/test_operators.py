@@ -166,7 +166,8 @@ def test_whole_groups_beyond_one_array(spark):
             n = sizes[g]
             fit[g] = "train" if train + n < 0.8 * total else "val" if val + n < 0.1 * total else "test"
             train, val = train + n * (fit[g] == "train"), val + n * (fit[g] == "val")
-        assert {r.g: r.split for r in K.split_groups(df, "g", per_block=20).collect()} == fit
+        for per_task in (20, K.PER_TASK):
+            assert {r.g: r.split for r in K.split_groups(df, "g", per_task=per_task).collect()} == fit
     many = spark.range(130_001).selectExpr("id div 2 * 2 AS g")
     many = many.union(spark.range(100_000).selectExpr("id * 2 + 1 AS g"))  # over 100,000 groups, sizes 1 and 2
     folds = {r.fold: r.n for r in K.kfold_groups(many.union(spark.range(70_000).selectExpr("1L AS g")), "g", 3).groupBy("fold").agg(F.sum("n").alias("n")).collect()}
@@ -175,6 +176,26 @@ def test_whole_groups_beyond_one_array(spark):
     assert sum(parts.values()) == 230_001 and 0 <= 0.8 * 230_001 - parts["train"] <= 2 and 0 <= 0.1 * 230_001 - parts["val"] <= 2
 
 
+def test_disjoint_split_within_a_hot_group(spark):
+    """A group of many categories is filled by running sums, a null group and small ones in a task each; both as plain loops do."""
+    import hashlib
+
+    rng = random.Random(9)
+    sizes = {("hot", f"c{i}"): rng.choice((1, 1, 2, 3, rng.randint(1, 200))) for i in range(700)} | {(g, f"c{i}"): rng.randint(1, 9) for g in ("a", None) for i in range(12)} | {("one", "c1"): 5}
+    df = spark.createDataFrame([(g, c) for (g, c), n in sizes.items() for _ in range(n)] + [("a", ""), ("a", None)], "g string, c string")
+    want = {}
+    for group in ("hot", "a", None, "one"):
+        own = {c: n for (g, c), n in sizes.items() if g == group}
+        total, train, val = sum(own.values()), 0, 0
+        for c in sorted(own, key=lambda c: hashlib.md5(f"{c}42".encode()).hexdigest()):
+            n = own[c]
+            want[group, c] = "train" if train + n < 0.8 * total else "val" if val + n < 0.1 * total else "test"
+            train, val = train + n * (want[group, c] == "train"), val + n * (want[group, c] == "val")
+    for per_task in (50, K.PER_TASK):
+        got = K.split_in_group_disjoint(df, "g", "c", per_task=per_task).collect()
+        assert {(r.g, r.c): r.split for r in got} == want and {(r.g, r.c): r.n for r in got} == sizes
+
+
 def test_kfold_sizes(spark):
     df = sized(spark, {"a": 23, "b": 3})
     folds = {(r.g, r.fold): r.n for r in K.kfold_stratified(df, "g", "i").groupBy("g", "fold").agg(F.count("*").alias("n")).collect()}
