@@ -154,15 +154,19 @@ def _kernel_sums(at: pd.Series, whole: pd.Series, part: pd.Series, ratio: pd.Ser
     out = []
     for k, n, f, r, size, q in zip(at, whole, part, ratio, grid, every, strict=True):
         k = np.asarray(k, np.int64)
-        first, last = min(0, k.min()), max((size - 1) // q, k.max() + 1)
-        w = np.zeros(last - first + 1)
-        np.add.at(w, k - first, n - f)
-        np.add.at(w, k - first + 1, f)
         if q == 1:
-            m = int(min(last - first, math.ceil(REACH / r)))
+            m = int(min(max(size - 1 - k.min(), k.max() + 1), math.ceil(REACH / r)))  # beyond it nothing reaches the grid
+            near = (k >= -m) & (k + 1 < size + m)
+            w = np.zeros(size + 2 * m)
+            np.add.at(w, k[near] + m, (n - f)[near])
+            np.add.at(w, k[near] + m + 1, f[near])
             z = np.arange(-m, m + 1) * r
-            out.append(np.convolve(w, np.exp(-0.5 * z * z))[m - first : m - first + size])
+            out.append(np.convolve(w, np.exp(-0.5 * z * z), mode="valid"))
             continue
+        first = k.min()
+        w = np.zeros(k.max() + 2 - first)
+        np.add.at(w, k - first, n - f)
+        np.add.at(w, k - first + 1, f)
         used = np.flatnonzero(w)
         sums = np.empty(size)
         for start in range(0, size, 64):
@@ -176,14 +180,14 @@ def kde(rows: DataFrame, grid: int = P.grid, min_n: int = P.min_n, bandwidth: st
     """(g, i, gx, density): Gaussian estimate of ln(1 + x), or of x, on an even grid, from weights on its points.
 
     The grid is over each group's range, or over ``span``, beyond which weights go on as far as kernels
-    reach.  There, where a bandwidth is over 400 steps, weights are on every so manieth point, 200 or more a
+    reach.  There, where a bandwidth is over 4000 steps, weights are on every so manieth point, 2000 or more a
     bandwidth.  Groups under ``min_n`` rows or of one value have none.
     """
     logs, s = _spread(rows, min_n, bandwidth, log)
     if span:
         s = s.withColumns({"low": F.lit(float(span[0])), "high": F.lit(float(span[1]))})
     step = (F.col("high") - F.col("low")) / (grid - 1)
-    every = F.greatest(F.lit(1), F.floor(F.col("h") / step / 200)).cast("long") if span else F.lit(1).cast("long")
+    every = F.greatest(F.lit(1), F.floor(F.col("h") / step / 2000)).cast("long") if span else F.lit(1).cast("long")
     met = logs.join(s, "g")
     if span:
         met = met.filter((F.col("y") > F.col("low") - REACH * F.col("h")) & (F.col("y") < F.col("high") + REACH * F.col("h")))
