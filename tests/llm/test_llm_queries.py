@@ -7,6 +7,7 @@ from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,12 +28,12 @@ def docs(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = c.execute(ORACLES[name]).df()
     got = QUERIES[name](spark, SF).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
-    rows = lambda df: Counter(tuple("" if x is None or x != x else f"{x:.6f}" if isinstance(x, float) else str(x) for x in r) for r in df[sorted(want.columns)].astype(object).itertuples(index=False))
+    rows = lambda df: Counter(tuple("" if pd.isna(x) else f"{int(x)}" if isinstance(x, float) and x.is_integer() else f"{x:.6f}" if isinstance(x, float) else str(x) for x in r) for r in df[sorted(want.columns)].astype(object).itertuples(index=False))
     assert rows(got) == rows(want)
 
 
