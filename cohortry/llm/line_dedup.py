@@ -18,11 +18,11 @@ their own; an empty table gives an empty result; further columns, of any name, a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import md5
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,14 +42,25 @@ def host_of(url):
     return F.lower(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def text_lines(html):
     """Lines of text of a page, trimmed, none blank, in order."""
-    shown = F.regexp_replace(F.concat(F.coalesce(html, F.lit("")), F.lit(CLOSING)), HIDDEN, "")
-    shown = F.when(F.endswith(shown, F.lit(CLOSING)), F.left(shown, F.char_length(shown) - len(CLOSING))).otherwise(shown)
-    tail = F.substring_index(shown, ">", -1)  # has no whole tag, and would be searched from each of its <
-    head = F.left(shown, F.char_length(shown) - F.char_length(tail))
-    text = F.concat(F.regexp_replace(F.regexp_replace(head, BREAKS, "\n"), TAGS, ""), tail)
-    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+    def without_closing(shown: Column) -> Column:
+        return F.when(F.endswith(shown, F.lit(CLOSING)), F.left(shown, F.char_length(shown) - len(CLOSING))).otherwise(shown)
+
+    def text(shown: Column) -> Column:
+        tail = F.substring_index(shown, ">", -1)  # has no whole tag, and would be searched from each of its <
+        head = F.left(shown, F.char_length(shown) - F.char_length(tail))
+        return F.concat(F.regexp_replace(F.regexp_replace(head, BREAKS, "\n"), TAGS, ""), tail)
+
+    hidden = F.regexp_replace(F.concat(F.coalesce(html, F.lit("")), F.lit(CLOSING)), HIDDEN, "")
+    lines = F.split(_let(_let(hidden, without_closing), text), "\n")
+    return F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
