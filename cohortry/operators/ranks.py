@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Hexadecimal digits of a random order that make its buckets, and buckets of other orders.
 DIGITS, BUCKETS = 3, 4096
+#: Rows that are worth a bucket of their own, where the number of buckets isn't given.
+PER_BUCKET = 1024
 #: Cuts that are compared at once on the way to a value's bucket.
 FAN = 16
 #: Characters of a text that a cut keeps; texts that agree in as many are one bucket.
@@ -26,26 +28,30 @@ def hex_bucket(key: Column | str, digits: int = DIGITS) -> Column:
     return F.substring(key, 1, digits)
 
 
-def cuts_of(df: DataFrame, column: str, buckets: int = BUCKETS) -> list:
+def cuts_of(df: DataFrame, column: str, buckets: int | None = None) -> list:
     """Ascending cuts between buckets of about equally many rows of ``df``, for numbers and texts alike.
 
     Numbers are cut at quantiles of a sketch that is merged over tasks; texts at every so manieth of the
     rows whose hash is small, some sixteen a bucket, which are few whatever ``df`` holds.  Outliers and common
     prefixes make no difference; only equal values share a bucket.  A group's part of a bucket is at
-    most the bucket, so a hot group has as many buckets as its share of the rows.
+    most the bucket, so a hot group has as many buckets as its share of the rows.  Without ``buckets`` there are up
+    to ``BUCKETS``, of ``PER_BUCKET`` rows or more: the look-up of a cut costs more than a window over as many rows.
     """
+    most = buckets or BUCKETS
+    number = lambda n: buckets or min(BUCKETS, 1 + n // PER_BUCKET)
     kind = df.schema[column].dataType
     if isinstance(kind, T.NumericType | T.DateType | T.TimestampType):
         x = F.col(column).cast("double")
-        found = df.agg(F.percentile_approx(x, F.lit([k / buckets for k in range(1, buckets)]), F.lit(4 * buckets))).first()[0] or []
-        return sorted({v for v in found if v == v})
-    wanted = 16 * buckets
+        n, found = df.agg(F.count(x), F.percentile_approx(x, F.lit([k / most for k in range(1, most)]), F.lit(4 * most))).first()
+        taken = [found[k * most // number(n) - 1] for k in range(1, number(n))] if found else []
+        return sorted({v for v in taken if v == v})
+    wanted = 16 * most
     x = F.col(column).cast("string")
     rows = df.agg(F.approx_count_distinct(x)).first()[0]
     some = df.select(x.alias("x")).distinct() if rows <= wanted else df.select(x.alias("x")).distinct().filter(F.pmod(F.xxhash64("x"), F.lit(rows)) < wanted)
     found = sorted({r.x for r in some.select(F.left("x", F.lit(CUT_CHARS)).alias("x")).filter("x IS NOT NULL").collect()}, key=lambda t: t.encode())
-    step = max(1, len(found) // buckets)
-    return found[step::step][:buckets]
+    step = max(1, len(found) // number(rows))
+    return found[step::step][: number(rows)]
 
 
 def bucket_of(column: str, cuts: list) -> Column:

@@ -581,6 +581,10 @@ def test_buckets_of_outliers_prefixes_and_hot_groups(spark):
         edges = found.groupBy("b").agg(F.min("x").alias("low"), F.max("x").alias("high")).orderBy("b").collect()
         assert all(a.high < z.low for a, z in zip(edges, edges[1:], strict=False)), name  # buckets ascend with the order
     assert cuts_of(spark.range(0), "id") == [] and cuts_of(spark.range(0).selectExpr("'a' AS x"), "x") == []
+    for x in ("CAST(id AS DOUBLE)", "'cc_' || id"):  # without a number, buckets are worth their rows
+        df = spark.range(20_000).selectExpr(f"{x} AS x")
+        sizes = [r["count"] for r in df.groupBy(bucket_of("x", cuts_of(df, "x"))).count().collect()]
+        assert 10 <= len(sizes) <= 24 and max(sizes) <= 4 * 1024
     nulls = spark.createDataFrame([(None,), (1.0,), (math.nan,)], "x double")
     assert nulls.select(bucket_of("x", cuts_of(nulls, "x"))).count() == 3
 
