@@ -10,7 +10,8 @@ from cohortry.operators import entity as E
 from cohortry.operators import evaluate as V
 from cohortry.operators import features as X
 from cohortry.operators import reports as R
-from cohortry.operators.splits import kfold_stratified, order_key
+from cohortry.operators import trees
+from cohortry.operators.splits import cv_roles, kfold_stratified, order_key
 from cohortry.plans.base import query, rounded, table
 from cohortry.plans.cleaning import gradients
 from cohortry.sources.tables import fold_keys as fold_keys_of
@@ -344,6 +345,12 @@ def feature_vector(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(F.transform("features", lambda x: x.cast("string")), ",").alias("features"))
 
 
+def order_folds(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with folds and two features."""
+    rows = kfold_stratified(table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_custkey"), "o_orderpriority", "o_orderkey", K)
+    return rows.withColumns({"a": F.col("o_orderkey") % 97, "b": F.col("o_custkey") % 31})
+
+
 @query(f"""
 WITH f AS (SELECT o_orderkey, o_orderpriority AS pr, o_totalprice AS y, o_orderkey % 97 AS a, o_custkey % 31 AS b, ntile({K}) OVER (PARTITION BY o_orderpriority ORDER BY md5(o_orderkey::VARCHAR || '42'), o_orderkey) - 1 AS fold FROM orders),
 r AS (SELECT unnest(generate_series(0, {K - 1}))::INTEGER AS run),
@@ -355,15 +362,63 @@ SELECT run, {METRICS.replace(", 6)", ", 3)")} FROM e GROUP BY run
 """)
 def cv_models(spark: SparkSession, d: str) -> DataFrame:
     """Held-out predictions of one model per fold, and their metrics."""
-    from cohortry.operators.splits import cv_roles
-
-    rows = kfold_stratified(table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_custkey"), "o_orderpriority", "o_orderkey", K)
-    rows = rows.withColumns({"a": F.col("o_orderkey") % 97, "b": F.col("o_custkey") % 31})
+    rows = order_folds(spark, d)
     out = V.pooled_models(rows, cv_roles(K, spark), ["a", "b"], "o_totalprice", "fold")
     out = V.row_errors(E.group_max_mean(out, "o_orderpriority", "o_totalprice"), "o_totalprice", "predicted", "max_value", "mean_value")
     return rounded(V.metrics(out, "run"), *V.METRICS, digits=3)
 
 
+#: Trees of the queries: widths of the features' bins, levels, least rows of a side.
+WIDTHS, LEVELS, SIDE = {"a": 8, "b": 4}, 3, 20
+
+
+def trees_sql() -> str:
+    """CTEs: ``n0``.. rows of every run at their nodes, ``s0``.. the splits of each level."""
+    out = [
+        f"""
+f AS (SELECT o_orderkey, o_orderpriority AS pr, o_totalprice AS y, (o_orderkey % 97) // {WIDTHS["a"]} AS a, (o_custkey % 31) // {WIDTHS["b"]} AS b, ntile({K}) OVER (PARTITION BY o_orderpriority ORDER BY md5(o_orderkey::VARCHAR || '42'), o_orderkey) - 1 AS fold FROM orders),
+r AS (SELECT unnest(generate_series(0, {K - 1}))::INTEGER AS run),
+n0 AS MATERIALIZED (SELECT run, f.*, fold = run AS test, y - (SELECT avg(y) FROM f) AS d, 0 AS node FROM r JOIN f ON fold <> (run + 1) % {K})"""
+    ]
+    for i in range(LEVELS):
+        out.append(f"""
+h{i} AS (SELECT run, node, j, bin, count(*) AS k, sum(d) AS s FROM (SELECT run, node, d, unnest([0, 1]) AS j, unnest([a, b]) AS bin FROM n{i} WHERE NOT test AND node >= {2**i - 1}) GROUP BY ALL),
+c{i} AS (SELECT run, node, j, bin + 1 AS cut, sum(k) OVER u AS kl, sum(s) OVER u AS sl, sum(k) OVER t AS n, sum(s) OVER t AS s FROM h{i} WINDOW t AS (PARTITION BY run, node, j), u AS (PARTITION BY run, node, j ORDER BY bin)),
+s{i} AS MATERIALIZED (SELECT run, node, j, cut, gain, n::BIGINT AS n FROM (SELECT *, row_number() OVER (PARTITION BY run, node ORDER BY gain DESC, j, cut) AS place FROM
+  (SELECT *, sl * sl / kl + (s - sl) * (s - sl) / (n - kl) - s * s / n AS gain FROM c{i} WHERE kl >= {SIDE} AND n - kl >= {SIDE})) WHERE place = 1),
+n{i + 1} AS MATERIALIZED (SELECT x.* REPLACE (CASE WHEN z.j IS NULL THEN x.node ELSE 2 * x.node + 1 + (CASE WHEN z.j = 0 THEN a ELSE b END >= z.cut)::INTEGER END AS node) FROM n{i} x LEFT JOIN s{i} z ON x.run = z.run AND x.node = z.node)""")
+    return ",".join(out)
+
+
+def order_trees(spark: SparkSession, rows: DataFrame) -> trees.Trees:
+    cuts = {"a": list(range(8, 97, WIDTHS["a"])), "b": list(range(4, 31, WIDTHS["b"]))}
+    return trees.grow(rows, cv_roles(K, spark), ["a", "b"], "o_totalprice", "fold", LEVELS, least=SIDE, cuts=cuts)
+
+
+@query(f"""
+WITH {trees_sql()}
+SELECT run, node, CASE j WHEN 0 THEN 'a' ELSE 'b' END AS feature, (cut * CASE j WHEN 0 THEN {WIDTHS["a"]} ELSE {WIDTHS["b"]} END)::DOUBLE AS threshold, round(gain / 1e6, 3) AS gain, n
+FROM ({" UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(LEVELS))})
+""")
+def cv_tree_splits(spark: SparkSession, d: str) -> DataFrame:
+    """The splits of one regression tree per fold, gains in millions."""
+    return rounded(order_trees(spark, order_folds(spark, d)).splits().withColumn("gain", F.col("gain") / 1e6), "gain", digits=3)
+
+
+@query(f"""
+WITH {trees_sql()}, leaf AS (SELECT run, node, avg(y) AS p FROM n{LEVELS} WHERE NOT test GROUP BY 1, 2),
+p AS (SELECT run, y, p, top, mean FROM n{LEVELS} JOIN leaf USING (run, node) JOIN (SELECT pr, max(y) AS top, avg(y) AS mean FROM f GROUP BY 1) USING (pr) WHERE test),
+e AS (SELECT run, abs(p - y) AS diff, abs(p - y) * 100 / top AS rel_error_max, abs(p - y) * 100 / mean AS rel_error_mean, abs(p - y) * 100 / y AS mre FROM p)
+SELECT run, {METRICS.replace(", 6)", ", 3)")} FROM e GROUP BY run
+""")
+def cv_trees(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out predictions of one regression tree per fold, and their metrics."""
+    rows = order_folds(spark, d)
+    out = order_trees(spark, rows).predict(rows, cv_roles(K, spark), "fold")
+    out = V.row_errors(E.group_max_mean(out, "o_orderpriority", "o_totalprice"), "o_totalprice", "predicted", "max_value", "mean_value")
+    return rounded(V.metrics(out, "run"), *V.METRICS, digits=3)
+
+
 #: Of the trials: small enough that the lasso keeps the signs of least squares, which the SQL relies on.
 PENALTIES, MIXES = [0.0, 0.1, 3.0], [0.0, 0.5, 1.0]
 

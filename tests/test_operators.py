@@ -629,3 +629,82 @@ def test_estimate_on_a_fixed_grid(spark, span, grid):
         want = np.exp(-0.5 * ((at[:, None] - x[None]) / h) ** 2).sum(axis=1) / (300 * h * math.sqrt(2 * math.pi))
         step = (span[1] - span[0]) / (grid - 1)
         assert got.gx.to_numpy() == pytest.approx(at) and got.density.to_numpy() == pytest.approx(want, abs=(step / h) ** 2 / 4 + 1e-5)
+
+
+def plain_tree(rows, cuts, depth, least):
+    """{node: (feature, cut, rows)} of one tree, by loops over rows, nodes and cuts."""
+    below = lambda x, c: x is None or x < c  # noqa: E731  NaN is under no cut
+    splits, at = {}, {0: rows}
+    for level in range(depth):
+        for node in range(2**level - 1, 2 ** (level + 1) - 1):
+            inside = at.get(node, [])
+            if len(inside) < 2 * least:
+                continue
+            error = lambda rs: float(((np.array([r[-1] for r in rs]) - np.mean([r[-1] for r in rs])) ** 2).sum())
+            found = []
+            for j, cs in enumerate(cuts):
+                for c in cs:
+                    left, right = [r for r in inside if below(r[j], c)], [r for r in inside if not below(r[j], c)]
+                    if len(left) >= least and len(right) >= least:
+                        found.append((round(error(left) + error(right), 6), j, c, left, right))
+            if found and min(f[:3] for f in found)[0] < error(inside) - 1e-6:
+                _, j, c, left, right = min(found, key=lambda f: f[:3])
+                splits[node] = (j, c, len(inside))
+                at |= {2 * node + 1: left, 2 * node + 2: right}
+    return splits
+
+
+def test_trees_of_all_folds_equal_plain_loops(spark):
+    from cohortry.operators import trees
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(600):
+        a, b = rng.choice([None, math.nan, *range(12)]), rng.random()
+        known = a is not None and a == a
+        y = (30 if known and a >= 7 else 0) + (10 if b < 0.3 else 0) * (2 if known and a < 3 else 1) + rng.gauss(0, 1)
+        rows.append((i, i % 4, a if a is None else float(a), b, y))
+    rows += [(600 + i, i % 4, 1.0, 0.5, y) for i, y in enumerate([None, math.nan, math.inf, -math.inf])]
+    df = spark.createDataFrame(rows, "id int, part int, `a b` double, b double, y double").withColumn("_node", F.lit("clash")).withColumn("run", F.lit("clash"))
+    cuts = {"a b": [float(c) for c in range(1, 12)], "b": [k / 10 for k in range(1, 10)]}
+    roles = K.cv_roles(4, spark)
+    fit = trees.grow(df, roles, ["a b", "b"], "y", "part", depth=3, least=15, cuts=cuts)
+    got = {}
+    for r in fit.splits().collect():
+        got.setdefault(r.run, {})[r.node] = (["a b", "b"].index(r.feature), r.threshold, r.n)
+    predicted = {(r.run, r.id): r.predicted for r in fit.predict(df, roles, "part").collect()}
+    assert len(predicted) == len(rows) and set(fit.predict(df, roles, "part").columns) == {"id", "part", "a b", "b", "y", "_node", "run", "predicted"}
+    for run in range(4):
+        taught = [r[2:] for r in rows if r[1] not in (run, (run + 1) % 4) and r[4] is not None and math.isfinite(r[4])]
+        splits = plain_tree(taught, list(cuts.values()), 3, 15)
+        assert got[run] == splits
+
+        def leaf(r, splits=splits):
+            node = 0
+            while node in splits:
+                j, c, _ = splits[node]
+                node = 2 * node + (1 if r[j] is None or r[j] < c else 2)
+            return node
+
+        for r in rows:
+            if r[1] == run:
+                same = [t[-1] for t in taught if leaf(t) == leaf(r[2:])]
+                assert predicted[run, r[0]] == pytest.approx(np.mean(same))
+
+
+def test_trees_of_odd_tables(spark):
+    from cohortry.operators import trees
+
+    roles = K.cv_roles(3, spark)
+    rows = spark.range(90).selectExpr("id % 3 AS fold", "CAST(id AS DOUBLE) AS x", "1e9 + IF(id < 60, 1D, 2D) AS y", "3D AS same")
+    assert trees.even_cuts(rows, ["x", "same"], 3) == {"x": [29.0, 59.0], "same": [3.0]}
+    fit = trees.grow(rows, roles, ["x", "same"], "y", "fold", depth=4, least=2, cuts={"x": [20, 40, 60, 80], "same": [3]})
+    assert [(r.node, r.feature) for r in fit.splits().filter("run = 0").collect()] == [(0, "x")]  # both sides are constant then
+    assert fit.predict(rows, roles, "fold").filter("predicted = y").count() == 90
+    flat = trees.grow(rows, roles, ["x"], "same", "fold")
+    assert flat.splits().count() == 0 and {r.predicted for r in flat.predict(rows, roles, "fold").collect()} == {3.0}
+    assert trees.grow(rows, roles, ["x"], "y", "fold", depth=0).leaves.count() == 3
+    none = trees.grow(rows.limit(0), roles, ["x"], "y", "fold")
+    assert none.splits().count() == 0 and none.predict(rows, roles, "fold").filter("predicted IS NULL").count() == 90
+    with pytest.raises(ValueError, match="depth"):
+        trees.grow(rows, roles, ["x"], "y", "fold", depth=40)
