@@ -213,6 +213,28 @@ def test_conflicts_and_private_mass(spark):
     assert [tuple(r)[:3] for r in K.group_problem(p).orderBy("g").collect()] == [(1, 9, 4), (2, 7, 0), (3, 9, 0)]
 
 
+def test_conflict_pairs_in_blocks_or_by_category(spark):
+    rng = random.Random(3)
+    rows = {(f"g{rng.randrange(90):02}", c): rng.randrange(1, 9) for c in range(40) for _ in range(2 if c < 20 else 70)}
+    p = spark.createDataFrame([(g, str(c), n) for (g, c), n in rows.items()], "g string, c string, n bigint")
+    sharing = {c: sum(d == c for _, d in rows) for _, c in rows}
+    want = {}
+    for (g, c), n in rows.items():
+        for h in {h for h, d in rows if d == c and g < h}:
+            want[g, h] = want.get((g, h), 0) + min(n, rows[h, c]) / sharing[c]
+    for crowded, cells in ((0.0, 300), (0.3, 300), (2.0, 300)):  # all in blocks, some, none
+        got = values(K.conflict_pairs(p, crowded, cells), "g1", "g2")
+        assert [(a, b) for a, b, _ in got] == sorted(want)
+        assert [w for *_, w in got] == pytest.approx([want[k] for k in sorted(want)])
+
+
+def test_crowded_categories_make_no_row_a_category_and_pair(spark):
+    p = spark.range(400).selectExpr("id AS g").crossJoin(spark.range(150).selectExpr("CAST(id AS string) AS c")).withColumn("n", F.lit(2).cast("long"))
+    out = K.conflict_pairs(p)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroups")[0]  # groups don't meet by category
+    assert out.count() == 400 * 399 // 2 and out.agg(F.max(F.abs(F.col("weight") - 0.75))).first()[0] < 1e-9
+
+
 def test_owner_ties(spark):
     p = spark.createDataFrame([(0, "a", 5), (1, "a", 5), (1, "b", 1)], "g int, c string, n bigint")
     a = spark.createDataFrame([(0, 0, 0), (0, 1, 1)], "restart int, g int, split int")
