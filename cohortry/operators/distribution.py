@@ -22,9 +22,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cohortry.functions.scalar import in_minutes
 from cohortry.operators.ranks import bucket_of, cuts_of, running
@@ -144,51 +146,47 @@ def _spread(rows: DataFrame, min_n: int, bandwidth: str = "scott", log: bool = T
     return logs, s.select("g", "n", "low", "high", (BANDWIDTHS[bandwidth](F.col("n")) * F.col("sd")).alias("h"))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _kernel_sums(at: pd.Series, whole: pd.Series, part: pd.Series, ratio: pd.Series, grid: pd.Series, every: pd.Series) -> pd.Series:
-    """At each grid point, the kernel's sum over the weights; ``part`` of each ``whole`` belongs to the next place.
+def _curve(k: np.ndarray, n: np.ndarray, f: np.ndarray, r: float, size: int, q: int) -> np.ndarray:
+    """At each grid point, the kernel's sum over the weights; ``f`` of each ``n`` belongs to the next place.
 
-    Places are every ``every``-th grid point, and go on beyond the grid.  Where they are the grid's own, every
+    Places are every ``q``-th grid point, and go on beyond the grid.  Where they are the grid's own, every
     weight adds its multiple of one kernel, shifted; weights of zero cost nothing.
     """
-    out = []
-    for k, n, f, r, size, q in zip(at, whole, part, ratio, grid, every, strict=True):
-        k = np.asarray(k, np.int64)
-        if q == 1:
-            m = int(min(max(size - 1 - k.min(), k.max() + 1), math.ceil(REACH / r)))  # beyond it nothing reaches the grid
-            near = (k >= -m) & (k + 1 < size + m)
-            w = np.zeros(size + 2 * m)
-            np.add.at(w, k[near] + m, (n - f)[near])
-            np.add.at(w, k[near] + m + 1, f[near])
-            used = np.flatnonzero(w)
-            z = np.arange(-m - size + 1, m + size) * r
-            shifted = np.lib.stride_tricks.sliding_window_view(np.exp(-0.5 * z * z), size)[::-1]  # row i: the kernel of place i - m
-            sums = np.zeros(size)
-            for start in range(0, len(used), 128):
-                some = used[start : start + 128]
-                sums += w[some] @ shifted[some]
-            out.append(sums)
-            continue
-        first = k.min()
-        w = np.zeros(k.max() + 2 - first)
-        np.add.at(w, k - first, n - f)
-        np.add.at(w, k - first + 1, f)
+    k = np.asarray(k, np.int64)
+    if q == 1:
+        m = int(min(max(size - 1 - k.min(), k.max() + 1), math.ceil(REACH / r)))  # beyond it nothing reaches the grid
+        near = (k >= -m) & (k + 1 < size + m)
+        w = np.zeros(size + 2 * m)
+        np.add.at(w, k[near] + m, (n - f)[near])
+        np.add.at(w, k[near] + m + 1, f[near])
         used = np.flatnonzero(w)
-        sums = np.empty(size)
-        for start in range(0, size, 64):
-            z = (np.arange(start, min(size, start + 64))[:, None] - (used[None, :] + first) * q) * r
-            sums[start : start + 64] = np.exp(-0.5 * z * z) @ w[used]
-        out.append(sums)
-    return pd.Series(out)
+        z = np.arange(-m - size + 1, m + size) * r
+        shifted = np.lib.stride_tricks.sliding_window_view(np.exp(-0.5 * z * z), size)[::-1]  # row i: the kernel of place i - m
+        sums = np.zeros(size)
+        for start in range(0, len(used), 128):
+            some = used[start : start + 128]
+            sums += w[some] @ shifted[some]
+        return sums
+    first = k.min()
+    w = np.zeros(k.max() + 2 - first)
+    np.add.at(w, k - first, n - f)
+    np.add.at(w, k - first + 1, f)
+    used = np.flatnonzero(w)
+    sums = np.empty(size)
+    for start in range(0, size, 64):
+        z = (np.arange(start, min(size, start + 64))[:, None] - (used[None, :] + first) * q) * r
+        sums[start : start + 64] = np.exp(-0.5 * z * z) @ w[used]
+    return sums
 
 
-def kde(rows: DataFrame, grid: int = P.grid, min_n: int = P.min_n, bandwidth: str = "scott", span: tuple[float, float] | None = None, log: bool = True) -> DataFrame:
-    """(g, i, gx, density): Gaussian estimate of ln(1 + x), or of x, on an even grid, from weights on its points.
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _kernel_sums(at: pd.Series, whole: pd.Series, part: pd.Series, ratio: pd.Series, grid: pd.Series, every: pd.Series) -> pd.Series:
+    """``_curve`` of each group."""
+    return pd.Series([_curve(*one) for one in zip(at, whole, part, ratio, grid, every, strict=True)])
 
-    The grid is over each group's range, or over ``span``, beyond which weights go on as far as kernels
-    reach.  There, where a bandwidth is over 4000 steps, weights are on every so manieth point, 2000 or more a
-    bandwidth.  Groups under ``min_n`` rows or of one value have none.
-    """
+
+def _cells(rows: DataFrame, grid: int = P.grid, min_n: int = P.min_n, bandwidth: str = "scott", span: tuple[float, float] | None = None, log: bool = True) -> tuple[DataFrame, Column, Column]:
+    """(g, n, low, high, h, cells): each group's weights on its grid; and the grid's step, and the places' distance in steps."""
     logs, s = _spread(rows, min_n, bandwidth, log)
     if span:
         s = s.withColumns({"low": F.lit(float(span[0])), "high": F.lit(float(span[1]))})
@@ -200,9 +198,20 @@ def kde(rows: DataFrame, grid: int = P.grid, min_n: int = P.min_n, bandwidth: st
     place = (F.col("y") - F.col("low")) / step / every
     cell = (F.floor(place) if span else F.least(F.floor(place), F.lit(grid - 2))).cast("long")
     cells = met.groupBy("g", cell.alias("k")).agg(F.count("*").alias("whole"), F.sum(place - cell).alias("part"))
-    lists = [F.col(f"cells.{f}") for f in ("k", "whole", "part")]
     arrays = cells.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", "whole", "part"))).alias("cells"))  # at most the grid and what kernels reach
-    sums = arrays.join(s, "g").select("g", "n", "low", "high", "h", _kernel_sums(*lists, step / F.col("h"), F.lit(grid), every).alias("sums"))
+    return arrays.join(s, "g"), step, every
+
+
+def kde(rows: DataFrame, grid: int = P.grid, min_n: int = P.min_n, bandwidth: str = "scott", span: tuple[float, float] | None = None, log: bool = True) -> DataFrame:
+    """(g, i, gx, density): Gaussian estimate of ln(1 + x), or of x, on an even grid, from weights on its points.
+
+    The grid is over each group's range, or over ``span``, beyond which weights go on as far as kernels
+    reach.  There, where a bandwidth is over 4000 steps, weights are on every so manieth point, 2000 or more a
+    bandwidth.  Groups under ``min_n`` rows or of one value have none.
+    """
+    arrays, step, every = _cells(rows, grid, min_n, bandwidth, span, log)
+    lists = [F.col(f"cells.{f}") for f in ("k", "whole", "part")]
+    sums = arrays.select("g", "n", "low", "high", "h", _kernel_sums(*lists, step / F.col("h"), F.lit(grid), every).alias("sums"))
     points = sums.select("*", F.posexplode("sums").alias("i", "sum"))
     return points.select("g", "i", (F.col("low") + F.col("i") * step).alias("gx"), (F.col("sum") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
 
@@ -251,6 +260,87 @@ def extrema(curve: DataFrame) -> DataFrame:
     return near.select("g", i.alias("i"), kind.alias("kind"), gx.alias("gx"), F.col("d").alias("density")).filter("kind IS NOT NULL")
 
 
+def _slope(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """As ``gradients``; NaN where there is none."""
+    before, after = np.append(y[:1], y[:-1]), np.append(y[1:], y[-1:])
+    before, after = np.where(np.isnan(before), y, before), np.where(np.isnan(after), y, after)
+    across = np.append(x[1:], x[-1:]) - np.append(x[:1], x[:-1])
+    return np.divide(after - before, across, out=np.full(len(y), np.nan), where=across != 0)
+
+
+def _turns(d: np.ndarray, x: np.ndarray) -> list[tuple[int, str, float, float]]:
+    """(i, kind, gx, density) of a curve's extrema, as ``extrema`` has them."""
+    new = np.flatnonzero(np.diff(d)) + 1
+    a, z = np.append(0, new), np.append(new - 1, len(d) - 1)
+    v, out = d[a], []
+    if len(v) > 1:
+        rises = np.diff(v) > 0
+        inner = np.flatnonzero(rises[1:] != rises[:-1]) + 1
+        found = [(k, "peak" if rises[k - 1] else "valley") for k in inner.tolist()]
+        found = [(0, "peak")] * bool(not rises[0] and a[0] == z[0]) + found + [(len(v) - 1, "peak")] * bool(rises[-1] and a[-1] == z[-1])
+        for k, kind in found:
+            i = int(a[k] + z[k]) // 2
+            out.append((i, kind, float(x[a[k]] + ((i - a[k]) * (x[z[k]] - x[a[k]]) / (z[k] - a[k]) if z[k] > a[k] else 0.0)), float(v[k])))
+    return out
+
+
+_PLACES = ("drop", "relax", "shoulder")
+_SHAPE = "kind string, i int, gx double, density double, len int, top double, steepest double, reference double, steep double, " + ", ".join(f"{w}_x double, {w}_d double" for w in _PLACES)
+
+
+def _shape(d: np.ndarray, x: np.ndarray, zone: float, p: FrontParams) -> list[tuple]:
+    """Rows of ``_SHAPE``: one for the curve, one for each extremum; of early peaks also what the curve does after them."""
+    slope = _slope(d, x)
+    bend = _slope(slope, x)
+    number = lambda v: None if np.isnan(v) else float(v)
+    least = lambda v: np.nanmin(v) if not np.isnan(v).all() else np.nan
+    top, far = d.max(), d[x > zone]
+    curve = (len(d), float(top), number(-least(-np.abs(slope))), float(np.median(far)) if len(far) else None)
+    out = [("curve", None, None, None, *curve, *[None] * 7)]
+    down = (slope < 0) & (bend > 0)
+    for i, kind, gx, density in _turns(d, x):
+        steep, places = None, [None] * 6
+        if kind == "peak" and i < len(d) - 1 and gx <= zone and density >= 0.10 * top:
+            steep = number(abs(least(slope[i : min(len(d), i + max(4, len(d) // 20))])))
+            low = d <= p.drop_share * density
+            relaxed = down & (np.abs(slope) <= p.slope_relax * steep) if steep is not None else np.zeros(len(d), bool)
+            first = lambda test, i=i: (np.flatnonzero(test[i + 1 :])[:1] + i + 1).tolist()
+            ways = first(low & down) or first(low), first(relaxed), first(d <= p.shoulder_share * density)
+            places = [v for way in ways for v in ((float(x[way[0]]), float(d[way[0]])) if way else (None, None))]
+        out.append((kind, i, gx, density, *curve, steep, *places))
+    return out
+
+
+def shapes(rows: DataFrame, lim: DataFrame, p: FrontParams = P) -> DataFrame:
+    """(g, kind, ...): a row of kind curve for each group that has an estimate, and a row for each of its extrema.
+
+    The curve itself, ``p.grid`` points a group, never leaves the task that sums it up: what the detectors need of it are a few
+    numbers an extremum.
+    """
+    arrays, step, _ = _cells(rows, p.grid, p.min_n)
+    given = arrays.join(lim.select("g", "zone"), "g").select("g", "n", "low", "h", step.alias("step"), (step / F.col("h")).alias("ratio"), "zone", "cells")
+    kind = rows.schema["g"]
+    schema = T.StructType([kind, *T.StructType.fromDDL(_SHAPE).fields])
+
+    def run(batches):
+        arrow = to_arrow_schema(schema)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch, at, out = whole.slice(start, 500), [], []
+                scalars = [batch.column(c).to_pylist() for c in ("n", "low", "h", "step", "ratio", "zone")]
+                for r, (n, low, h, step, ratio, zone) in enumerate(zip(*scalars, strict=True)):
+                    weights = batch.column("cells")[r].values
+                    k, w, f = (weights.field(c).to_numpy(zero_copy_only=False) for c in ("k", "whole", "part"))
+                    density = _curve(k, w, f, ratio, p.grid, 1) / (n * h * math.sqrt(2 * math.pi))
+                    found = _shape(density, low + np.arange(p.grid) * step, zone, p)
+                    at += [r] * len(found)
+                    out += found
+                columns = [pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), list(arrow)[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("g").take(pa.array(at)), *columns], schema=arrow)
+
+    return given.mapInArrow(run, schema)
+
+
 def limits(rows: DataFrame, p: FrontParams = P, cuts: list[float] | None = None) -> DataFrame:
     """(g, n, zone, max_t0, valley_limit, drop_limit, hist_limit, cluster): what a group's front must meet.
 
@@ -287,50 +377,32 @@ def _below(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     return cuts.join(places.select("g", "cut", upto.alias("size")), ["g", "cut"])
 
 
-def mode_valley(rows: DataFrame, curve: DataFrame, lim: DataFrame, p: FrontParams = P) -> DataFrame:
+def mode_valley(rows: DataFrame, shape: DataFrame, lim: DataFrame, p: FrontParams = P) -> DataFrame:
     """(g, mode, cut, depth, size): the first early peak that has an acceptable valley after it, with the first such.
 
-    ``curve`` and ``lim`` are read several times, so write them first; so with the other detectors.
+    ``shape``, of ``shapes``, and ``lim`` are read several times, so write them first; so with the other detectors.
     """
-    at = materialize(extrema(curve), "extrema")
-    top = curve.groupBy("g").agg(F.max("density").alias("top"))
-    peaks = at.filter("kind = 'peak'").join(top, "g").join(lim, "g")
+    peaks = shape.filter("kind = 'peak'").join(lim, "g")
     peaks = peaks.filter((F.col("gx") <= F.col("zone")) & (F.col("density") >= p.min_peak_share * F.col("top")))
     peaks = peaks.withColumn("mode", F.expm1("gx")).filter("mode > 0 AND mode <= max_t0")
     peaks = peaks.select("g", F.col("i").alias("pi"), "mode", F.col("density").alias("pd"), "valley_limit", "cluster")
-    valleys = at.filter("kind = 'valley'").select("g", F.col("i").alias("vi"), F.expm1("gx").alias("cut"), F.col("density").alias("vd"))
+    valleys = shape.filter("kind = 'valley'").select("g", F.col("i").alias("vi"), F.expm1("gx").alias("cut"), F.col("density").alias("vd"))
     pairs = peaks.join(valleys, "g").filter("vi > pi AND cut <= valley_limit").withColumn("depth", 1 - F.col("vd") / F.col("pd"))
     ok = _below(rows, pairs.filter(F.col("depth") >= p.min_valley_depth)).filter("size >= cluster")
     first = Window.partitionBy("g").orderBy("pi", "vi")
     return ok.withColumn("k", F.row_number().over(first)).filter("k = 1").select("g", "mode", "cut", "depth", "size")
 
 
-def density_drop(rows: DataFrame, curve: DataFrame, lim: DataFrame, p: FrontParams = P) -> DataFrame:
+def density_drop(rows: DataFrame, shape: DataFrame, lim: DataFrame, p: FrontParams = P) -> DataFrame:
     """(g, mode, cut, depth, size, flags) for dominant early peaks without a valley; mode is null if none is accepted.
 
-    One row per early peak gathers what the curve does after it; the first accepted peak wins,
+    ``shape`` tells of each early peak what the curve does after it; the first accepted peak wins,
     and flags are those of the peaks up to it, in order.
     """
-    c = materialize(gradients(curve), "gradients")
-    n_grid = c.groupBy("g").agg(F.count("*").alias("len"), F.max("density").alias("top"), F.max(F.abs("gradient")).alias("steepest"))
-    at = extrema(c).filter("kind = 'peak'")
-    far = c.join(lim.select("g", "zone"), "g").filter("gx > zone").groupBy("g").agg(F.percentile("density", F.lit(0.5)).alias("reference"))  # of a grid
-    peaks = at.join(n_grid, "g").join(lim, "g").join(far, "g", "left")
+    peaks = shape.filter("kind = 'peak'").join(lim, "g")
     peaks = peaks.filter((F.col("i") < F.col("len") - 1) & (F.col("gx") <= F.col("zone")) & (F.col("density") >= 0.10 * F.col("top")))
-    peaks = peaks.select("g", F.col("i").alias("pi"), F.expm1("gx").alias("mode"), F.col("density").alias("pd"), "len", "top", "steepest", "max_t0", "drop_limit", "cluster", "reference")
-    after = peaks.join(c, "g").filter("i >= pi")
-    near = F.col("i") < F.least(F.col("len"), F.col("pi") + F.greatest(F.lit(4), F.floor(F.col("len") / 20)))
-    keys = [k for k in peaks.columns if k != "g"]
-    steep = after.groupBy("g", *keys).agg(F.abs(F.min(F.when(near, F.col("gradient")))).alias("steep"))
-    beyond = steep.join(c, "g").filter("i > pi")
-    falls, bends = F.col("gradient") < 0, F.col("curvature") > 0
-    low = F.col("density") <= p.drop_share * F.col("pd")
-    first = lambda cond: F.min(F.when(cond, F.struct("i", F.expm1("gx").alias("cut"), "density")))
-    found = beyond.groupBy("g", *keys, "steep").agg(
-        F.coalesce(first(low & falls & bends), first(low)).alias("drop"),
-        first(falls & bends & (F.abs("gradient") <= p.slope_relax * F.col("steep"))).alias("relax"),
-        first(F.col("density") <= p.shoulder_share * F.col("pd")).alias("shoulder"),
-    )
+    place = lambda s: F.when(F.col(f"{s}_x").isNotNull(), F.struct(F.expm1(f"{s}_x").alias("cut"), F.col(f"{s}_d").alias("density"))).alias(s)
+    found = peaks.select("g", F.col("i").alias("pi"), F.expm1("gx").alias("mode"), F.col("density").alias("pd"), "top", "steepest", "max_t0", "drop_limit", "cluster", "reference", "steep", *map(place, _PLACES))
     in_time = lambda s: F.col(f"{s}.cut") <= F.col("drop_limit")
     found = found.withColumn("late", (F.col("mode") > F.col("max_t0")))
     weak = (F.try_divide(F.col("pd"), F.col("reference")) < p.min_enrichment) & (F.col("pd") / F.col("top") < p.min_global_share)
@@ -367,7 +439,7 @@ def density_drop(rows: DataFrame, curve: DataFrame, lim: DataFrame, p: FrontPara
     raised = F.filter("all", lambda x: F.col("best").isNull() | (x["pi"] <= F.col("best.pi")))
     chosen = chosen.select("g", "best.mode", "best.cut", "best.depth", "best.size", F.array_distinct(F.flatten(F.transform(raised, lambda x: x["own_flags"]))).alias("flags"))
     chosen = materialize(chosen, "chosen")  # a row a group
-    none = lim.join(chosen, "g", "left_anti").join(c.select("g").distinct(), "g", "left_semi")
+    none = lim.join(chosen, "g", "left_anti").join(shape.filter("kind = 'curve'"), "g", "left_semi")
     lost = none.select("g", *[F.lit(None).cast(t).alias(k) for k, t in (("mode", "double"), ("cut", "double"), ("depth", "double"), ("size", "bigint"))], F.array(F.lit("no_early_mode_detected")).alias("flags"))
     return chosen.unionByName(lost)
 
@@ -446,13 +518,13 @@ def fronts(df: DataFrame, group: str, value: str, p: FrontParams = P, units: str
     rows = materialize(valid(df, group, value, units), "valid")
     cuts = cuts_of(rows, "x")
     profile, lim = materialize(value_profile(rows, cuts), "profile"), materialize(limits(rows, p, cuts), "limits")
-    curve = materialize(kde(rows, p.grid, p.min_n), "curve")
+    shape = materialize(shapes(rows, lim, p), "shapes")
     # What each detector finds is a row a group; kept, so that later steps don't run it again.
-    valley = mode_valley(rows, curve, lim, p).select("g", F.struct("mode", "cut", "depth", "size").alias("v"))
-    drop = density_drop(rows, curve, lim, p).select("g", F.when(F.col("mode").isNotNull(), F.struct("mode", "cut", "depth", "size")).alias("d"), F.col("flags").alias("d_flags"))
+    valley = mode_valley(rows, shape, lim, p).select("g", F.struct("mode", "cut", "depth", "size").alias("v"))
+    drop = density_drop(rows, shape, lim, p).select("g", F.when(F.col("mode").isNotNull(), F.struct("mode", "cut", "depth", "size")).alias("d"), F.col("flags").alias("d_flags"))
     hist = histogram_front(rows, profile, lim, p, cuts).select("g", F.when(F.col("mode").isNotNull(), F.struct("mode", "cut", "depth", "size")).alias("h"), F.col("flags").alias("h_flags"))
     valley, drop, hist = (materialize(x, "found") for x in (valley, drop, hist))
-    has_curve = curve.select("g").distinct().withColumn("curve", F.lit(True))
+    has_curve = shape.filter("kind = 'curve'").select("g").withColumn("curve", F.lit(True))
     t = profile.join(lim.drop("n"), "g").join(has_curve, "g", "left").join(valley, "g", "left").join(drop, "g", "left").join(hist, "g", "left")
     enough = F.col("n") >= p.min_n
     run = enough & F.coalesce("curve", F.lit(False))

@@ -139,8 +139,8 @@ WITH {X2}, {front_curve_sql(POINTS)}, {EXTREMA}, {LIMITS}, {VALLEY} SELECT g, ro
 """)
 def mode_valley(spark: SparkSession, d: str) -> DataFrame:
     rows = D.valid(two_modes(spark, d), "user_id", "value")
-    curve, lim = materialize(D.kde(rows, POINTS), "curve"), materialize(D.limits(rows), "limits")  # read several times
-    return rounded(D.mode_valley(rows, curve, lim, D.P), "mode", "cut", "depth")
+    lim = materialize(D.limits(rows), "limits")  # read several times, as shapes are
+    return rounded(D.mode_valley(rows, materialize(D.shapes(rows, lim), "shapes"), lim, D.P), "mode", "cut", "depth")
 
 
 #: Per early peak: what follows it on the curve, the way that gives a cut, and its flags; then the first accepted peak.
@@ -178,7 +178,8 @@ dr AS (SELECT st.g, mode, cut, depth, size, CASE WHEN st.g NOT IN (SELECT g FROM
 @query(f"WITH {X}, {front_curve_sql(POINTS)}, {EXTREMA}, {LIMITS}, {VALLEY}, {DROP} SELECT g, round(mode, 6) AS mode, round(cut, 6) AS cut, round(depth, 6) AS depth, size, flags FROM dr")
 def density_drop(spark: SparkSession, d: str) -> DataFrame:
     rows = values(spark, d)
-    out = D.density_drop(rows, materialize(D.kde(rows, POINTS), "curve"), materialize(D.limits(rows), "limits"), D.P)
+    lim = materialize(D.limits(rows), "limits")
+    out = D.density_drop(rows, materialize(D.shapes(rows, lim), "shapes"), lim, D.P)
     return rounded(out.withColumn("flags", F.array_join("flags", "; ")), "mode", "cut", "depth")
 
 

@@ -730,3 +730,17 @@ def test_trees_of_odd_tables(spark):
     assert none.splits().count() == 0 and none.predict(rows, roles, "fold").filter("predicted IS NULL").count() == 90
     with pytest.raises(ValueError, match="depth"):
         trees.grow(rows, roles, ["x"], "y", "fold", depth=40)
+
+
+def test_shapes_are_those_of_the_points_and_few(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(g, float(x)) for g in range(4) for x in np.exp(rng.normal(g % 2, 0.2 + g / 2, 300))], "g int, x double")
+    rows = D.valid(df, "g", "x")
+    lim = D.limits(rows)
+    got = D.shapes(rows, lim).cache()
+    want = D.extrema(D.kde(rows, D.P.grid)).orderBy("g", "i").collect()
+    ends = got.filter("kind <> 'curve'").orderBy("g", "i").select("g", "i", "kind", "gx", "density").collect()
+    assert [tuple(r)[:3] for r in ends] == [tuple(r)[:3] for r in want]
+    assert got.filter("kind = 'curve'").count() == 4 and got.count() < 4 * 50  # not a grid a group
+    steepest = D.gradients(D.kde(rows, D.P.grid)).groupBy("g").agg(F.max(F.abs("gradient")).alias("s"))
+    assert got.filter("kind = 'curve'").join(steepest, "g").filter("abs(s - steepest) > 1e-9 * s").count() == 0
