@@ -235,6 +235,23 @@ def test_crowded_categories_make_no_row_a_category_and_pair(spark):
     assert out.count() == 400 * 399 // 2 and out.agg(F.max(F.abs(F.col("weight") - 0.75))).first()[0] < 1e-9
 
 
+@pytest.mark.parametrize("groups", [2, 7, 40])
+def test_conflict_pairs_of_few_categories_are_looked_up(spark, groups):
+    rng = random.Random(groups)
+    rows = {(f"g{g:02}", c): rng.randrange(1, 9) for g in range(groups) for c in range(3) if c == 0 or rng.random() < 0.5}
+    p = spark.createDataFrame([(g, str(c), n) for (g, c), n in rows.items()] + [(None, "0", 5), (None, "1", 5)], "g string, c string, n bigint")
+    sharing = {c: sum(d == c for _, d in rows) + (c < 2) for c in range(3)}  # as SQL counts them
+    want = {}
+    for (g, c), n in rows.items():
+        for h in {h for h, d in rows if d == c and g < h}:
+            want[g, h] = want.get((g, h), 0) + min(n, rows[h, c]) / sharing[c]
+    out = K.conflict_pairs(p, 0.0)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()  # no pair goes through Python
+    got = values(out, "g1", "g2")
+    assert [(a, b) for a, b, _ in got] == sorted(want)
+    assert [w for *_, w in got] == pytest.approx([want[k] for k in sorted(want)])
+
+
 def test_owner_ties(spark):
     p = spark.createDataFrame([(0, "a", 5), (1, "a", 5), (1, "b", 1)], "g int, c string, n bigint")
     a = spark.createDataFrame([(0, 0, 0), (0, 1, 1)], "restart int, g int, split int")
