@@ -271,6 +271,30 @@ def test_two_key_split_is_disjoint(spark):
     assert n["train"] >= n["val"] >= n["test"] > 0 and best.count() == 1
 
 
+def test_restarts_are_evaluated_as_one_by_one(spark):
+    rng = random.Random(11)
+    rows = [(rng.randrange(40), f"c{rng.randrange(90) if rng.random() < 0.7 else 1000 + i}") for i in range(700)]
+    pairs = K.pair_counts(spark.createDataFrame(rows, "g int, c string"), "g", "c").cache()
+    problem, restarts = K.split_problem(pairs), K.PACKED + 2
+    assignment, shared, owners, sizes = K._evaluated(pairs, problem, restarts, 42)
+    assert assignment.count() == 40 * restarts
+    cats = shared.select("c", "cat").distinct()
+    want = K.owner_splits(pairs, assignment, problem)
+    got = owners.join(cats, "cat").select("restart", "c", "owner", "n0", "n1", "n2")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.join(cats.select("c"), "c").select(*got.columns).collect()))
+    columns = ["restart", "split", "retained", "groups", "dropped_groups", "new_split"]
+    assert sorted(map(tuple, sizes.select(*columns).collect())) == sorted(map(tuple, K.evaluate_restarts(pairs, assignment, want, problem).select(*columns).collect()))
+
+
+def test_placed_groups_are_told_by_what_categories_hold():
+    n = 2_000
+    cells = np.array([np.arange(500), np.ones(500), np.full(500, n // 50), *np.zeros((3, 500))], np.int64)
+    state = K._Placing(cells, [0] * 3, [0] * 3, [n * 8.0, n * 1.0, n * 1.0], 1000, 5)
+    cats = np.concatenate([np.arange(10) * 50 + g % 50 for g in range(n)])
+    splits = state.place(np.full(n, 10), np.random.default_rng(1).random(n), np.full(n, 10), cats, np.ones(10 * n, np.int64))
+    assert state.members == [list(splits).count(s) for s in range(3)] and state.added().sum() == 10 * n
+
+
 def slow_assignment(rows, restarts, seed, least_rows, least_groups):
     """The assignment of restart_assignments with plain loops over groups and categories."""
     import hashlib
